@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, sharding
+from . import chat_format, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_shard": sharding.op2_shard, "op8_chat_format": chat_format.op8_chat_format}
+    return {"op1_secrets": secrets.op1_secrets, "op2_shard": sharding.op2_shard, "op8_chat_format": chat_format.op8_chat_format}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_chat_format": chat_format.SQL}
+    return {"op1_secrets": secrets.SQL, "op8_chat_format": chat_format.SQL}
