@@ -6,11 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, secrets, sharding
+from . import chat_format, lang_id, mpeg, secrets, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": secrets.op1_secrets, "op2_shard": sharding.op2_shard, "op8_chat_format": chat_format.op8_chat_format}
+    return {
+        "op1_secrets": secrets.op1_secrets,
+        "op2_shard": sharding.op2_shard,
+        "op3_lang_id": lang_id.op3_lang_id,
+        "op6_mpeg": mpeg.op6_mpeg,
+        "op8_chat_format": chat_format.op8_chat_format,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
