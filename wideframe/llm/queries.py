@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, lang_id, mpeg, near_dedup, packing, secrets, sharding
+from . import chat_format, hamming_search, lang_id, mpeg, near_dedup, packing, secrets, sentencepiece_codec, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,8 +18,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mpeg": mpeg.op6_mpeg,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_chat_format": chat_format.op8_chat_format,
+        "op9_sentencepiece": sentencepiece_codec.op9_sentencepiece,
+        "op10_hamming_search": hamming_search.op10_hamming_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_secrets": secrets.SQL, "op8_chat_format": chat_format.SQL}
+    return {"op1_secrets": secrets.SQL, "op8_chat_format": chat_format.SQL, "op10_hamming_search": hamming_search.SQL}
