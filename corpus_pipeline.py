@@ -4,9 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from wideframe.llm import lang_id, near_dedup, packing, secrets
 from wideframe.llm.common import table, written
 
-STAGES: list = []
+STAGES = [
+    ("language_id", lang_id.keep_known),
+    ("near_dedup", near_dedup.keep_one),
+    ("secrets", secrets.redact_secrets),
+    ("packing", packing.pack_all),
+]
 
 #: None: language ID, near-duplicate classes and packing can't be said in SQL; they are tested against brute force.
 ORACLE_SQL = None

@@ -238,3 +238,8 @@ def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
 
 def op5_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def pack_all(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A pipeline stage, the last one: the pieces of all documents and where they go."""
+    return pack_documents(docs)

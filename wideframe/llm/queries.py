@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, hamming_search, lang_id, mpeg, near_dedup, packing, secrets, sentencepiece_codec, sharding
+from . import attention_lm, chat_format, hamming_search, lang_id, mpeg, near_dedup, packing, secrets, sentencepiece_codec, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_secrets": secrets.op1_secrets,
         "op2_shard": sharding.op2_shard,
         "op3_lang_id": lang_id.op3_lang_id,
+        "op4_lm_score": attention_lm.op4_lm_score,
         "op5_pack": packing.op5_pack,
         "op6_mpeg": mpeg.op6_mpeg,
         "op7_near_dedup": near_dedup.op7_near_dedup,

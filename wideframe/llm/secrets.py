@@ -222,31 +222,32 @@ def find_secrets(
     return joined.withColumn("secret_spans", F.array_sort(F.concat(*each))).drop(key, mark)
 
 
-def redact(docs: DataFrame, text: str = "text", spans: str = "secret_spans") -> Column:
-    """The text with each span's characters replaced by [kind]; of spans that overlap, the parts past the first."""
-    piece = F.aggregate(
+def redact(text: str, spans: str) -> Column:
+    """The text with each span's characters replaced by [kind]; of spans that overlap, the first by start is named."""
+
+    def step(a: Column, s: Column) -> Column:
+        before = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
+        out = F.concat(a["out"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))
+        return F.struct(
+            F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] > a["at"], out).otherwise(a["out"]).alias("out")
+        )
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(
         spans,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda a, s: F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"),
-            F.when(
-                s["end"] > a["at"],
-                F.concat(
-                    a["out"],
-                    F.array(
-                        F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0))),
-                        F.concat(F.lit("["), s["kind"], F.lit("]")),
-                    ),
-                ),
-            )
-            .otherwise(a["out"])
-            .alias("out"),
-        ),
-        lambda a: F.concat(
-            F.array_join(a["out"], ""), F.substring(F.col(text), a["at"] + 1, F.length(text))
-        ),
+        zero,
+        step,
+        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
     )
-    return F.when(F.size(spans) > 0, piece).otherwise(F.col(text))
+    return F.when(F.size(spans) > 0, rest).otherwise(F.col(text))
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A pipeline stage: every document stays; secrets in its text are replaced, and n_chars follows."""
+    found = find_secrets(docs)
+    clean = redact("text", "secret_spans")
+    counted = F.when(F.size("secret_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
+    return found.withColumns({"n_chars": counted, "text": clean}).select(*docs.columns)
 
 
 def span_list(spans: Column) -> Column:
