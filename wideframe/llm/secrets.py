@@ -245,9 +245,12 @@ def redact(text: str, spans: str) -> Column:
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A pipeline stage: every document stays; secrets in its text are replaced, and n_chars follows."""
     found = find_secrets(docs)
-    clean = redact("text", "secret_spans")
-    counted = F.when(F.size("secret_spans") > 0, F.length(clean).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns({"n_chars": counted, "text": clean}).select(*docs.columns)
+    # In a step of its own: a name inside a lambda would be taken for the new column of that name.
+    clean, hit = fresh(docs, "clean_text"), F.size("secret_spans") > 0
+    found = found.withColumn(clean, redact("text", "secret_spans"))
+    counted = F.when(hit, F.length(clean).cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
+    new = {"text": F.col(clean).alias("text"), "n_chars": counted}
+    return found.select(*[new.get(c, F.col(c)) for c in docs.columns])
 
 
 def span_list(spans: Column) -> Column:
