@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import fresh, ship, small_batches, table
 
 SPACE = "▁"
-#: Units (words with their space) whose ids a task remembers; then it begins anew.
-CACHED = 800_000
+#: Words, and the units that they consist of, whose ids a worker remembers; then it begins anew.
+CACHED = 500_000
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 _UNK_PENALTY = 10.0
@@ -165,7 +166,7 @@ class Stream:
 
     def finish(self) -> list[int]:
         out = self._path(len(self.text))
-        self.__init__(self.m)
+        self.text, self.back, self.last, self.score = "", [0], [-1], [0.0]
         return out
 
     def _extend_bpe(self) -> None:
@@ -242,36 +243,64 @@ class Stream:
 class Codec:
     def __init__(self, path: str):
         self.m = Model(path)
+        self.words: dict[str, bytes] = {}
         self.units: dict[str, bytes] = {}
-        self.kind = "<u2" if len(self.m.pieces) <= 1 << 16 else "<u4"
+        self.code = "H" if len(self.m.pieces) <= 1 << 16 else "I"
+        self.stream = Stream(self.m)
+        self.raw = np.frombuffer(b"".join(self.m.raw), np.uint8)
+        self.raw_size = np.array([len(r) for r in self.m.raw])
+        self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
-    def _stream(self, s: str) -> bytes:
-        stream = Stream(self.m)
-        return np.array(stream.feed(s) + stream.finish(), self.kind).tobytes()
+    def _encoded(self, s: str) -> bytes:
+        return array(self.code, self.stream.feed(s) + self.stream.finish()).tobytes()
 
     def _unit(self, s: str) -> bytes:
         found = self.units.get(s)
         if found is None:
-            found = self._stream(s)
+            found = self._encoded(s)
             if len(s) <= 64:
                 if len(self.units) >= CACHED:
                     self.units.clear()
                 self.units[s] = found
         return found
 
+    def _word(self, w: str) -> bytes:
+        """Of a word without its space."""
+        found = b"".join(map(self._unit, self.m.units(SPACE + w)))
+        if len(w) <= 64:
+            if len(self.words) >= CACHED:
+                self.words.clear()
+            self.words[w] = found
+        return found
+
     def encode(self, text: str) -> np.ndarray:
         s = self.m.normalise(text)
-        if not s:
-            return np.empty(0, self.kind)
         if not self.m.by_words:
-            return np.frombuffer(self._stream(s), self.kind)
-        known = self.units.get
-        return np.frombuffer(b"".join([known(u) or self._unit(u) for u in self.m.units(s)]), self.kind)
+            parts = [self._encoded(s)]
+        elif s.startswith(SPACE) and SPACE + SPACE not in s:
+            known = self.words.get
+            parts = [known(w) or self._word(w) for w in s.split(SPACE)[1:]]
+        else:
+            parts = map(self._unit, self.m.units(s))
+        return np.frombuffer(b"".join(parts), self.code)
+
+    def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The texts of lists of ids, laid end to end."""
+        size, start = self.raw_size[ids], self.raw_start[ids]
+        first = np.append(0, ends[:-1])
+        first = first[first < ends]
+        if self.m.dummy_prefix and len(first):  # the space before a text goes
+            first = first[(size[first] > 0) & (self.raw[np.minimum(start[first], len(self.raw) - 1)] == 32)]
+            size[first] -= 1
+            start[first] += 1
+        at = np.cumsum(size)
+        where = np.repeat(start - (at - size), size)
+        data = self.raw[where + np.arange(len(where))].tobytes()
+        cuts = np.append(0, at)[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
     def decode(self, ids: list[int]) -> str:
-        raw = self.m.raw
-        text = b"".join([raw[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if self.m.dummy_prefix and text.startswith(" ") else text
+        return self.decode_flat(np.asarray(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -312,8 +341,12 @@ def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", to: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
         for b in batches:
-            column = b.column(b.schema.get_field_index(ids)).to_pylist()
-            texts = pa.array([None if x is None else c.decode(x) for x in column], pa.string())
+            column = b.column(b.schema.get_field_index(ids))
+            sizes = np.array(column.value_lengths().fill_null(0), np.int64)
+            flat = np.asarray(column.flatten(), np.int64)
+            made = c.decode_flat(flat, np.cumsum(sizes)) if len(column) else []
+            null = column.is_null().to_pylist()
+            texts = pa.array([None if n else t for t, n in zip(made, null, strict=True)], pa.string())
             yield pa.RecordBatch.from_arrays([*b.columns, texts], [*b.schema.names, to])
 
     return coded.mapInArrow(run, schema)
