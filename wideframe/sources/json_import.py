@@ -100,7 +100,7 @@ def import_json(spark: SparkSession, path: str, columns: list[str] | None = None
             token = F.explode_outer(values)
             each = tokens.select(token.alias("t"))
             v = F.col("t").try_cast("double")
-            bad = each.agg(F.count_if(inexact(F.col("t"))).alias("a"), F.count_if(F.abs(v) == float("inf")).alias("b")).first()
+            bad = each.agg(F.count_if(inexact(F.col("t"))).alias("a"), F.count_if((F.abs(v) == float("inf")) | F.rlike("t", F.lit("^\"?-?Infinity\"?$"))).alias("b")).first()
             aggs += [F.lit(bad["a"]), F.lit(bad["b"])]
     counts = tokens.agg(*[a.alias(str(k)) for k, a in enumerate(aggs)]).first() if aggs else []
     for n, (place, problem, wrong) in zip(counts, what, strict=True):
