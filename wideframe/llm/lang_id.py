@@ -19,7 +19,7 @@ from .common import fresh, ship, small_batches, table
 
 BUCKETS = 1 << 15
 #: Code points that are hashed at once, so memory stays bounded for any text.
-CHUNK = 400_000
+CHUNK = 150_000
 UNDETERMINED = "und"
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 2

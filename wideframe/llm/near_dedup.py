@@ -32,7 +32,7 @@ BAND_ROWS = 4
 #: Standard deviations of the signature's estimate below the threshold at which a pair is still verified.
 MARGIN = 4.0
 #: Shingles that are hashed at once.
-CHUNK = 250_000
+CHUNK = 60_000
 #: Keys that a semi join may broadcast (16 bytes each, about 80 in the hash table).
 BROADCAST_KEYS = 400_000
 
