@@ -180,7 +180,7 @@ def _multiset_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ends = np.searchsorted(doc, np.arange(len(part)), "right")
             starts = np.append(0, ends[:-1])
             blobs = [np.sort(h[a:b]).tobytes() for a, b in zip(starts, ends, strict=True)]
-            yield pd.DataFrame({"key": part["key"].to_numpy(), "blob": blobs})
+            yield pd.DataFrame({"id": part["id"].to_numpy(), "blob": blobs})
 
 
 @F.pandas_udf(DoubleType())
@@ -226,25 +226,25 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
     """(x, y, est): each text with the first and last text of each of its buckets, y < x, where signatures agree."""
-    bands = signed.select("key", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first <> last")
-    met = bands.join(ends, "band").select("key", F.explode(F.array("first", "last")).alias("other")).where("key <> other")
-    pairs = met.selectExpr("greatest(key, other) AS x", "least(key, other) AS y").distinct()
-    sig = signed.select("key", "sig")
+    bands = signed.select("id", F.explode("bands").alias("band"))
+    ends = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
+    met = bands.join(ends, "band").select("id", F.explode(F.array("first", "last")).alias("other")).where("id <> other")
+    pairs = met.selectExpr("greatest(id, other) AS x", "least(id, other) AS y").distinct()
+    sig = signed.select("id", "sig")
     joined = pairs.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y")
     floor = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
     return joined.select("x", "y", agreement("sx", "sy").alias("est")).where(F.col("est") >= floor)
 
 
-def verified(pairs: DataFrame, members: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
+def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
     """The pairs (x, y) whose texts' multisets overlap enough, as written edges (a, b, similarity)."""
-    keys = members.join(pairs.selectExpr("explode(array(x, y)) AS key").distinct(), "key", "left_semi")
-    keys = written(keys.selectExpr("key AS k", "least_id"), f"{name}-keys")
-    if keys.count() <= BROADCAST_KEYS:
-        keys = F.broadcast(keys)
+    wanted = named.join(pairs.selectExpr("explode(array(x, y)) AS id").distinct(), "id", "left_semi")
+    wanted = written(wanted.selectExpr("id", "key AS k", "least_id"), f"{name}-wanted")
+    if wanted.count() <= BROADCAST_KEYS:
+        wanted = F.broadcast(wanted)
     # One row of each text: that of its least doc_id.
-    met = texts.join(keys, F.expr("key = k AND doc_id <=> least_id"), "left_semi").select("key", "text")
-    made = met.mapInPandas(_multiset_blobs, "key binary, blob binary").dropDuplicates(["key"])
+    met = texts.join(wanted, F.expr("key = k AND doc_id <=> least_id")).select("id", "text")
+    made = met.mapInPandas(_multiset_blobs, "id long, blob binary").dropDuplicates(["id"])
     blobs = written(made, f"{name}-multisets")
     joined = pairs.select("x", "y").join(blobs.toDF("x", "bx"), "x").join(blobs.toDF("y", "by"), "y")
     scored = joined.select(F.col("x").alias("a"), F.col("y").alias("b"), overlap("bx", "by").alias("similarity"))
@@ -272,28 +272,30 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     )
     kind = "key binary, sig binary, bands array<long>"
     signed = all_texts.select("key", "text").mapInPandas(_sign, kind).dropDuplicates(["key"])
-    signed = written(signed, "dedup-signatures")
+    # Each distinct text gets a number, kept in the written table; from here on texts are longs.
+    signed = written(signed.withColumn("id", F.monotonically_increasing_id()), "dedup-signatures")
+    named = written(signed.select("id", "key").join(members.select("key", "least_id"), "key"), "dedup-named")
     pairs = written(candidate_pairs(signed), "dedup-pairs")
     best = pairs.withColumn("nth", F.expr("row_number() OVER (PARTITION BY x ORDER BY est DESC, y)")).where("nth = 1")
-    first = verified(best, members, all_texts, similarity, "dedup-first")
-    joined = components(first.select("a", "b"))
-    root = joined.toDF("v", "root")
+    best = written(best.select("x", "y"), "dedup-best")
+    first = verified(best, named, all_texts, similarity, "dedup-first")
+    root = components(first.select("a", "b")).toDF("v", "root")
     apart = (
         pairs.join(root.toDF("x", "rx"), "x", "left")
         .join(root.toDF("y", "ry"), "y", "left")
-        .where("NOT coalesce(rx, x) <=> coalesce(ry, y)")
-        .join(best.select("x", "y"), ["x", "y"], "left_anti")
+        .where("coalesce(rx, x) <> coalesce(ry, y)")
+        .join(best, ["x", "y"], "left_anti")
     )
-    second = verified(apart, members, all_texts, similarity, "dedup-second")
+    second = verified(written(apart.select("x", "y"), "dedup-apart"), named, all_texts, similarity, "dedup-second")
     edges = first.union(second)
     root = components(edges.select("a", "b"))
-    roots = root.union(root.select("root", "root").distinct()).toDF("key", "root")
-    links = edges.selectExpr("explode(array(a, b)) AS key").groupBy("key").agg(F.count("*").alias("links"))
-    known = members.join(roots, "key", "left").join(links, "key", "left")
-    known = known.select("key", "least_id", "copies", F.coalesce("root", "key").alias("root"), "links")
-    least = known.where("links IS NOT NULL").groupBy("root").agg(F.min("least_id").alias("class_least"))
+    roots = root.union(root.select("root", "root").distinct()).toDF("id", "root")
+    links = edges.selectExpr("explode(array(a, b)) AS id").groupBy("id").agg(F.count("*").alias("links"))
+    linked = named.join(roots, "id").join(links, "id")
+    least = linked.groupBy("root").agg(F.min("least_id").alias("class_least"))
+    linked = linked.join(least, "root").select("key", "class_least", "links")
     classes = written(
-        known.join(least, "root", "left")
+        members.join(linked, "key", "left")
         .where("copies > 1 OR links IS NOT NULL")
         .select("key", F.coalesce("class_least", "least_id").alias("class_id"), "copies", "links"),
         "dedup-classes",
