@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import fresh, ship, small_batches, table
 
@@ -315,7 +316,7 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", to: st
     small_batches(docs.sparkSession, 500)
     docs = docs.drop(to)
     made = fresh(docs, "encoded_text")
-    schema = docs.withColumn(to, F.array().cast("array<int>")).schema
+    schema = StructType([*docs.schema.fields, StructField(to, ArrayType(IntegerType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -336,7 +337,7 @@ def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", to: str
     ship(coded.sparkSession)
     small_batches(coded.sparkSession, 500)
     coded = coded.drop(to)
-    schema = coded.withColumn(to, F.lit("").cast("string")).schema
+    schema = StructType([*coded.schema.fields, StructField(to, StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
