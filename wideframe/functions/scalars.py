@@ -78,19 +78,23 @@ def number_text(c: Column) -> Column:
     )
 
 
-@F.pandas_udf(BooleanType())
-def exact_double(tokens: pd.Series) -> pd.Series:
+def exact_double(token: Column) -> Column:
     """Whether a whole-number token is a double without loss. No SQL cast can tell; null and other tokens are exact."""
 
-    def ok(t: str | None) -> bool:
-        if t is None or not t.lstrip("+-").isdigit():
-            return True
-        try:
-            return int(float(t)) == int(t)
-        except OverflowError:
-            return False
+    # Defined here, so that it is sent by value and workers need not find this module.
+    @F.pandas_udf(BooleanType())
+    def run(tokens: pd.Series) -> pd.Series:
+        def ok(t: str | None) -> bool:
+            if t is None or not t.lstrip("+-").isdigit():
+                return True
+            try:
+                return int(float(t)) == int(t)
+            except OverflowError:
+                return False
 
-    return tokens.map(ok)
+        return tokens.map(ok)
+
+    return run(token)
 
 
 def inexact(token: Column) -> Column:

@@ -5,8 +5,10 @@ These are aggregates over the rows, so they run distributed and need no stored f
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -219,26 +221,24 @@ def batch_bytes(df: DataFrame, batch: str, options: Options = Options()) -> Data
 def running_split(batches: DataFrame, batch: str, max_size: int) -> DataFrame:
     """(batch, rows, bytes, row_group): a row group closes with the batch that brings it to max_size or beyond.
 
-    Each batch's bytes are one number, so the running state is a long; batches are folded in order in one aggregate
-    over (batch, bytes) pairs, which are as many as the appends, not as the rows.
+    What closes a row group depends on all batches before it, so one task folds them in order; it reads a row for each
+    append (three numbers), as batch_bytes gives them, and none of the table's rows.
     """
-    listed = batches.agg(F.sort_array(F.collect_list(F.struct(batch, "rows", "bytes"))).alias("b"))
-    kind = f"array<struct<{batch}:{batches.schema[batch].dataType.simpleString()},rows:bigint,bytes:bigint,row_group:bigint>>"
-    zero = F.struct(
-        F.lit(0).cast("long").alias("held"), F.lit(0).cast("long").alias("group"), F.array().cast(kind).alias("out")
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        held = a["held"] + x["bytes"]
-        full = held >= max_size
-        row = F.struct(x[batch].alias(batch), x["rows"].alias("rows"), x["bytes"].alias("bytes"), a["group"].alias("row_group"))
-        return F.struct(
-            F.when(full, 0).otherwise(held).cast("long").alias("held"),
-            (a["group"] + full.cast("long")).alias("group"),
-            F.concat(a["out"], F.array(row)).alias("out"),
-        )
-
-    return listed.select(F.inline(F.aggregate("b", zero, step, lambda a: a["out"])))
+    kind = f"{batch} {batches.schema[batch].dataType.simpleString()}, rows long, bytes long, row_group long"
+
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, group = 0, 0
+        for pdf in parts:
+            groups = []
+            for size in pdf["bytes"]:
+                groups.append(group)
+                held += size
+                if held >= max_size:
+                    held, group = 0, group + 1
+            yield pdf.assign(row_group=groups)
+
+    ordered = batches.select(batch, "rows", "bytes").repartition(1).sortWithinPartitions(batch)
+    return ordered.mapInPandas(fold, kind)
 
 
 def footer(spark: SparkSession, buckets_: int, row_groups: int, options: Options = Options()) -> DataFrame:
