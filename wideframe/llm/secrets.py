@@ -168,7 +168,13 @@ def candidates(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], s
     grams = sorted({g for q in wanted.values() for conj in q for g in conj})
     segments = max(1, -(-keyed.count() // segment_rows))
     low = keyed.select(F.col(key).alias("k"), F.lower(text).alias("low"))
-    has = low.select("k", F.array(*[F.contains("low", F.lit(g)) for g in grams]).alias("has"))
+
+    def holds(gram: str) -> Column:
+        """A gram with a mark in it is looked for only where the mark is, which is quick to see."""
+        marks = [c for c in gram if not c.isalnum() and c != " "]
+        return reduce(lambda a, b: a & b, [F.contains("low", F.lit(x)) for x in [*marks[:1], gram]])
+
+    has = low.select("k", F.array(*map(holds, grams)).alias("has"))
     postings = (
         has.where(F.exists("has", lambda x: x))
         .groupBy(F.pmod("k", F.lit(segments)).alias("segment"))
