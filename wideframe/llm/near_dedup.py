@@ -6,10 +6,11 @@ register and a place on the axis, and a point counts if its place is below the w
 that counts, so two registers agree with the probability of the weighted Jaccard similarity. Points later than all
 registers are ever filled by are not made, which is what makes it quick.
 
-Signatures are banded. In each bucket every text is paired with the bucket's least and greatest text (aggregates with
-partial sums, so a bucket of any size is one row for each task), never with all others. Pairs whose signatures agree
+Signatures are banded. A bucket of any size is dealt into bounded chunks, differently for each band, and a text meets a
+few neighbours of its chunk in signature order, never all others. Pairs whose signatures agree
 enough are verified on the exact multisets: first each text's best pair, then, of the other pairs, those that the
-components found so far do not join already. Components are found by star contraction over written edge tables.
+components found so far do not join already, and last the best pairs across classes that candidate pairs hold together.
+Components are found by star contraction over written edge tables.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
+from pyspark.sql.window import Window
 
 from .common import fresh, ship, small_batches, table, written
 
@@ -33,6 +35,10 @@ BAND_ROWS = 4
 MARGIN = 4.0
 #: Shingles that are hashed at once.
 CHUNK = 60_000
+#: Texts of one chunk of a bucket, and how many of those before it each text meets.
+CHUNK_TEXTS, NEIGHBOURS = 1000, 3
+#: Last round: deals of a group that is larger than a chunk, and pairs that a text may propose from each.
+DEALS, PARTNERS = 4, 8
 #: Keys that a semi join may broadcast (16 bytes each, about 80 in the hash table).
 BROADCAST_KEYS = 400_000
 
@@ -225,15 +231,64 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
 
 def candidate_pairs(signed: DataFrame) -> DataFrame:
-    """(x, y, est): each text with the first and last text of each of its buckets, y < x, where signatures agree."""
-    bands = signed.select("id", F.explode("bands").alias("band"))
-    ends = bands.groupBy("band").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last")
-    met = bands.join(ends, "band").select("id", F.explode(F.array("first", "last")).alias("other")).where("id <> other")
-    pairs = met.selectExpr("greatest(id, other) AS x", "least(id, other) AS y").distinct()
-    sig = signed.select("id", "sig")
-    joined = pairs.join(sig.toDF("x", "sx"), "x").join(sig.toDF("y", "sy"), "y")
+    """(x, y, est): pairs of texts of one bucket whose signatures agree, y < x; linear in the buckets' rows.
+
+    A bucket is dealt at random into chunks of about CHUNK_TEXTS, differently for each band. In a chunk, texts are
+    sorted by the registers that follow the band's, so that neighbours agree in more than the band; each text meets
+    the NEIGHBOURS before it and the chunk's first text.
+    """
+    bands = signed.select("id", F.posexplode("bands").alias("b", "band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    met = bands.join(shared, "band").join(signed.select("id", "sig"), "id")
+    chunk = F.pmod(F.xxhash64("id", "band"), F.ceil(F.col("n") / CHUNK_TEXTS))
+    after = F.substring(F.concat("sig", "sig"), F.lit(BAND_ROWS) * (F.col("b") + 1) + 1, F.lit(16))
+    rows = met.select("id", "sig", "band", chunk.alias("chunk"), after.alias("after"))
+    w = Window.partitionBy("band", "chunk").orderBy("after", "id")
+    me = F.struct("id", "sig")
+    others = [F.lag(me, k).over(w) for k in range(1, NEIGHBOURS + 1)] + [F.first(me).over(w)]
+    rows = rows.select("id", "sig", F.array(*others).alias("others"))
+    pairs = rows.select("id", "sig", F.explode(F.array_distinct("others")).alias("o")).where("o.id <> id")
     floor = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-    return joined.select("x", "y", agreement("sx", "sy").alias("est")).where(F.col("est") >= floor)
+    scored = pairs.select("id", F.col("o.id").alias("other"), agreement("sig", "o.sig").alias("est"))
+    fits = scored.where(F.col("est") >= floor)
+    return fits.groupBy(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).agg(
+        F.max("est").alias("est")
+    )
+
+
+def _across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    """(x, y): for each text of a chunk, its PARTNERS of best agreement among texts that are not linked to it yet."""
+    floor = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
+    sig = np.frombuffer(b"".join(bytes(b) for b in pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    ids, strict = pdf["id"].to_numpy(), pdf["strict"].to_numpy()
+    out: set[tuple[int, int]] = set()
+    for k in range(len(pdf)):
+        other = np.flatnonzero(strict != strict[k])
+        est = ((sig[other] == sig[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
+        for j in np.argsort(-est, kind="stable")[:PARTNERS]:
+            if est[j] < floor:
+                break
+            a, b = int(ids[k]), int(ids[other[j]])
+            out.add((max(a, b), min(a, b)))
+    return pd.DataFrame(sorted(out), columns=["x", "y"], dtype="int64")
+
+
+def unlinked_pairs(pairs: DataFrame, linked: DataFrame, signed: DataFrame) -> DataFrame:
+    """(x, y): pairs across verified classes (v, root) inside what all candidate pairs, verified or not, hold together.
+
+    Such a group of up to CHUNK_TEXTS is compared as a whole, signature by signature; a larger one is dealt DEALS times
+    into chunks of that size. Only the best pairs leave a chunk, a few for each text.
+    """
+    loose = components(pairs.selectExpr("x AS a", "y AS b"), "dedup-loose")
+    loose = loose.union(loose.select("root", "root").distinct()).toDF("id", "loose")
+    rows = loose.join(linked.toDF("id", "strict"), "id", "left").withColumn("strict", F.coalesce("strict", "id"))
+    groups = rows.groupBy("loose").agg(F.count("*").alias("n"), F.min("strict").alias("s"), F.max("strict").alias("t"))
+    rows = rows.join(groups.where("s <> t").select("loose", "n"), "loose").join(signed.select("id", "sig"), "id")
+    deals = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > CHUNK_TEXTS, DEALS - 1).otherwise(0))).alias("deal")
+    dealt = rows.select("id", "strict", "sig", "loose", "n", deals)
+    chunk = F.pmod(F.xxhash64("id", "deal"), F.ceil(F.col("n") / CHUNK_TEXTS))
+    dealt = dealt.select("id", "strict", "sig", "loose", "deal", chunk.alias("chunk"))
+    return dealt.groupBy("loose", "deal", "chunk").applyInPandas(_across, "x long, y long").distinct()
 
 
 def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
@@ -286,9 +341,14 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .where("coalesce(rx, x) <> coalesce(ry, y)")
         .join(best, ["x", "y"], "left_anti")
     )
-    second = verified(written(apart.select("x", "y"), "dedup-apart"), named, all_texts, similarity, "dedup-second")
-    edges = first.union(second)
-    root = components(edges.select("a", "b"))
+    apart = written(apart.select("x", "y"), "dedup-apart")
+    second = verified(apart, named, all_texts, similarity, "dedup-second")
+    root = components(first.union(second).select("a", "b"))
+    root = root.union(root.select("root", "root").distinct())
+    more = unlinked_pairs(pairs, root, signed).join(best.union(apart), ["x", "y"], "left_anti")
+    third = verified(written(more, "dedup-more"), named, all_texts, similarity, "dedup-third")
+    edges = written(first.union(second).union(third).select("a", "b"), "dedup-links")
+    root = components(edges)
     roots = root.union(root.select("root", "root").distinct()).toDF("id", "root")
     links = edges.selectExpr("explode(array(a, b)) AS id").groupBy("id").agg(F.count("*").alias("links"))
     linked = named.join(roots, "id").join(links, "id")
