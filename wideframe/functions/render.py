@@ -42,22 +42,21 @@ def text_json(df: DataFrame, position: str, row_group: str = ROW_GROUP, columns:
     for n in columns:
         if n not in df.columns:
             raise TableError(f"unknown column '{n}'")
-    listed = [
-        F.sort_array(F.collect_list(F.struct(_name(position).alias("p"), F.coalesce(_name(n).cast("string"), F.lit("")).alias("v")))).alias(f"c{k}")
-        if not is_nested(df.schema[n].dataType)
-        else F.lit(None).alias(f"c{k}")
-        for k, n in enumerate(columns)
-    ]
-    lines = df.groupBy(row_group).agg(*listed)
+    flat = {n: k for k, n in enumerate(columns) if not is_nested(df.schema[n].dataType)}
+    row = [F.coalesce(_name(n).cast("string"), F.lit("")).alias(f"c{k}") for n, k in flat.items()]
+    # One sorted list of rows for all columns.
+    lines = df.groupBy(row_group).agg(
+        F.sort_array(F.collect_list(F.struct(_name(position).alias("p"), *row))).alias("rows")
+    )
     members = [
         F.concat(
             F.lit('"'),
             json_string(F.lit(n)),
             F.lit('":"'),
-            json_string(F.array_join(F.col(f"c{k}.v"), ",") if not is_nested(df.schema[n].dataType) else F.lit("")),
+            json_string(F.array_join(F.col(f"rows.c{flat[n]}"), ",") if n in flat else F.lit("")),
             F.lit('"'),
         )
-        for k, n in enumerate(columns)
+        for n in columns
     ]
     line = F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
     ok = text_json_support(df.select(row_group, *[_name(n) for n in columns]), row_group)

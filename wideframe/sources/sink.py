@@ -21,6 +21,10 @@ from ..types import TableError, check_schema, check_stats_columns, is_nested
 from . import files
 
 
+#: Rows that a batch's mean row size is taken from.
+SIZED_ROWS = 20_000
+
+
 def required(df: DataFrame, names: list[str]) -> DataFrame:
     """df with these columns not null: a null in one ends the write, naming the column."""
     out = []
@@ -81,7 +85,8 @@ class Writer:
             raise TableError(f"writer is {self.state}")
         try:
             checked = check_batch(df, self.schema)
-            mean = df.agg(F.avg(row_bytes(self.schema))).first()[0]
+            # Only to size the files, so the first rows will do.
+            mean = df.limit(SIZED_ROWS).agg(F.avg(row_bytes(self.schema))).first()[0]
             per_file = max(1, math.floor(self.options.row_group_max_size / mean)) if mean else 0
             out = checked.write.mode("append").option("compression", self.options.compression)
             if self.options.compression == "zstd":
