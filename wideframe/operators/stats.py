@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..types import check_stats_columns, is_nanos
+from ..types import check_stats_columns, is_nanos, width
 
 ROW_GROUP = "row_group"
 
@@ -61,7 +61,12 @@ def row_group_stats(
         t, c = df.schema[n].dataType, _name(n)
         low, high = _extremes(c, t, place)
         aggs += [F.count_if(c.isNull()).alias(f"n{k}"), low.alias(f"l{k}"), high.alias(f"h{k}")]
-    wide = df.groupBy(row_group).agg(F.count("*").alias("rows"), *aggs)
+    rows = F.count("*")
+    if any(width(df.schema[n].dataType) is None for n in columns):
+        # Least and greatest texts alone would make Spark sort all rows. With an aggregate of objects beside them (this
+        # one is of nothing) it hashes, and row groups of one task are few.
+        rows = rows + F.size(F.collect_set(F.lit(None).cast("int")))
+    wide = df.groupBy(row_group).agg(rows.alias("rows"), *aggs)
     each = [
         F.struct(
             F.lit(n).alias("column"),
