@@ -21,6 +21,8 @@ BUCKETS = 1 << 15
 #: Code points that are hashed at once, so memory stays bounded for any text.
 CHUNK = 150_000
 UNDETERMINED = "und"
+#: Posterior below which the pipeline takes a document to be in none of the languages.
+LEAST_SCORE = 0.4
 _LETTER = re.compile(r"[^\W\d_]")
 _PAD = 2
 
@@ -159,6 +161,6 @@ def op3_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_known(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: documents without a language go (`und`, or none with half of the posterior)."""
+    """A pipeline stage: documents without a language go (`und`, or no language has LEAST_SCORE of the posterior)."""
     scored = predict(docs, _trained(docs))
-    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= 0.5)).select(*docs.columns)
+    return scored.where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
