@@ -68,7 +68,9 @@ def test_language_edges(spark, odd, clashing, empty):
 # --- language model ------------------------------------------------------------------------------------------------
 
 
-def test_base_score(spark, tmp_path, odd, clashing):
+@pytest.mark.parametrize("head", [0, 40, 200_000])
+def test_base_score(spark, tmp_path, odd, monkeypatch, head):
+    monkeypatch.setattr(attention_lm, "HEAD_WORDS", head)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(clean_odd(odd).select("doc_id", "text").where("doc_id IS NOT NULL").selectExpr("doc_id + 100000 AS doc_id", "text"))
     got = attention_lm.op4_lm_score(spark, table_dir(tmp_path, documents=docs)).toPandas()
     rows = [tuple(r) for r in docs.collect()]
