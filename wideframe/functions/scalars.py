@@ -41,7 +41,12 @@ def json_string(c: Column) -> Column:
 
 def strip_control(c: Column) -> Column:
     """Control characters become U+FFFD."""
-    return F.regexp_replace(c, r"\p{Cntrl}", "�")
+    return F.regexp_replace(c, r"\p{Cc}", "�")
+
+
+def valid_utf8(c: Column) -> Column:
+    """Whether bytes, or a string's bytes, are UTF-8."""
+    return F.is_valid_utf8(c.cast("string"))
 
 
 def hex_bytes(c: Column) -> Column:

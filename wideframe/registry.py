@@ -431,6 +431,23 @@ def hex_of_bytes(spark, sf_dir):
     return _t(spark, sf_dir, "region").select("r_name", scalars.hex_bytes(F.col("r_name").cast("binary")).alias("bytes_hex"))
 
 
+@query("SELECT doc_id, true AS valid, octet_length(encode(text))::INT AS n_bytes FROM documents")
+def utf8_valid(spark, sf_dir):
+    docs = _t(spark, sf_dir, "documents")
+    return docs.select("doc_id", scalars.valid_utf8(F.col("text")).alias("valid"), F.octet_length("text").alias("n_bytes"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(text, '\\p{Cc}', chr(65533), 'g')) AS shown_md5 FROM documents")
+def control_chars_replaced(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.md5(scalars.strip_control(F.col("text"))).alias("shown_md5"))
+
+
+@query("SELECT o_orderkey, o_totalprice::DECIMAL(18, 4)::VARCHAR AS price FROM orders")
+def decimal_text(spark, sf_dir):
+    price = F.col("o_totalprice").cast("decimal(18,4)")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", scalars.decimal_text(price).alias("price"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
