@@ -313,10 +313,11 @@ def test_signatures_are_unbiased():
     assert abs(np.mean(off)) < 0.006 and np.std(off) < 0.025
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 10**6])
+def test_components(spark, few):
     rng = random.Random(2)
     edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 50)] + [(300 + rng.randrange(40), 300 + rng.randrange(40)) for _ in range(25)]
-    got = {r.v: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.v: r.root for r in near_dedup.components(spark.createDataFrame(edges, "a long, b long"), few=few).collect()}
     root = {v: v for e in edges for v in e}
     for _ in range(100):
         for a, b in edges:

@@ -37,6 +37,8 @@ MARGIN = 4.0
 CHUNK = 60_000
 #: Texts of one chunk of a bucket, and how many of those before it each text meets.
 CHUNK_TEXTS, NEIGHBOURS = 1000, 3
+#: Edges that one task may join: about 200 bytes each in its table of vertices.
+FEW_EDGES = 250_000
 #: Last round: deals of a group that is larger than a chunk, and pairs that a text may propose from each.
 DEALS, PARTNERS = 4, 8
 #: Keys that a semi join may broadcast (16 bytes each, about 80 in the hash table).
@@ -211,9 +213,32 @@ def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def components(edges: DataFrame, name: str = "components") -> DataFrame:
-    """(v, root) of every vertex with an edge in edges (a, b): root is the least vertex of its component."""
+def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.setdefault(x, x)) != x:
+            root[x] = root[up]
+            x = root[x]
+        return x
+
+    for pdf in batches:
+        for a, b in zip(pdf["a"].tolist(), pdf["b"].tolist(), strict=True):
+            a, b = find(a), find(b)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+    found = [(v, find(v)) for v in list(root)]
+    yield pd.DataFrame([x for x in found if x[0] != x[1]], columns=["v", "root"], dtype="int64")
+
+
+def components(edges: DataFrame, name: str = "components", few: int = FEW_EDGES) -> DataFrame:
+    """(v, root) of every vertex with an edge in edges (a, b): root is the least vertex of its component.
+
+    Up to `few` edges fit one task, which joins them at once; more are contracted to stars over all tasks.
+    """
     e = written(edges.selectExpr("greatest(a, b) AS a", "least(a, b) AS b").where("a <> b").distinct(), name)
+    if e.count() <= few:
+        return written(e.coalesce(1).mapInPandas(_union_find, "v long, root long"), name)
     before = None
     while True:
         both = e.union(e.select("b", "a")).toDF("u", "v")
