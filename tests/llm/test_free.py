@@ -290,6 +290,32 @@ def test_near_duplicates(spark, odd):
     assert sorted(((r.doc_id, r.class_id) for r in got.collect()), key=str) == brute_classes(rows)
 
 
+@pytest.mark.parametrize("n,chunk", [(400, 50), (5000, None)])
+def test_star_of_near_duplicates(spark, monkeypatch, n, chunk):
+    """Variants that are each close to the original, not to each other, are one class at any size of the group."""
+    if chunk:
+        monkeypatch.setattr(near_dedup, "CHUNK_TEXTS", chunk)
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(250)]
+    rows = [(0, " ".join(words))]
+    for k in range(1, n + 1):
+        w = list(words)
+        for at in rng.sample(range(4, 246, 6), 5):  # 25 of 246 shingles go: 0.815 of the original, 0.66 of each other
+            w[at] = f"n{k}-{at}"
+        rows.append((k, " ".join(w)))
+    rng.shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == n + 1 and {r.class_id for r in got} == {0}
+
+
+def test_common_counts():
+    rng = np.random.default_rng(2)
+    x, y = ([rng.choice(400, k, replace=False).astype(np.uint64) for k in rng.integers(0, 300, 30)] for _ in range(2))
+    y = [v + np.uint64(300) for v in y]
+    want = [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert (near_dedup.common_counts(x, y) == np.array(want)).all()
+
+
 def test_near_duplicates_edges(spark, odd, clashing, empty):
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.near_duplicates(clashing).count() == clashing.count()

@@ -9,7 +9,9 @@ registers are ever filled by are not made, which is what makes it quick.
 Signatures are banded. A bucket of any size is dealt into bounded chunks, differently for each band, and a text meets a
 few neighbours of its chunk in signature order, never all others. Pairs whose signatures agree
 enough are verified on the exact multisets: first each text's best pair, then, of the other pairs, those that the
-components found so far do not join already, and last the best pairs across classes that candidate pairs hold together.
+components found so far do not join already. What was not met is compared last, in blocks of two bounded chunks: the
+signatures of a bucket whose texts candidate pairs do not hold together, then the multisets of each group that candidate
+pairs hold together but verified ones do not. Each pair of a group is in one block, so none is left out at any size.
 Components are found by star contraction over written edge tables.
 """
 
@@ -19,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 from pyspark.sql.window import Window
@@ -33,14 +35,15 @@ REGISTERS = 128
 BAND_ROWS = 4
 #: Standard deviations of the signature's estimate below the threshold at which a pair is still verified.
 MARGIN = 4.0
+FLOOR = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
 #: Shingles that are hashed at once.
 CHUNK = 60_000
-#: Texts of one chunk of a bucket, and how many of those before it each text meets.
+#: Texts of one chunk of a bucket or group, and how many of those before it in a bucket each text meets.
 CHUNK_TEXTS, NEIGHBOURS = 1000, 3
+#: Bytes of multisets of one chunk; a text with more is a chunk of about its own.
+CHUNK_BYTES = 8 << 20
 #: Edges that one task may join: about 200 bytes each in its table of vertices.
 FEW_EDGES = 250_000
-#: Last round: deals of a group that is larger than a chunk, and pairs that a text may propose from each.
-DEALS, PARTNERS = 4, 8
 #: Keys that a semi join may broadcast (16 bytes each, about 80 in the hash table).
 BROADCAST_KEYS = 400_000
 
@@ -273,59 +276,166 @@ def candidate_pairs(signed: DataFrame) -> DataFrame:
     others = [F.lag(me, k).over(w) for k in range(1, NEIGHBOURS + 1)] + [F.first(me).over(w)]
     rows = rows.select("id", "sig", F.array(*others).alias("others"))
     pairs = rows.select("id", "sig", F.explode(F.array_distinct("others")).alias("o")).where("o.id <> id")
-    floor = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
     scored = pairs.select("id", F.col("o.id").alias("other"), agreement("sig", "o.sig").alias("est"))
-    fits = scored.where(F.col("est") >= floor)
+    fits = scored.where(F.col("est") >= FLOOR)
     return fits.groupBy(F.greatest("id", "other").alias("x"), F.least("id", "other").alias("y")).agg(
         F.max("est").alias("est")
     )
 
 
-def _across(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-    """(x, y): for each text of a chunk, its PARTNERS of best agreement among texts that are not linked to it yet."""
-    floor = SIMILARITY - MARGIN * (SIMILARITY * (1 - SIMILARITY) / REGISTERS) ** 0.5
-    sig = np.frombuffer(b"".join(bytes(b) for b in pdf["sig"]), np.uint8).reshape(len(pdf), -1)
-    ids, strict = pdf["id"].to_numpy(), pdf["strict"].to_numpy()
-    out: set[tuple[int, int]] = set()
-    for k in range(len(pdf)):
-        other = np.flatnonzero(strict != strict[k])
-        est = ((sig[other] == sig[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
-        for j in np.argsort(-est, kind="stable")[:PARTNERS]:
-            if est[j] < floor:
-                break
-            a, b = int(ids[k]), int(ids[other[j]])
-            out.add((max(a, b), min(a, b)))
-    return pd.DataFrame(sorted(out), columns=["x", "y"], dtype="int64")
-
-
-def unlinked_pairs(pairs: DataFrame, linked: DataFrame, signed: DataFrame) -> DataFrame:
-    """(x, y): pairs across verified classes (v, root) inside what all candidate pairs, verified or not, hold together.
-
-    Such a group of up to CHUNK_TEXTS is compared as a whole, signature by signature; a larger one is dealt DEALS times
-    into chunks of that size. Only the best pairs leave a chunk, a few for each text.
+BLOCK = ["own_i", "part_i", "own_j", "part_j"]
+
+
+def blocks(rows: DataFrame, key: str, cls: str, weight: Column) -> DataFrame:
+    """rows (id, key, cls, ...), once for each block that they are compared in, with `right` and the block's columns BLOCK.
+
+    A group, all rows of one key, is dealt into chunks of about CHUNK_TEXTS rows and CHUNK_BYTES of weight. A block is
+    two chunks of a group, or one, so every pair of rows is in just one. A class of more rows than a chunk has chunks of
+    its own, of which no two meet: their rows are linked already.
     """
-    loose = components(pairs.selectExpr("x AS a", "y AS b"), "dedup-loose")
+    sizes = rows.groupBy(key, cls).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+    sizes = sizes.withColumn("own", F.when(F.col("n") > CHUNK_TEXTS, F.col(cls)).otherwise(-1))
+    parts = F.greatest(F.ceil(F.sum("n") / CHUNK_TEXTS), F.ceil(F.sum("weight") / CHUNK_BYTES), F.lit(1))
+    dealt = written(sizes.groupBy(key, "own").agg(parts.alias("parts")), "dedup-chunks")
+    # Both tables have a row for a thousand rows or so at most.
+    alone = F.broadcast(dealt.where("own >= 0").select(key, F.col("own").alias(cls), F.lit(True).alias("alone")))
+    many = F.broadcast(dealt.where("parts > 1"))
+    rows = rows.join(alone, [key, cls], "left").withColumn("own", F.expr(f"if(alone, {cls}, -1)")).drop("alone")
+    rows = rows.join(many, [key, "own"], "left")
+    part = F.pmod(F.xxhash64("id", F.lit(17)), F.coalesce("parts", F.lit(1))).cast("int")
+    rows = rows.withColumn("part", part).drop("parts")
+    chunks = dealt.select(key, "own", F.explode(F.expr("sequence(0, cast(parts AS int) - 1)")).alias("part"))
+    pairs = chunks.toDF(key, "own_i", "part_i").join(chunks.toDF(key, "own_j", "part_j"), key)
+    pairs = pairs.where("(own_i < own_j OR own_i = own_j AND part_i <= part_j) AND NOT (own_i >= 0 AND own_i = own_j)")
+    one = pairs.selectExpr(key, *BLOCK, "false AS right", "own_i AS own", "part_i AS part")
+    two = pairs.where("own_i <> own_j OR part_i <> part_j")
+    sides = one.union(two.selectExpr(key, *BLOCK, "true AS right", "own_j AS own", "part_j AS part"))
+    return rows.join(sides, [key, "own", "part"])
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    right = pdf["right"].to_numpy()
+    left = np.flatnonzero(~right)
+    return left, np.flatnonzero(right) if right.any() else left
+
+
+def _links(pdf: pd.DataFrame, cls: str, left: np.ndarray, right: np.ndarray, fits) -> pd.DataFrame:
+    """(a, b): of the pairs that fit, as many as join all classes that they hold together; fits(k) is left row k's mask."""
+    ids, root = pdf["id"].to_numpy(), pd.factorize(pdf[cls])[0]
+    out = []
+    for k, row in enumerate(left):
+        hit = right[fits(k)]
+        hit = hit[root[hit] != root[row]]
+        for r, at in zip(*np.unique(root[hit], return_index=True), strict=True):
+            out.append((max(ids[row], ids[hit[at]]), min(ids[row], ids[hit[at]])))
+            root[root == r] = root[row]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _alike(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of a block by signatures."""
+    sig = np.frombuffer(b"".join(bytes(b) for b in pdf["sig"]), np.uint8).reshape(len(pdf), -1)
+    left, right = _sides(pdf)
+    y = sig[right]
+    fits = lambda k: ((y == sig[left[k]]).mean(1) - 1 / 256) / (1 - 1 / 256) >= FLOOR
+    return _links(pdf, "loose", left, right, fits)
+
+
+def common_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """(len(x), len(y)) sizes of the intersections of sets of hashes."""
+    hx, hy = np.concatenate(x), np.concatenate(y)
+    rx, ry = (np.repeat(np.arange(len(s)), [len(v) for v in s]) for s in (x, y))
+    both = np.intersect1d(hx, hy)
+    out = np.zeros((len(x), len(y)), np.float32)
+    if not len(both):
+        return out
+    columns = []
+    for h, r in ((hx, rx), (hy, ry)):
+        at = np.minimum(np.searchsorted(both, h), len(both) - 1)
+        keep = np.flatnonzero(both[at] == h)
+        keep = keep[np.argsort(at[keep], kind="stable")]
+        columns.append((at[keep], r[keep]))
+    (cx, rx), (cy, ry) = columns
+    times = np.bincount(cy, minlength=len(both))
+    first = np.cumsum(times) - times
+    few = times[cx] <= 4  # rare hashes pair by pair, the others as products of matrices
+    own = times[cx[few]]
+    where = np.repeat(first[cx[few]] - (np.cumsum(own) - own), own) + np.arange(int(own.sum()))
+    np.add.at(out.reshape(-1), np.repeat(rx[few], own) * len(y) + ry[where], 1)
+    often = np.flatnonzero(times > 4)
+    number = np.full(len(both), -1)
+    number[often] = np.arange(len(often))
+    nx, ny = number[cx], number[cy]
+    rx, nx, ry, ny = rx[nx >= 0], nx[nx >= 0], ry[ny >= 0], ny[ny >= 0]
+    for c in range(0, len(often), 512):
+        (xa, xb), (ya, yb) = (np.searchsorted(n, [c, c + 512]) for n in (nx, ny))
+        p, q = np.zeros((len(x), 512), np.float32), np.zeros((len(y), 512), np.float32)
+        p[rx[xa:xb], nx[xa:xb] - c] = 1
+        q[ry[ya:yb], ny[ya:yb] - c] = 1
+        out += p @ q.T
+    return out
+
+
+def _overlapping(similarity: float):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links of a block by exact weighted Jaccard similarity."""
+        sets = [np.frombuffer(bytes(b), np.uint64) for b in pdf["blob"]]
+        size = np.array([len(s) for s in sets])
+        left, right = _sides(pdf)
+        common = common_counts([sets[k] for k in left], [sets[k] for k in right]).astype(np.float64)
+        fits = lambda k: common[k] / np.maximum(1, size[left[k]] + size[right] - common[k]) >= similarity
+        return _links(pdf, "strict", left, right, fits)
+
+    return run
+
+
+def loose_groups(pairs: DataFrame, signed: DataFrame) -> DataFrame:
+    """(id, loose): the groups that all pairs of one bucket whose signatures agree hold together, met in `pairs` or not."""
+    edges = pairs.selectExpr("x AS a", "y AS b")
+    loose = components(edges, "dedup-loose")
     loose = loose.union(loose.select("root", "root").distinct()).toDF("id", "loose")
+    # A bucket of up to NEIGHBOURS + 2 texts is met wholly by `candidate_pairs`.
+    bands = signed.select("id", F.explode("bands").alias("band"))
+    crowded = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > NEIGHBOURS + 2)
+    rows = bands.join(crowded, "band", "left_semi").join(loose, "id", "left")
+    rows = written(rows.select("id", "band", F.coalesce("loose", "id").alias("loose")), "dedup-crowded")
+    apart = rows.groupBy("band").agg(F.min("loose").alias("s"), F.max("loose").alias("t")).where("s <> t")
+    rows = written(rows.join(apart.select("band"), "band", "left_semi"), "dedup-apart-buckets")
+    if rows.isEmpty():
+        return loose
+    met = blocks(rows, "band", "loose", F.lit(REGISTERS)).join(signed.select("id", "sig"), "id")
+    more = written(met.groupBy("band", *BLOCK).applyInPandas(_alike, "a long, b long"), "dedup-alike")
+    loose = components(edges.union(more), "dedup-loose")
+    return loose.union(loose.select("root", "root").distinct()).toDF("id", "loose")
+
+
+def unlinked(loose: DataFrame, linked: DataFrame, named: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): verified links that join the classes (v, root) of each group (id, loose), found among all its pairs."""
     rows = loose.join(linked.toDF("id", "strict"), "id", "left").withColumn("strict", F.coalesce("strict", "id"))
-    groups = rows.groupBy("loose").agg(F.count("*").alias("n"), F.min("strict").alias("s"), F.max("strict").alias("t"))
-    rows = rows.join(groups.where("s <> t").select("loose", "n"), "loose").join(signed.select("id", "sig"), "id")
-    deals = F.explode(F.sequence(F.lit(0), F.when(F.col("n") > CHUNK_TEXTS, DEALS - 1).otherwise(0))).alias("deal")
-    dealt = rows.select("id", "strict", "sig", "loose", "n", deals)
-    chunk = F.pmod(F.xxhash64("id", "deal"), F.ceil(F.col("n") / CHUNK_TEXTS))
-    dealt = dealt.select("id", "strict", "sig", "loose", "deal", chunk.alias("chunk"))
-    return dealt.groupBy("loose", "deal", "chunk").applyInPandas(_across, "x long, y long").distinct()
-
-
-def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
-    """The pairs (x, y) whose texts' multisets overlap enough, as written edges (a, b, similarity)."""
-    wanted = named.join(pairs.selectExpr("explode(array(x, y)) AS id").distinct(), "id", "left_semi")
+    rows = written(rows.select("id", "loose", "strict"), "dedup-groups")
+    groups = rows.groupBy("loose").agg(F.min("strict").alias("s"), F.max("strict").alias("t")).where("s <> t")
+    rows = written(rows.join(groups.select("loose"), "loose", "left_semi"), "dedup-open")
+    blobs = multisets_of(rows.select("id"), named, texts, "dedup-third")
+    sized = written(rows.join(blobs.select("id", F.length("blob").alias("bytes")), "id"), "dedup-sized")
+    met = blocks(sized, "loose", "strict", F.col("bytes")).join(blobs, "id")
+    return written(met.groupBy("loose", *BLOCK).applyInPandas(_overlapping(similarity), "a long, b long"), "dedup-third")
+
+
+def multisets_of(ids: DataFrame, named: DataFrame, texts: DataFrame, name: str) -> DataFrame:
+    """(id, blob) of these texts, written."""
+    wanted = named.join(ids.distinct(), "id", "left_semi")
     wanted = written(wanted.selectExpr("id", "key AS k", "least_id"), f"{name}-wanted")
     if wanted.count() <= BROADCAST_KEYS:
         wanted = F.broadcast(wanted)
     # One row of each text: that of its least doc_id.
     met = texts.join(wanted, F.expr("key = k AND doc_id <=> least_id")).select("id", "text")
     made = met.mapInPandas(_multiset_blobs, "id long, blob binary").dropDuplicates(["id"])
-    blobs = written(made, f"{name}-multisets")
+    return written(made, f"{name}-multisets")
+
+
+def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, similarity: float, name: str) -> DataFrame:
+    """The pairs (x, y) whose texts' multisets overlap enough, as written edges (a, b, similarity)."""
+    blobs = multisets_of(pairs.selectExpr("explode(array(x, y)) AS id"), named, texts, name)
     joined = pairs.select("x", "y").join(blobs.toDF("x", "bx"), "x").join(blobs.toDF("y", "by"), "y")
     scored = joined.select(F.col("x").alias("a"), F.col("y").alias("b"), overlap("bx", "by").alias("similarity"))
     return written(scored.where(F.col("similarity") >= similarity), f"{name}-edges")
@@ -370,9 +480,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     second = verified(apart, named, all_texts, similarity, "dedup-second")
     root = components(first.union(second).select("a", "b"))
     root = root.union(root.select("root", "root").distinct())
-    more = unlinked_pairs(pairs, root, signed).join(best.union(apart), ["x", "y"], "left_anti")
-    third = verified(written(more, "dedup-more"), named, all_texts, similarity, "dedup-third")
-    edges = written(first.union(second).union(third).select("a", "b"), "dedup-links")
+    third = unlinked(loose_groups(pairs, signed), root, named, all_texts, similarity)
+    edges = written(first.union(second).select("a", "b").union(third), "dedup-links")
     root = components(edges)
     roots = root.union(root.select("root", "root").distinct()).toDF("id", "root")
     links = edges.selectExpr("explode(array(a, b)) AS id").groupBy("id").agg(F.count("*").alias("links"))
