@@ -139,6 +139,23 @@ def test_attention_learns():
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
+def trained_on(spark, monkeypatch, texts):
+    """What `train` gives to `build` for these texts."""
+    given = []
+    monkeypatch.setattr(attention_lm, "build", lambda *a, **k: given.append((a, k)))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    attention_lm.ship(spark)
+    attention_lm.train(docs, attention_lm.word_counts(docs), attention_lm.default_tokenizer())
+    return given[0]
+
+
+def test_tables_count_all_documents(spark, monkeypatch):
+    texts = [f"text {k} of many has its own words w{k} and v{k * k} " * (1 + k % 5) for k in range(60)] + ["one copy " * 900] * 30
+    (counts, input_of, class_of, near, far, *_), _ = trained_on(spark, monkeypatch, texts)
+    assert near.sum() == counts.sum() and far.sum() == counts.sum() * len(attention_lm.FAR)
+    assert (np.bincount(class_of, counts, attention_lm.CLASSES) == near.sum(0)).all()
+
+
 def test_tokenizer_is_the_file_s():
     from tokenizers import Tokenizer
 
