@@ -156,6 +156,34 @@ def test_tables_count_all_documents(spark, monkeypatch):
     assert (np.bincount(class_of, counts, attention_lm.CLASSES) == near.sum(0)).all()
 
 
+def test_fit_sees_whole_texts(spark, monkeypatch):
+    head = "one two three four five six seven " * 200
+    texts = [head + f"{k} zebra quartz zebra quartz " * 40 for k in range(20)]
+    assert len(head) > 4000
+    around = []
+    plain = attention_lm.grouped
+    monkeypatch.setattr(attention_lm, "grouped", lambda counts, a: around.append(a) or plain(counts, a))
+    (counts, *_), more = trained_on(spark, monkeypatch, texts)
+    x, y, use = more["chosen"]
+    # As few as these are all chosen; their targets are the ids of all texts, those of the tails too.
+    assert (np.bincount(y[use], minlength=len(counts)) == counts).all() and len(x) == len(y) == len(use)
+    assert around[0].shape == (len(counts), 2 * (attention_lm.AROUND + 1))
+
+
+def test_around_counts():
+    ids = [np.array([3, 4, 3, 9], np.uint16), np.array([9], np.uint16), np.array([4, 9], np.uint16)]
+    number = np.full(10, 2)
+    number[[3, 4]] = 0, 1
+    around = np.zeros(60)
+    attention_lm.around_counts(ids, number, around)
+    want = np.zeros((10, 6))
+    for i in ids:
+        for a, b in itertools.pairwise(i):
+            want[b, number[a]] += 1
+            want[a, 3 + number[b]] += 1
+    assert (around.reshape(10, 6) == want).all()
+
+
 def test_tokenizer_is_the_file_s():
     from tokenizers import Tokenizer
 
