@@ -272,6 +272,13 @@ def test_media_damage():
     assert mpeg.crc16(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xAEE7  # the published check value
 
 
+def test_unverified_checksums_are_counted():
+    layer_2 = bytes([0xFF, 0xFC, 0x84, 0x00]) + bytes(380)  # protected, 128 kbit/s, 48 kHz
+    s = mpeg.probe(layer_2 * 4)
+    assert (s.first.layer, s.frames, s.bad_crc, s.unverified) == (2, 4, 0, 4)
+    assert mpeg.probe(mpeg.carry(b"abc" * 300)).unverified == 0
+
+
 def test_media_column(spark, odd, empty, clashing):
     got = mpeg.read(mpeg.store(odd)).toPandas()
     want = []

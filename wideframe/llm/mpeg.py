@@ -94,6 +94,8 @@ class Stream:
     samples: int = 0
     duration: Fraction = Fraction(0)
     bad_crc: int = 0
+    #: Frames with a checksum that is not verified: not part of bad_crc.
+    unverified: int = 0
     skipped: int = 0
     table: tuple[str, int, int] | None = None
     seek: list[int] = field(default_factory=list)
@@ -134,18 +136,21 @@ def _vbr(frame: bytes, h: Header) -> tuple[str, int, int] | None:
     return None
 
 
-def _crc_of(rows: np.ndarray, h: Header) -> int:
-    """Rows with a wrong checksum. Layer II's covers scale factor choices that need its allocation tables: not verified."""
-    if not h.protected or h.layer == 2:
-        return 0
+def _crc_of(rows: np.ndarray, h: Header) -> tuple[int, int]:
+    """Rows with a wrong checksum, and rows whose checksum is not verified.
+
+    Layer II's covers scale factor choices that need its allocation tables; a Layer I frame may be too short for its own.
+    """
+    if not h.protected:
+        return 0, 0
     if h.layer == 1 and rows.shape[1] >= 38:
         covered = rows[:, 6 : 6 + (16 if h.mono else 32)]
     elif h.layer == 3:
         covered = rows[:, 6 : 6 + h.side]
     else:
-        return 0
+        return 0, len(rows)
     stated = rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]
-    return int((crc16(np.hstack([rows[:, 2:4], covered])) != stated).sum())
+    return int((crc16(np.hstack([rows[:, 2:4], covered])) != stated).sum()), 0
 
 
 def probe(data: bytes) -> Stream:
@@ -175,7 +180,9 @@ def probe(data: bytes) -> Stream:
         rows = raw[at : at + many * h.length].reshape(many, h.length)
         other = np.flatnonzero((rows[:, :4] != rows[0, :4]).any(1))
         n = int(other[0]) if len(other) else many
-        out.bad_crc += _crc_of(rows[:n], h)
+        bad, unverified = _crc_of(rows[:n], h)
+        out.bad_crc += bad
+        out.unverified += unverified
         out.runs.append((at, n, h))
         out.seek += [at + k * h.length for k in range(-seen % SEEK_EVERY, n, SEEK_EVERY)]
         seen += n
