@@ -191,6 +191,14 @@ def test_writer_refuses(spark, tmp_path):
     assert WideTable.open(spark, str(tmp_path / "empty")).count() == 0
 
 
+def test_row_groups_are_sized_by_all_rows(spark, tmp_path):
+    rows = spark.range(24_000, numPartitions=1).selectExpr("IF(id < 20000, '', repeat('x', 1000)) AS t")
+    with Writer(spark, str(tmp_path / "late"), rows.schema, Options(row_group_max_size=1 << 20)) as w:
+        w.append(rows)
+    # 4 MB of text, of which the first 20,000 rows have nothing.
+    assert len(list((tmp_path / "late").rglob("*.parquet"))) >= 4
+
+
 def test_cli(spark, tmp_path):
     (p,) = put(tmp_path, "id,kind\n1,a\n2,b\n3,a\n")
     out = str(tmp_path / "out")
