@@ -136,6 +136,50 @@ def trigram_query(pattern: str) -> frozenset[frozenset[str]] | None:
     return None if frozenset() in query else query
 
 
+SPAN = "struct<start:int,kind_no:int,end:int,kind:string>"
+#: Elements that are folded one after the other; a fold copies its array for each, so longer arrays go by blocks.
+FOLDED = 128
+#: Code points of a part of a text that redaction cuts its pieces from.
+PART = 4096
+
+
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def running(values: Column, join) -> Column:
+    """For each of an array of ints what join (a sum, a maximum) makes of 0 and those before it.
+
+    Blocks of FOLDED elements are folded by themselves, then the blocks' totals, so time hardly grows faster than the
+    array: n * FOLDED + (n / FOLDED)**2 copied numbers.
+    """
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("before"))
+
+    def fold(items: Column, of) -> Column:
+        return F.aggregate(
+            items,
+            zero,
+            lambda a, x: F.struct(
+                join(a["at"], of(x)).cast("int").alias("at"), F.concat(a["before"], F.array(a["at"])).alias("before")
+            ),
+        )
+
+    def all_blocks(v: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(v) - 1, F.lit(0)), F.lit(FOLDED)), lambda k: k < F.size(v))
+        blocks = F.transform(starts, lambda k: fold(F.slice(v, k + 1, F.lit(FOLDED)), lambda x: x))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, fold(b, lambda x: x["at"])["before"], shifted)))
+
+    def shifted(block: Column, before: Column) -> Column:
+        return F.transform(block["before"], lambda x: join(x, before).cast("int"))
+
+    return let(values, all_blocks)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _spans(text: Column, rule: Rule, kind: int) -> Column:
     """array<struct<start, kind_no, end, kind>> of the rule's matches, leftmost and without overlap."""
     p = F.lit(rule.pattern)
@@ -144,22 +188,21 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
         F.transform(F.regexp_extract_all(text, p, F.lit(0)), F.length).alias("len"),
         F.transform(F.regexp_extract_all(text, p, F.lit(rule.group)), F.length).alias("own"),
     )
-    kind_of = "array<struct<start:int,kind_no:int,end:int,kind:string>>"
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind_of).alias("spans"))
 
-    def step(a: Column, x: Column) -> Column:
-        start = a["at"] + x["gap"]
-        span = F.struct(
-            start.alias("start"),
+    def span(x: Column, before: Column) -> Column:
+        start = before + x["gap"]
+        return F.struct(
+            F.when(x["own"] >= rule.min_len, start).alias("start"),
             F.lit(kind).alias("kind_no"),
             (start + x["len"]).alias("end"),
             F.lit(rule.kind).alias("kind"),
         )
-        found = F.concat(a["spans"], F.array(span))
-        spans = F.when(x["own"] >= rule.min_len, found).otherwise(a["spans"])
-        return F.struct((start + F.coalesce(x["len"], F.lit(0))).alias("at"), spans.alias("spans"))
 
-    return F.aggregate(items, zero, step, lambda a: a["spans"])
+    def all_spans(v: Column) -> Column:
+        before = running(F.transform(v, lambda x: x["gap"] + F.coalesce(x["len"], F.lit(0))), _sum)
+        return F.filter(F.zip_with(v, before, span), lambda s: s["start"].isNotNull())
+
+    return let(items, all_spans)
 
 
 def candidates(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], segment_rows: int) -> DataFrame:
@@ -220,7 +263,7 @@ def find_secrets(
         found = F.broadcast(found)
     mark = fresh(docs, "secret_rules")
     joined = keyed.join(found.withColumnRenamed("rules", mark), key, "left")
-    none = F.array().cast("array<struct<start:int,kind_no:int,end:int,kind:string>>")
+    none = F.array().cast(f"array<{SPAN}>")
     each = []
     for k, r in enumerate(rules):
         may = F.array_contains(mark, k) if trigram_query(r.pattern) else F.rlike(whole, F.lit(r.pattern))
@@ -229,23 +272,38 @@ def find_secrets(
 
 
 def redact(text: str, spans: str) -> Column:
-    """The text with each span's characters replaced by [kind]; of spans that overlap, the first by start is named."""
+    """The text with each span's characters replaced by [kind]; of spans that overlap, the first by start is named.
 
-    def step(a: Column, s: Column) -> Column:
-        before = F.substring(text, a["at"] + 1, F.greatest(s["start"] - a["at"], F.lit(0)))
-        out = F.concat(a["out"], F.array(before, F.concat(F.lit("["), s["kind"], F.lit("]"))))
-        return F.struct(
-            F.greatest(a["at"], s["end"]).alias("at"), F.when(s["end"] > a["at"], out).otherwise(a["out"]).alias("out")
+    A null text stays null, an empty one empty. The text is cut into parts of PART code points once, so a piece between
+    two spans costs its own length and a part, wherever it is.
+    """
+    whole = F.col(text)
+    parts = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+
+    def piece(cut: Column, a: Column, b: Column) -> Column:
+        """Characters a to b (end exclusive)."""
+
+        def of(k: Column, start: Column, n: Column) -> Column:
+            return F.coalesce(F.substring(F.get(cut, k), start + 1, n), F.lit(""))
+
+        first, last = F.floor(a / PART).cast("int"), F.floor(b / PART).cast("int")
+        middle = F.array_join(F.slice(cut, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        over = F.concat(of(first, a % PART, F.lit(PART)), middle, of(last, F.lit(0), b % PART))
+        return F.when(a >= b, "").when(first == last, of(first, a % PART, b - a)).otherwise(over)
+
+    def joined(cut: Column) -> Column:
+        ends = running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        pieces = F.zip_with(
+            F.col(spans),
+            ends,
+            lambda s, at: F.when(
+                s["end"] > at, F.concat(piece(cut, at, s["start"]), F.lit("["), s["kind"], F.lit("]"))
+            ).otherwise(""),
         )
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(pieces, ""), piece(cut, last, F.length(whole)))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = F.aggregate(
-        spans,
-        zero,
-        step,
-        lambda a: F.concat(F.array_join(a["out"], ""), F.substring(text, a["at"] + 1, F.length(text))),
-    )
-    return F.when(F.size(spans) > 0, rest).otherwise(F.col(text))
+    return F.when(F.size(spans) > 0, let(parts, joined)).otherwise(whole)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
