@@ -126,12 +126,13 @@ def shard(
     rows may be one document. An empty table gives an empty result. Columns named as the results are replaced.
     """
     names = [fresh(docs, f"key_{k}") for k in "abc"]
+    width, place, block, start, row = (fresh(docs, f"shard_{k}") for k in ("size", "no", "block", "start", "row"))
     text = text_or_empty()
     out = payload or _keys(docs.columns)
     mine = {"size", "shard", "slot"}
     base = docs.select(
         *out,
-        (F.octet_length(text) + 1).cast("long").alias("__size"),
+        (F.octet_length(text) + 1).cast("long").alias(width),
         F.xxhash64(text).alias(names[0]),
         F.xxhash64(F.col("doc_id"), F.lit(1)).alias(names[1]),
         F.monotonically_increasing_id().alias(names[2]),
@@ -139,28 +140,28 @@ def shard(
     # Halved, so that differences of key parts fit in a long.
     base = base.withColumns({n: F.shiftright(F.col(n), 1) for n in names[:2]})
     keyed = written(base, "shard-keys")
-    cuts, total = splitters(keyed, names, "__size", n_shards, tolerance)
+    cuts, total = splitters(keyed, names, width, n_shards, tolerance)
     number = reduce(lambda a, b: a + b, [_past(names, c).cast("int") for c in cuts], F.lit(0))
-    placed = keyed.withColumn("__shard", number)
+    placed = keyed.withColumn(place, number)
     rows = keyed.count()
     blocks = max(1, -(-rows // (n_shards * block_rows)))
-    placed = placed.withColumn("__block", F.pmod(F.xxhash64(*_keys(names)), F.lit(blocks)))
+    placed = placed.withColumn(block, F.pmod(F.xxhash64(*_keys(names)), F.lit(blocks)))
     # At most n_shards rows for each block_rows * n_shards rows of input.
-    counts = {(r[0], r[1]): r[2] for r in placed.groupBy("__shard", "__block").count().collect()}
+    counts = {(r[0], r[1]): r[2] for r in placed.groupBy(place, block).count().collect()}
     starts, at = [], {}
     for s, b in sorted(counts):
         starts.append((s, b, at.get(s, 0)))
         at[s] = at.get(s, 0) + counts[s, b]
-    offsets = docs.sparkSession.createDataFrame(starts, "__shard int, __block long, __start long")
+    offsets = docs.sparkSession.createDataFrame(starts, f"{place} int, {block} long, {start} long")
     ordered = placed.withColumn(
-        "__row", F.expr(f"row_number() OVER (PARTITION BY __shard, __block ORDER BY {', '.join(names)})")
+        row, F.expr(f"row_number() OVER (PARTITION BY {place}, {block} ORDER BY {', '.join(names)})")
     )
-    keep = [c for c in keyed.columns if c not in names and c != "__size" and c.lower() not in mine]
-    return ordered.join(F.broadcast(offsets), ["__shard", "__block"]).select(
+    keep = [c for c in keyed.columns if c not in names and c != width and c.lower() not in mine]
+    return ordered.join(F.broadcast(offsets), [place, block]).select(
         *keep,
-        F.col("__size").alias("size"),
-        F.col("__shard").alias("shard"),
-        (F.col("__start") + F.col("__row") - 1).alias("slot"),
+        F.col(width).alias("size"),
+        F.col(place).alias("shard"),
+        (F.col(start) + F.col(row) - 1).alias("slot"),
     )
 
 
