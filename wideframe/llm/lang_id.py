@@ -23,10 +23,16 @@ CHUNK = 150_000
 UNDETERMINED = "und"
 #: Posterior below which the pipeline takes a document to be in none of the languages.
 LEAST_SCORE = 0.4
-_LETTER = re.compile(r"[^\W\d_]")
+#: Letters, and some numbers that are no digits, such as ½.
+_WORDLIKE = re.compile(r"[^\W\d_]")
 _PAD = 2
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is a letter to Unicode (str.isalpha)."""
+    return any(m[0].isalpha() for m in _WORDLIKE.finditer(text))
+
+
 def _grams(codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Buckets (3, n) of the grams that start at each code; BUCKETS for those on a text's two pad codes."""
     a = codes * np.uint32(0x9E3779B1)
@@ -81,7 +87,7 @@ class Model:
         total += self.prior
         best = total.argmax(1)
         p = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        known = [bool(t) and _LETTER.search(t) is not None for t in texts]
+        known = [bool(t) and has_letter(t) for t in texts]
         return (
             [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known, strict=True)],
             [float(x) if k else 0.0 for x, k in zip(p, known, strict=True)],
