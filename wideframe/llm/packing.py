@@ -17,10 +17,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ship, small_batches, table, written
+from .common import fresh, ship, small_batches, table, written
 
 LENGTH = 1024
 END_ID = 2
@@ -80,24 +81,29 @@ def cut(n: int, length: int = LENGTH) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32. A null text counts as empty, which is one piece: the end id."""
+    """doc_id, piece, start, length, ids_crc32; other columns are ignored.
+
+    A null text counts as empty, which is one piece: the end id. Null ids stay null. An empty table gives no pieces.
+    """
     spark, path = docs.sparkSession, tokenizer or default_tokenizer()
     ship(spark)
     small_batches(spark, 500)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = load_tokenizer(path)
-        for pdf in batches:
-            out = []
-            for doc_id, text in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), strict=True):
+        for b in batches:
+            rows = []
+            for no, text in enumerate(b.column(1).to_pylist()):
                 ids = np.append(encode(text or ""), END_ID).astype("<u4")
                 for k, (start, n) in enumerate(cut(len(ids), length)):
-                    out.append((doc_id, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
-            made = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
-            yield made.astype({"piece": "int32", "start": "int64", "length": "int64", "ids_crc32": "int64"})
+                    rows.append((no, k, start, n, zlib.crc32(ids[start : start + n].tobytes())))
+            no, piece, *rest = np.array(rows, np.int64).reshape(-1, 5).T
+            # Ids never leave Arrow: as pandas numbers a null among them would make all of them doubles.
+            made = [b.column(0).take(pa.array(no)), pa.array(piece.astype(np.int32)), *map(pa.array, rest)]
+            yield pa.RecordBatch.from_arrays(made, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, PIECE.format(kind))
+    return docs.select("doc_id", "text").mapInArrow(run, PIECE.format(kind))
 
 
 def patterns(support: np.ndarray, length: int) -> np.ndarray:
@@ -198,25 +204,29 @@ def pack(cut_pieces: DataFrame, length: int = LENGTH, ranked_rows: int = RANKED_
     """The pieces with sequence_id and offset: each sequence holds at most `length` tokens, without gaps from 0.
 
     Repeated rows are pieces of their own. An empty table gives an empty result. A common length is ranked in parts, so
-    no task takes more than about ranked_rows of it.
+    no task takes more than about ranked_rows of it. Other columns stay; those named sequence_id or offset are replaced.
     """
     spark = cut_pieces.sparkSession
+    cut_pieces = cut_pieces.drop("sequence_id", "offset")
+    part_no, many, rank, found = (fresh(cut_pieces, f"pack_{k}") for k in ("part", "parts", "rank", "place"))
     histogram = {r[0]: r[1] for r in cut_pieces.groupBy("length").count().collect()}  # at most `length` rows
     if not histogram:
         return cut_pieces.selectExpr("*", "0L AS sequence_id", "0L AS offset").where("false")
     keys, sequences, offsets = _places(plan(histogram, length))
     parts = {n: -(-c // ranked_rows) for n, c in histogram.items() if c > ranked_rows}
-    many = F.lit(1)
-    for n, k in parts.items():
-        many = F.when(F.col("length") == n, F.lit(k)).otherwise(many)
-    dealt = cut_pieces.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), many).cast("int"))
+    dealt = cut_pieces.withColumn(part_no, F.lit(0))
+    if parts:
+        # At most `length` rows; joined, since a condition for each length would make an expression too deep to plan.
+        known = F.broadcast(spark.createDataFrame(list(parts.items()), f"length long, {many} long"))
+        number = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.coalesce(many, F.lit(1))).cast("int")
+        dealt = cut_pieces.join(known, "length", "left").withColumn(part_no, number)
     base, at = {}, {}
     # At most `length` rows, and one for each ranked_rows pieces.
-    for n, part, c in sorted(tuple(r) for r in dealt.groupBy("length", "part").count().collect()):
+    for n, part, c in sorted(tuple(r) for r in dealt.groupBy("length", part_no).count().collect()):
         base[n, part] = at.get(n, 0)
         at[n] = base[n, part] + c
     numbered = dealt.selectExpr(
-        "*", "row_number() OVER (PARTITION BY length, part ORDER BY doc_id, piece, ids_crc32) AS nth"
+        "*", f"row_number() OVER (PARTITION BY length, {part_no} ORDER BY doc_id, piece, ids_crc32) AS {rank}"
     )
     shared = spark.sparkContext.broadcast((keys, sequences, offsets, base))
 
@@ -228,8 +238,8 @@ def pack(cut_pieces: DataFrame, length: int = LENGTH, ranked_rows: int = RANKED_
         k = np.searchsorted(keys, key, "right") - 1
         return pd.DataFrame({"sequence_id": sequences[k] + key - keys[k], "offset": offsets[k]})
 
-    found = numbered.withColumn("found", place("length", "part", "nth"))
-    return found.select(*cut_pieces.columns, "found.sequence_id", "found.offset")
+    placed = numbered.withColumn(found, place("length", part_no, rank))
+    return placed.select(*cut_pieces.columns, f"{found}.sequence_id", f"{found}.offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
