@@ -10,12 +10,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import ship, small_batches, table, text_or_empty
@@ -50,6 +52,7 @@ class Header:
     side: int
 
     @classmethod
+    @lru_cache(maxsize=4096)
     def parse(cls, b: bytes) -> Header | None:
         if len(b) < 4 or b[0] != 0xFF or b[1] & 0xE0 != 0xE0:
             return None
@@ -107,88 +110,163 @@ def _syncsafe(b: bytes) -> int:
     return b[0] << 21 | b[1] << 14 | b[2] << 7 | b[3]
 
 
+def _text(body: bytes) -> str:
+    """A text frame's or field's value; a description before it is joined by =."""
+    text = body[1:].decode({0: "latin-1", 2: "utf-16-be", 3: "utf-8"}.get(body[0], "utf-16"), "replace")
+    return text.replace("\0", "=").strip("=\ufeff")
+
+
 def _tags(data: bytes) -> tuple[dict[str, str], int]:
-    """The text frames of an ID3v2.3 or .4 tag, and where the tag ends (0: there is none)."""
-    if data[:3] != b"ID3" or len(data) < 10:
+    """The text frames of an ID3v2.2, .3 or .4 tag, and where the tag ends (0: there is none).
+
+    Unsynchronisation is undone, an extended header skipped, and a footer counted. Compressed and encrypted frames,
+    and what a damaged tag has after its damage, give no text.
+    """
+    if data[:3] != b"ID3" or len(data) < 10 or data[3] not in (2, 3, 4):
         return {}, 0
-    end, at, tags = min(len(data), 10 + _syncsafe(data[6:10])), 10, {}
-    while at + 10 <= end and data[at] != 0:
-        name = data[at : at + 4].decode("latin-1")
-        size = _syncsafe(data[at + 4 : at + 8]) if data[3] == 4 else struct.unpack(">I", data[at + 4 : at + 8])[0]
-        body = data[at + 10 : min(end, at + 10 + size)]
-        if name[0] == "T" and body:
-            text = body[1:].decode({0: "latin-1", 3: "utf-8"}.get(body[0], "utf-16"), "replace")
-            tags[name] = text.replace("\0", "=").strip("=")
-        at += 10 + size
+    version, flags, size = data[3], data[5], _syncsafe(data[6:10])
+    end = min(len(data), 10 + size + (10 if version == 4 and flags & 0x10 else 0))
+    tag, at, tags = data[10 : 10 + size], 0, {}
+    if flags & 0x80 and version < 4:
+        tag = tag.replace(b"\xff\0", b"\xff")
+    if flags & 0x40 and version > 2 and len(tag) >= 4:
+        at = _syncsafe(tag) if version == 4 else 4 + struct.unpack(">I", tag[:4])[0]
+    head = 6 if version == 2 else 10
+    while at + head <= len(tag) and tag[at] != 0:
+        name = tag[at : at + head // 2 - (head == 10)].decode("latin-1")
+        if version == 2:
+            n, packed, doubled = int.from_bytes(tag[at + 3 : at + 6], "big"), False, False
+        else:
+            raw = tag[at + 4 : at + 8]
+            n = _syncsafe(raw) if version == 4 else struct.unpack(">I", raw)[0]
+            own = tag[at + 9]
+            packed, doubled = bool(own & (0x0C if version == 4 else 0xC0)), version == 4 and bool(own & 0x02)
+        body = tag[at + head : at + head + n]
+        if doubled:
+            body = body.replace(b"\xff\0", b"\xff")
+        if version == 4 and tag[at + 9] & 0x01:  # the length that the data would have otherwise
+            body = body[4:]
+        if name[0] == "T" and body and not packed:
+            tags[name] = _text(body)
+        at += head + n
     return tags, end
 
 
+#: Fields of an ID3v1 tag: name, place, length.
+OLD_TAG = (("title", 3, 30), ("artist", 33, 30), ("album", 63, 30), ("year", 93, 4), ("comment", 97, 30))
+
+
+def _old_tags(data: bytes) -> dict[str, str]:
+    """Of the ID3v1 tag in the last 128 bytes, as id3v1:title and so on."""
+    tag = data[-128:]
+    if len(tag) < 128 or tag[:3] != b"TAG":
+        return {}
+    found = {f"id3v1:{n}": tag[at : at + k].split(b"\0")[0].decode("latin-1").strip() for n, at, k in OLD_TAG}
+    if tag[125] == 0 and tag[126]:
+        found["id3v1:track"] = str(tag[126])
+    return {k: v for k, v in found.items() if v}
+
+
 def _vbr(frame: bytes, h: Header) -> tuple[str, int, int] | None:
     """(kind, frames, bytes) of a table in a frame that has one instead of audio."""
     at = 4 + 2 * h.protected + h.side
     for kind, place in (("Xing", at), ("Info", at), ("Xing", 4 + h.side), ("Info", 4 + h.side)):
-        if frame[place : place + 4] == kind.encode():
+        if frame[place : place + 4] == kind.encode() and len(frame) >= place + 16:
             flags = struct.unpack(">I", frame[place + 4 : place + 8])[0]
             values = struct.unpack(">2I", frame[place + 8 : place + 16])
             return kind, values[0] if flags & 1 else 0, values[flags & 1] if flags & 2 else 0
-    if frame[36:40] == b"VBRI":
+    if frame[36:40] == b"VBRI" and len(frame) >= 54:
         return ("VBRI", *struct.unpack(">2I", frame[46:54])[::-1])
     return None
 
 
-def _crc_of(rows: np.ndarray, h: Header) -> tuple[int, int]:
-    """Rows with a wrong checksum, and rows whose checksum is not verified.
+#: Frames whose checksums are taken at once.
+CHECKED = 1 << 14
+
+
+def _check(raw: np.ndarray, runs: list[tuple[int, int, Header]]) -> tuple[int, int]:
+    """(frames with a wrong checksum, frames whose checksum is not verified) of all runs.
 
     Layer II's covers scale factor choices that need its allocation tables; a Layer I frame may be too short for its own.
     """
-    if not h.protected:
-        return 0, 0
-    if h.layer == 1 and rows.shape[1] >= 38:
-        covered = rows[:, 6 : 6 + (16 if h.mono else 32)]
-    elif h.layer == 3:
-        covered = rows[:, 6 : 6 + h.side]
-    else:
-        return 0, len(rows)
-    stated = rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]
-    return int((crc16(np.hstack([rows[:, 2:4], covered])) != stated).sum()), 0
+    bad, unverified, kinds = 0, 0, defaultdict(list)
+    for at, n, h in runs:
+        covered = {1: 16 if h.mono else 32, 3: h.side}.get(h.layer, 0)
+        if not h.protected:
+            continue
+        if not covered or h.length < 6 + covered:
+            unverified += n
+        else:
+            kinds[covered].append((at, n, h.length))
+    for covered, own in kinds.items():
+        at, n, length = np.array(own, np.int64).T
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        starts = np.repeat(at, n) + nth * np.repeat(length, n)
+        for k in range(0, len(starts), CHECKED):
+            rows = raw[starts[k : k + CHECKED, None] + np.arange(6 + covered)]
+            stated = rows[:, 4].astype(np.uint32) << 8 | rows[:, 5]
+            bad += int((crc16(np.hstack([rows[:, 2:4], rows[:, 6:]])) != stated).sum())
+    return bad, unverified
+
+
+def _run(data: bytes, raw: np.ndarray, at: int, length: int) -> int:
+    """How many whole frames from here on have the same header. Looks ahead by doubling steps, so a run costs its length."""
+    head, many = data[at : at + 4], (len(data) - at) // length
+    n, step = 1, 1
+    while n < many:
+        if step == 1:  # headers that change at each frame are the rule in some streams
+            if data[at + n * length : at + n * length + 4] != head:
+                return n
+            n, step = n + 1, 2
+            continue
+        k = min(step, many - n)
+        start = at + n * length
+        block = raw[start : start + k * length].reshape(k, length)[:, :4]
+        other = np.flatnonzero((block != raw[at : at + 4]).any(1))
+        if len(other):
+            return n + int(other[0])
+        n, step = n + k, step * 2
+    return max(n, 1)
 
 
 def probe(data: bytes) -> Stream:
-    """Walks the whole stream. A header counts if another one, or the end, follows its frame; else it is skipped."""
-    out, seen = Stream(), 0
+    """Walks the whole stream. A header counts if another one, or the end, follows its frame; else it is skipped.
+
+    Time and memory grow with the stream's bytes, whatever its headers are. Bytes without a frame give no frames.
+    """
+    out, seen, samples = Stream(), 0, Counter()
     out.tags, at = _tags(data)
-    raw = np.frombuffer(data, np.uint8)
-    while at + 4 <= len(data):
+    out.tags |= _old_tags(data)
+    raw, size = np.frombuffer(data, np.uint8), len(data)
+    while at + 4 <= size:
         h = Header.parse(data[at : at + 4])
         after = at + (h.length if h else 0)
-        if not h or h.length < 4 or after > len(data) or (after + 4 <= len(data) and not Header.parse(data[after : after + 4]) and data[after : after + 3] != b"TAG"):
-            nxt = data.find(b"\xff", at + 1)
-            nxt = len(data) if nxt < 0 else nxt
-            if data[at : at + 3] == b"TAG":
+        follows = h and h.length >= 4 and after <= size
+        if follows and after + 4 <= size and not Header.parse(data[after : after + 4]):
+            follows = data[after : after + 3] == b"TAG"
+        if not follows:
+            if data[at : at + 3] == b"TAG" and size - at == 128:
                 break
+            nxt = data.find(b"\xff", at + 1)
+            nxt = size if nxt < 0 else nxt
             out.skipped += nxt - at
             at = nxt
             continue
         if not out.first:
             out.first = h
-            found = _vbr(data[at:after], h)
-            if found:
-                out.table = found
+            out.table = _vbr(data[at:after], h)
+            if out.table:
                 at = after
                 continue
-        many = (len(data) - at) // h.length
-        rows = raw[at : at + many * h.length].reshape(many, h.length)
-        other = np.flatnonzero((rows[:, :4] != rows[0, :4]).any(1))
-        n = int(other[0]) if len(other) else many
-        bad, unverified = _crc_of(rows[:n], h)
-        out.bad_crc += bad
-        out.unverified += unverified
+        n = _run(data, raw, at, h.length)
         out.runs.append((at, n, h))
         out.seek += [at + k * h.length for k in range(-seen % SEEK_EVERY, n, SEEK_EVERY)]
         seen += n
-        out.frames, out.samples = seen, out.samples + n * h.samples
-        out.duration += Fraction(n * h.samples, h.rate)
+        samples[h.rate] += n * h.samples
         at += n * h.length
+    out.frames, out.samples = seen, sum(samples.values())
+    out.duration = sum((Fraction(n, rate) for rate, n in samples.items()), Fraction(0))
+    out.bad_crc, out.unverified = _check(raw, out.runs)
     return out
 
 
@@ -223,14 +301,18 @@ def carry(payload: bytes) -> bytes:
     return b"ID3\x03\0\0" + size + tag + frames.tobytes()
 
 
-def carried(data: bytes, stream: Stream) -> tuple[bytes, int]:
-    """The padded payload of a stream made by `carry`, and its length without the padding."""
+def carried(data: bytes, stream: Stream) -> tuple[bytes, int] | None:
+    """The padded payload of a stream made by `carry`, and its length without the padding; None for other streams."""
+    stated = stream.tags.get("TXXX", "")
+    if not stated.startswith("BYTES=") or not stated[6:].isdigit() or any(h != CARRIER for _, _, h in stream.runs):
+        return None
     raw = np.frombuffer(data, np.uint8)
     parts = [
         raw[at : at + n * h.length].reshape(n, h.length)[:, len(HEAD) : len(HEAD) + UNIT].tobytes()
         for at, n, h in stream.runs
     ]
-    return b"".join(parts), int(stream.tags["TXXX"].rpartition("=")[2])
+    payload, n = b"".join(parts), int(stated[6:])
+    return (payload, n) if n <= len(payload) else None
 
 
 def feature(s: Stream) -> str:
@@ -243,55 +325,68 @@ def feature(s: Stream) -> str:
     )
 
 
-def _store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        made = [carry(bytes(t.encode("utf-8", "surrogatepass"))) for t in pdf.pop("carried_text")]
-        yield pdf.assign(media=made)
-
-
-def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = []
-        for data in pdf["media"]:
-            data = bytes(data)
-            s = probe(data)
-            payload, n = carried(data, s)
-            rows.append(
-                (
-                    n,
-                    len(payload),
-                    hashlib.sha256(payload).hexdigest(),
-                    zlib.crc32(payload[-16:]),
-                    len(data),
-                    hashlib.sha256(data).hexdigest(),
-                    feature(s),
-                    float(s.duration),
-                    s.seek,
-                )
-            )
-        names = [x.split()[0] for x in READ_COLUMNS.split(", ")]
-        yield pd.concat([pdf[["doc_id"]].reset_index(drop=True), pd.DataFrame(rows, columns=names)], axis=1)
-
-
 READ_COLUMNS = (
     "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
-    "media_sha256 string, feature string, duration_s double, seek_offsets array<long>"
+    "media_sha256 string, feature string, duration_s double, seek_offsets array<long>, tags map<string,string>"
 )
+_READ_TYPES = (
+    pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(),
+    pa.list_(pa.int64()), pa.map_(pa.string(), pa.string()),
+)
+_NOTHING = (None,) * len(_READ_TYPES)
+
+
+def _facts(data: bytes | None) -> tuple:
+    if data is None:
+        return _NOTHING
+    s = probe(data)
+    held = carried(data, s)
+    mine = (None, None, None, None)
+    if held:
+        payload, n = held
+        mine = (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+    return (*mine, len(data), hashlib.sha256(data).hexdigest(), feature(s), float(s.duration), s.seek, list(s.tags.items()))
+
+
+# Ids never leave Arrow: as pandas numbers a null among them would make all of them doubles.
+
+
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        made = [carry(t.encode("utf-8", "surrogatepass")) for t in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(made, pa.binary())], ["doc_id", "media"])
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [x.split()[0] for x in READ_COLUMNS.split(", ")]
+    for b in batches:
+        rows = [_facts(data) for data in b.column(1).to_pylist()]
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(_READ_TYPES)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", *names])
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id and media, a binary column with each whole text. A null text counts as empty: 192 bytes of padding."""
+    """doc_id and media, a binary column with each whole text; other columns are ignored.
+
+    A null text counts as empty: 192 bytes of padding. Null ids stay null. An empty table gives an empty result.
+    """
     ship(docs.sparkSession)
     small_batches(docs.sparkSession, 256)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_or_empty().alias("carried_text")).mapInPandas(_store, f"doc_id {kind}, media binary")
+    return docs.select("doc_id", text_or_empty().alias("carried_text")).mapInArrow(_store, f"doc_id {kind}, media binary")
 
 
 def read(media: DataFrame) -> DataFrame:
-    """What the stored streams hold, for each row of doc_id, media. Equal texts have equal values."""
+    """What streams hold, for each row of doc_id, media; other columns are ignored. Equal streams have equal values.
+
+    Any bytes can be read: those of other makers have null payload columns, bytes without a frame the feature
+    "none;frames=0...", and a null stream nulls only. An empty table gives an empty result.
+    """
+    ship(media.sparkSession)
+    small_batches(media.sparkSession, 256)
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.mapInPandas(_read, f"doc_id {kind}, {READ_COLUMNS}")
+    return media.select("doc_id", "media").mapInArrow(_read, f"doc_id {kind}, {READ_COLUMNS}")
 
 
 def op6_mpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(store(table(spark, sf_dir, "documents")))
+    return read(store(table(spark, sf_dir, "documents"))).drop("tags")
