@@ -1,10 +1,13 @@
 """Near-duplicate classes by BagMinHash (operator 7).
 
-Of each distinct text a weighted signature is made over its multiset of five-word shingles. A shingle's weight axis is
-cut into blocks [0,1), [1,2), [2,4), [4,8), ...; each block is a Poisson process of its own rate whose points carry a
-register and a place on the axis, and a point counts if its place is below the weight. A register holds the first point
-that counts, so two registers agree with the probability of the weighted Jaccard similarity. Points later than all
-registers are ever filled by are not made, which is what makes it quick.
+Of each distinct text a weighted signature is made over its multiset of five-word shingles. A shingle's weights are
+discretised at whole numbers: unit cells [0,1), [1,2), ... of a weight axis. Blocks [0,1), [1,2), [2,4), [4,8), ... are
+the roots of a hierarchy of Poisson processes: a block's process has the rate of its length, and its first point goes to
+one of the block's halves by the block's seed, while the other half's first point comes later by an interval of its own.
+So a process is split, half by half, down to unit cells, whose points carry a register each. Halves that lie above the
+weight are dropped, and so is every process whose next point is later than the text's last register has now, which is
+what makes it quick. A register holds the first point below the weight, so two registers agree with the probability of
+the weighted Jaccard similarity.
 
 Signatures are banded. A bucket of any size is dealt into bounded chunks, differently for each band, and a text meets a
 few neighbours of its chunk in signature order, never all others. Pairs whose signatures agree
@@ -49,6 +52,7 @@ BROADCAST_KEYS = 400_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_HALVES = (np.uint64(0x94D049BB133111EB), np.uint64(0xD6E8FEB86659FD93))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -94,28 +98,60 @@ def multisets(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return doc[at], h[at], np.diff(np.append(at, len(h)))
 
 
-def _points(doc, seed, rate, low, weight, limit, n_docs, registers) -> np.ndarray:
-    """(n_docs, registers) times of the first points that count, up to each text's limit; inf where there is none."""
+def _uniform(u: np.ndarray) -> np.ndarray:
+    """In (0, 1], of hashes."""
+    return ((u >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53
+
+
+def _split(seed, low, size, t) -> list[tuple[np.ndarray, ...]]:
+    """(index, seed, low, size, t) of both halves of each block: the point at t is in one, the other's comes later."""
+    half, at = size / 2, np.arange(len(seed))
+    u = _mix(seed + _M1)
+    right = (u & np.uint64(1)).astype(bool)
+    later = t - np.log(_uniform(_mix(u + _GOLD))) / half
+    halves = []
+    for side in (0, 1):
+        own = _mix(u + _HALVES[side])
+        halves.append((at, own, low + side * half, half, np.where(right == side, t, later)))
+    return halves
+
+
+def _points(doc, seed, low, size, weight, limit, n_docs, registers) -> np.ndarray:
+    """(n_docs, registers) times of the first points below the weight, up to each text's limit; inf where there is none.
+
+    All processes of all texts go one step at a time: blocks are split, cells give a point. A text's limit falls to its
+    greatest register as soon as all of them are filled.
+    """
     sig = np.full(n_docs * registers, np.inf)
-    t, k = np.zeros(len(doc)), 0
+    limit = limit.copy()
+    t = -np.log(_uniform(_mix(seed + _GOLD))) / size
     while len(doc):
-        k += 1
-        u = _mix(seed + np.uint64(k * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
-        t = t - np.log(((u >> np.uint64(11)) + np.uint64(1)).astype(np.float64) * 2.0**-53) / rate
-        go = t <= limit[doc]
-        doc, seed, rate, low, weight, t, u = (x[go] for x in (doc, seed, rate, low, weight, t, u))
-        v = _mix(u + _M1)
-        place = low + (v >> np.uint64(40)).astype(np.float64) * 2.0**-24 * rate
-        counts = place < weight
-        register = (v & np.uint64(0xFFFFFF)).astype(np.int64) % registers
-        np.minimum.at(sig, doc[counts] * registers + register[counts], t[counts])
+        go = (t <= limit[doc]) & (low < weight)
+        doc, seed, low, size, weight, t = (x[go] for x in (doc, seed, low, size, weight, t))
+        cell = size <= 1
+        blocks = np.flatnonzero(~cell)
+        if len(blocks):
+            halves = [np.concatenate(c) for c in zip(*_split(seed[blocks], low[blocks], size[blocks], t[blocks]), strict=True)]
+            at = blocks[halves[0]]
+            split = (doc[at], halves[1], halves[2], halves[3], weight[at], halves[4])
+            doc, seed, low, size, weight, t = (x[cell] for x in (doc, seed, low, size, weight, t))
+        u = _mix(seed + _M2)
+        register = (u & np.uint64(0xFFFFFF)).astype(np.int64) % registers
+        np.minimum.at(sig, doc * registers + register, t)
+        seed = u
+        t = t - np.log(_uniform(_mix(seed + _GOLD)))
+        if len(blocks):
+            doc, seed, low, size, weight, t = (
+                np.concatenate(p) for p in zip((doc, seed, low, size, weight, t), split, strict=True)
+            )
+        limit = np.minimum(limit, sig.reshape(n_docs, registers).max(1))
     return sig.reshape(n_docs, registers)
 
 
 def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, registers: int = REGISTERS) -> np.ndarray:
     """(n_docs, registers) uint64 register values; rows of texts without shingles are 0."""
     doc, h, weight = multisets(doc, h)
-    parts = [(doc, h, np.ones(len(doc)), np.zeros(len(doc)), weight)]
+    parts = [(doc, h, np.zeros(len(doc)), np.ones(len(doc)), weight)]
     level = 0
     while True:
         low = float(1 << level)
@@ -125,11 +161,12 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, registers: int = REG
         d, s, w = doc[more], h[more], weight[more]
         parts.append((d, _mix(s + np.uint64(level + 1)), np.full(len(d), low), np.full(len(d), low), w))
         level += 1
-    doc_p, seed, rate, low, w = (np.concatenate(c) for c in zip(*parts, strict=True))
+    doc_p, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
     total = np.bincount(doc, weight, n_docs)
     has = total > 0
+    # By this time all registers are filled in all but about 2 of 100 texts; the limit falls as soon as they are.
     limit = np.where(has, registers * (np.log(registers) + 4) / np.maximum(total, 1), 0)
-    sig = _points(doc_p, seed, rate, low, w, limit, n_docs, registers)
+    sig = _points(doc_p, *rest, limit, n_docs, registers)
     while True:  # the few texts with an empty register, once more over twice the time
         short = np.flatnonzero(has & np.isinf(sig).any(1))
         if not len(short):
@@ -137,8 +174,7 @@ def signatures(doc: np.ndarray, h: np.ndarray, n_docs: int, registers: int = REG
         limit[short] *= 2
         again = np.isin(doc_p, short)
         renumber = np.searchsorted(short, doc_p[again])
-        rest = (x[again] for x in (seed, rate, low, w))
-        sig[short] = _points(renumber, *rest, limit[short], len(short), registers)
+        sig[short] = _points(renumber, *(x[again] for x in rest), limit[short], len(short), registers)
     sig[~has] = 0
     return _mix(sig.view(np.uint64))
 
@@ -441,25 +477,28 @@ def verified(pairs: DataFrame, named: DataFrame, texts: DataFrame, similarity: f
     return written(scored.where(F.col("similarity") >= similarity), f"{name}-edges")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, class_id, copies, links for each row: class_id is the least doc_id of its class of near-duplicates.
+def text_key() -> Column:
+    return F.unhex(F.md5(F.col("text").cast("binary")))
 
-    Words are the lower-cased texts' runs without white space. Equal texts are one class, empty ones too; a null text
-    is a class of its own row, and so is any text without a link. links counts the verified links that the text has in
-    the spanning set (0 for a class of equal texts only). Repeated rows share a class; other columns are ignored. An
-    empty table gives an empty result.
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(key, class_id, copies, links, head, repeats) of the texts that are not alone in their class, written.
+
+    key: the text's hash. class_id: the least doc_id of the class (null if it has null ones only). head: whether the
+    class keeps a row of this text, which is true of one of its texts: of those with a row of class_id, the least by
+    key. repeats: the rows of this text with its least doc_id.
     """
     spark = docs.sparkSession
     ship(spark)
     small_batches(spark, 500)
-    keyed = docs.select("doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"))
-    members = written(
-        keyed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies")),
-        "dedup-texts",
-    )
-    all_texts = docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("key"), "text", "doc_id").where(
-        "key IS NOT NULL"
+    all_texts = docs.select(text_key().alias("key"), "text", "doc_id").where("key IS NOT NULL")
+    rows = all_texts.groupBy("key", "doc_id").agg(F.count("*").alias("n"))
+    members = rows.groupBy("key").agg(
+        F.min("doc_id").alias("least_id"),
+        F.sum("n").alias("copies"),
+        F.coalesce(F.min_by("n", "doc_id"), F.sum("n")).alias("repeats"),
     )
+    members = written(members, "dedup-texts")
     kind = "key binary, sig binary, bands array<long>"
     signed = all_texts.select("key", "text").mapInPandas(_sign, kind).dropDuplicates(["key"])
     # Each distinct text gets a number, kept in the written table; from here on texts are longs.
@@ -486,17 +525,44 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     roots = root.union(root.select("root", "root").distinct()).toDF("id", "root")
     links = edges.selectExpr("explode(array(a, b)) AS id").groupBy("id").agg(F.count("*").alias("links"))
     linked = named.join(roots, "id").join(links, "id")
-    least = linked.groupBy("root").agg(F.min("least_id").alias("class_least"))
-    linked = linked.join(least, "root").select("key", "class_least", "links")
-    classes = written(
+    first_of = F.min(F.struct(F.col("least_id").isNull(), "least_id", "key"))
+    heads = linked.groupBy("root").agg(first_of.alias("first"))
+    linked = linked.join(heads, "root").select(
+        "key", "links", F.col("first.least_id").alias("class_least"), (F.col("key") == F.col("first.key")).alias("own")
+    )
+    lone = F.col("links").isNull()
+    return written(
         members.join(linked, "key", "left")
         .where("copies > 1 OR links IS NOT NULL")
-        .select("key", F.coalesce("class_least", "least_id").alias("class_id"), "copies", "links"),
+        .select(
+            "key",
+            F.when(lone, F.col("least_id")).otherwise(F.col("class_least")).alias("class_id"),
+            "copies",
+            F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+            F.coalesce("own", F.lit(True)).alias("head"),
+            "repeats",
+        ),
         "dedup-classes",
     )
-    return keyed.join(classes, "key", "left").select(
+
+
+def _known(found: DataFrame) -> DataFrame:
+    return F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """doc_id, class_id, copies, links for each row: class_id is the least doc_id of its class of near-duplicates.
+
+    Words are the lower-cased texts' runs without white space. Equal texts are one class, empty ones too; a null text
+    is a class of its own row, and so is any text without a link. links counts the verified links that the text has in
+    the spanning set (0 for a class of equal texts only). Repeated rows share a class; other columns are ignored. An
+    empty table gives an empty result.
+    """
+    found = _known(classes(docs, similarity).select("key", "class_id", "copies", "links"))
+    keyed = docs.select("doc_id", text_key().alias("key"))
+    return keyed.join(found, "key", "left").select(
         "doc_id",
-        F.coalesce("class_id", "doc_id").alias("class_id"),
+        F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("copies", F.lit(1)).alias("copies"),
         F.coalesce("links", F.lit(0)).cast("long").alias("links"),
     )
@@ -507,13 +573,22 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A pipeline stage: of each class the document with the least doc_id stays, once if its row is repeated."""
-    found = written(near_duplicates(docs), "dedup-rows")
-    gone = written(found.where("NOT doc_id <=> class_id").select("doc_id").distinct(), "dedup-gone")
-    mark = fresh(docs, "gone_id")
-    gone = gone.toDF(mark)
-    if gone.count() <= BROADCAST_KEYS:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col(mark), "left_anti")
-    repeated = found.groupBy("doc_id").count().where("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    """A pipeline stage: of each class one row stays, with the class's least doc_id.
+
+    Rows go by their doc_id and text, so another text under the same doc_id stays. Null texts all stay. Where all ids of
+    a class are null, or a row is repeated, one of the rows stays. An empty table gives an empty result.
+    """
+    found = classes(docs)
+    key, head, least, repeats = (fresh(docs, f"dedup_{n}") for n in ("key", "head", "least", "repeats"))
+    marked = docs.withColumn(key, text_key()).join(
+        _known(found.select(F.col("key").alias(key), F.col("head").alias(head), F.col("class_id").alias(least), F.col("repeats").alias(repeats))),
+        key,
+        "left",
+    )
+    stays = F.col(head).isNull() | (F.col(head) & F.col("doc_id").eqNullSafe(F.col(least)))
+    kept = marked.where(stays)
+    if found.where("head AND repeats > 1").isEmpty():
+        return kept.select(*docs.columns)
+    again = F.coalesce(F.col(repeats) > 1, F.lit(False))
+    once = kept.where(again).dropDuplicates([key])
+    return kept.where(~again).union(once).select(*docs.columns)
