@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -54,6 +55,13 @@ def test_language_matches_plain_bayes(spark):
     assert lang_id.Model([], np.zeros((1, 0)), np.zeros(0)).score(["a"]) == (["und"], [0.0])
 
 
+def test_numbers_are_no_letters(spark):
+    texts = ["½ ² Ⅷ 12", "½ ²x", "٣", "ª", "漢"]
+    assert [lang_id.has_letter(t) for t in texts] == [any(c.isalpha() for c in t) for t in texts] == [False, True, False, True, True]
+    m = lang_id.train(spark.createDataFrame([("ab", "x")], "text string, lang string"))
+    assert m.score(texts)[0] == ["und", "x", "und", "x", "x"]
+
+
 def test_language_edges(spark, odd, clashing, empty):
     m = lang_id.train(odd)
     assert lang_id.predict(odd, m).count() == odd.count()
@@ -62,6 +70,7 @@ def test_language_edges(spark, odd, clashing, empty):
     assert lang_id.predict(empty, m).count() == 0 and lang_id.train(empty).languages == []
     kept = lang_id.keep_known(spark, odd, "")
     assert kept.columns == odd.columns and kept.where("text IS NULL OR text = '' OR doc_id IN (9, 10)").count() == 0
+    assert lang_id.keep_known(spark, empty, "").count() == 0
     assert kept.where("doc_id = 2 OR doc_id IS NULL").count() == 2
 
 
@@ -239,6 +248,31 @@ def test_packing(spark, odd, clashing, empty, ranked):
     assert packing.pieces(clashing.where("doc_id <> 7")).columns == cut.columns
 
 
+BIG = (1 << 60) + 1
+
+
+@pytest.fixture
+def big_ids(spark):
+    """Ids that a double cannot hold, beside a null one."""
+    return spark.createDataFrame([(BIG, "one"), (None, "none"), (BIG + 1, "two")], "doc_id long, text string").coalesce(1)
+
+
+def test_ids_stay_exact(spark, big_ids):
+    want = [None, BIG, BIG + 1]
+    for df in (packing.pieces(big_ids), mpeg.store(big_ids), mpeg.read(mpeg.store(big_ids)), attention_lm.score_documents(big_ids, big_ids)):
+        assert sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda i: i or 0) == want
+
+
+def test_many_common_lengths(spark):
+    """Each of 1024 lengths is ranked in two parts."""
+    cols = ["id AS doc_id", "0 AS piece", "0L AS start", "id % 1024 + 1 AS length", "id AS ids_crc32", "'own' AS part", "'own' AS nth", "'own' AS offset"]
+    got = packing.pack(spark.range(1024 * 4).selectExpr(*cols), ranked_rows=3).toPandas()
+    assert len(got) == 4096 and (got["part"] == "own").all() and (got["nth"] == "own").all()
+    by = got.sort_values(["sequence_id", "offset"]).groupby("sequence_id")
+    assert by["length"].sum().max() <= 1024 and (by["offset"].first() == 0).all()
+    assert (got["length"].sum() / 1024) * 1.01 + 1 > len(by)
+
+
 # --- media ---------------------------------------------------------------------------------------------------------
 
 
@@ -279,6 +313,48 @@ def test_unverified_checksums_are_counted():
     assert mpeg.probe(mpeg.carry(b"abc" * 300)).unverified == 0
 
 
+def test_changing_headers_take_linear_time():
+    a, b = bytes([0xFF, 0xFA, 0x90, 0x00]) + bytes(413), bytes([0xFF, 0xFA, 0x92, 0x00]) + bytes(414)
+    began = time.process_time()
+    s = mpeg.probe((a + b) * 50_000)
+    assert time.process_time() - began < 2 and (s.frames, s.bad_crc, len(s.seek)) == (100_000, 100_000, 3125)
+    assert s.duration == mpeg.Fraction(100_000 * 1152, 44100)
+    good = bytearray(a)
+    good[4:6] = int(mpeg.crc16(np.frombuffer(a[2:4] + a[6:38], np.uint8)[None])[0]).to_bytes(2, "big")
+    assert mpeg.probe(bytes(good) * 3 + b * 2 + bytes(good)).bad_crc == 2
+    runs = [n for _, n, _ in mpeg.probe(a * 7 + b + a * 33).runs]
+    assert runs == [7, 1, 33]
+
+
+def id3(version, frames, flags=0):
+    size = bytes(len(frames) >> s & 0x7F for s in (21, 14, 7, 0))
+    return b"ID3" + bytes([version, 0, flags]) + size + frames
+
+
+def test_tags():
+    audio = (bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)) * 3
+    two = id3(2, b"TT2\0\0\x05\0Name")
+    three = id3(3, b"TIT2" + (7).to_bytes(4, "big") + b"\0\0\x01\xff\0\xfeN\0a\0", 0x80)  # unsynchronised
+    extended = id3(3, (6).to_bytes(4, "big") + bytes(6) + b"TIT2" + (5).to_bytes(4, "big") + b"\0\0\0Name", 0x40)
+    four = id3(4, b"TIT2\0\0\0\x05\0\0\x03Name", 0x10) + b"3DI" + bytes(7)
+    for data, want in ((two, {"TT2": "Name"}), (three, {"TIT2": "Na"}), (extended, {"TIT2": "Name"}), (four, {"TIT2": "Name"})):
+        s = mpeg.probe(data + audio)
+        assert (s.tags, s.frames, s.skipped) == (want, 3, 0)
+    old = b"TAG" + b"Song".ljust(30, b"\0") + b"Band".ljust(30) + bytes(30) + b"1999" + bytes(28) + bytes([0, 7, 12])
+    assert mpeg.probe(audio + old).tags == {"id3v1:title": "Song", "id3v1:artist": "Band", "id3v1:year": "1999", "id3v1:track": "7"}
+
+
+def test_foreign_streams(spark):
+    audio = (bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)) * 3
+    odd = [None, b"", b"no audio", audio, id3(3, b"TXXX" + (9).to_bytes(4, "big") + b"\0\0\0BYTES\x0099") + audio, mpeg.carry(b"x")[:-100], b"\xff" * 500, b"ID3\x03\0\x40"]
+    df = spark.createDataFrame(list(enumerate(odd)), "doc_id long, media binary").withColumn("tags", F.lit(1))
+    got = {r.doc_id: r for r in mpeg.read(df).collect()}
+    assert len(got) == len(odd) and got[0].feature is None and got[0].media_bytes is None
+    for k, data in enumerate(odd[1:], 1):
+        assert got[k].media_bytes == len(data) and got[k].media_sha256 == hashlib.sha256(data).hexdigest() and got[k].n_bytes is None
+    assert got[3].feature.startswith("mpeg1-layer3;44100Hz;stereo;frames=3;") and got[2].feature.startswith("none;frames=0")
+
+
 def test_media_column(spark, odd, empty, clashing):
     got = mpeg.read(mpeg.store(odd)).toPandas()
     want = []
@@ -376,6 +452,33 @@ def test_near_duplicates_edges(spark, odd, clashing, empty):
     assert kept.columns == odd.columns and ids == sorted([1, 3, 4, None, None, 6, 7, 8, 9, 10], key=str)
 
 
+def test_one_row_of_each_class_stays(spark):
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    near = a.replace("a39", "other")
+    rows = [(3, a), (5, a), (5, b), (None, a), (3, a), (7, near), (None, c), (None, c), (8, None), (8, None), (3, near + " more")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("own")).withColumn("dedup_head", F.lit("own"))
+    kept = near_dedup.keep_one(spark, df, "")
+    assert kept.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert len([x for x in got if x[0] == 3]) == 1 and dict(got)[3] in (a, near + " more")
+    assert [x for x in got if x[0] != 3] == sorted([(5, b), (None, c), (8, None), (8, None)], key=str)
+    assert near_dedup.keep_one(spark, df.limit(0), "").count() == 0
+
+
+def test_points_split_consistently():
+    """A lighter weight has just the heavier one's points below it, whatever else the blocks are split into."""
+    h = np.array([12345], np.uint64)
+
+    full = {}
+    for w in (1, 2, 3, 5, 8, 13, 64):
+        sig = near_dedup.signatures(np.zeros(w, np.int64), np.repeat(h, w), 1, 16)
+        full[w] = sig[0]
+    assert (full[1] != full[64]).any()
+    # More weight can only bring points that are earlier, so registers that agree at 1 and 64 agree in between.
+    same = full[1] == full[64]
+    assert all((full[w][same] == full[1][same]).all() for w in full)
+
+
 def test_signatures_are_unbiased():
     rng = np.random.default_rng(1)
     off = []

@@ -1,6 +1,7 @@
 """Secrets, sharding, chat formatting."""
 
 import hashlib
+import random
 import re
 
 import pytest
@@ -73,6 +74,27 @@ def test_redaction(spark):
     assert out == {1: ("a [assign] b", 12), 2: ("clean", 5), 3: (None, None)}
 
 
+def test_dense_text(spark):
+    """As many spans as several folded blocks hold, in a text of several parts, cut at their borders too."""
+    text = "".join(f"é token=abcdefgh{k} x🤦" for k in range(3000)) + "f" * 9000 + "tail"
+    df = spark.createDataFrame([(1, text, 0), (2, "", 0), (3, None, None)], "doc_id long, text string, n_chars long")
+    row = secrets.find_secrets(df).where("doc_id = 1").select(secrets.span_list(F.col("secret_spans")).alias("s")).first()
+    assert row.s == brute(text)
+    out = {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_secrets(spark, df, "").collect()}
+    want = re.sub(r"token=abcdefgh\d+", "[assign]", text).replace("f" * 9000, "[hex]")
+    assert out == {1: (want, len(want)), 2: ("", 0), 3: (None, None)}
+    assert secrets.redact_secrets(spark, df.limit(0), "").count() == 0
+
+
+def test_running(spark):
+    rng = random.Random(3)
+    for n in (0, 1, 127, 128, 129, 1000):
+        v = [rng.randrange(50) for _ in range(n)]
+        df = spark.createDataFrame([(v,)], "v array<int>")
+        got = df.select(secrets.running(F.col("v"), lambda a, b: a + b), secrets.running(F.col("v"), F.greatest)).first()
+        assert got[0] == [sum(v[:k]) for k in range(n)] and got[1] == [max([0, *v[:k]]) for k in range(n)]
+
+
 @pytest.mark.parametrize("n", [1, 3, 16])
 def test_shards(spark, odd, n):
     many = odd.where("length(text) < 1000 OR text IS NULL").crossJoin(spark.range(300)).withColumn("doc_id", F.col("doc_id") + F.col("id") % 7)
@@ -94,6 +116,13 @@ def test_shards_edges(spark, odd, clashing, empty):
     assert [(r.n, r.s, r.m) for r in by] == [(100, 100, 99)] * 16
 
 
+def test_shards_keep_other_columns(spark):
+    names = ["shard_size", "shard_no", "shard_block", "shard_start", "shard_row", "__size", "__shard", "KEY_B"]
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), *[F.lit(f"own {n}").alias(n) for n in names])
+    got = sharding.shard(df, 3).toPandas()
+    assert all((got[n] == f"own {n}").all() for n in names) and sorted(got["shard"].unique()) == [0, 1, 2]
+
+
 def test_copies_stay_together(spark):
     df = spark.range(4000).select("id", F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.floor(F.col("id") / 4)).alias("text"))
     split = sharding.shard(df, 16, tolerance=0.05).groupBy("text").agg(F.countDistinct("shard").alias("n")).where("n > 1").count()
