@@ -1,5 +1,11 @@
+import datetime
+import decimal
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wideframe.operators import layout, nested
 from wideframe.operators.layout import Options, bucket_of, estimated_size
@@ -72,3 +78,111 @@ def test_nested(spark):
         back = nested.reassemble(nested.lengths(df, "id", c), nested.flatten(df, "id", c), "id", c)
         assert {r.id: r[c] for r in back.collect()} == {r.id: r[c] for r in df.collect()}
     assert [n for n, _ in nested.physical_columns("m", df.schema["props"].dataType)] == ["m", "m.key", "m.value"]
+
+
+def prefixed(n):
+    return n + 1 + sum(n >= 1 << s for s in (7, 14, 21, 28))
+
+
+SIZES = {
+    "boolean": lambda v: 1,
+    "short": lambda v: 2,
+    "int": lambda v: 4,
+    "bigint": lambda v: 8,
+    "float": lambda v: 4,
+    "double": lambda v: 8,
+    "date": lambda v: 4,
+    "timestamp": lambda v: 8,
+    "decimal(12,2)": lambda v: 8,
+    "string": lambda v: prefixed(len(v.encode())),
+    "binary": lambda v: prefixed(len(v)),
+    "decimal(38,3)": lambda v: prefixed((int(v.scaleb(3)) if v >= 0 else ~int(v.scaleb(3))).bit_length() // 8 + 1),
+    "struct<millis:bigint,nanos_of_milli:int>": lambda v: 12,
+}
+
+
+def some_values(rng, kind):
+    if kind == "boolean":
+        return [True, False]
+    if kind in ("short", "int", "bigint"):
+        return [rng.randrange(-99, 99) for _ in range(9)]
+    if kind in ("float", "double"):
+        return [0.0, -0.0, 1.5, float("nan"), float("inf")]
+    if kind == "date":
+        return [datetime.date(2020, 1, d) for d in range(1, 9)]
+    if kind == "timestamp":
+        return [datetime.datetime(2020, 1, d) for d in range(1, 9)]
+    if kind.startswith("decimal"):
+        return [decimal.Decimal(k).scaleb(-2) for k in (0, -1, 127, -128, 12800, 3276700, -3276800, 10**9)] + (
+            [decimal.Decimal(s * 2 ** (8 * k - 1) - d).scaleb(-3) for k in range(1, 15) for s in (1, -1) for d in (0, 1)] if "38" in kind else []
+        )
+    if kind == "string":
+        return ["", "é", "x" * 127, "y" * 128, "z"]
+    if kind == "binary":
+        return [b"", b"\0", b"ab" * 99]
+    return [(k, 5) for k in range(4)]
+
+
+def test_facts_against_brute_force(spark):
+    """Every kind of column, in arrays too, with nulls, over several row groups in mixed order."""
+    rng = random.Random(8)
+    kinds = list(SIZES)
+    schema = ", ".join(f"c{k} {t}" for k, t in enumerate(kinds)) + ", arr array<string>, row_group int"
+    rows = []
+    for _ in range(400):
+        arr = rng.choice([None, [], ["a", None], ["x" * 200]])
+        rows.append((*(None if rng.random() < 0.3 else rng.choice(some_values(rng, t)) for t in kinds), arr, rng.choice([None, 1, 2])))
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    got = {(r.row_group, r.column): r for r in layout.encodings(df).collect()}
+    for g in (None, 1, 2):
+        own = [r for r in rows if r[-1] == g]
+        for k, t in enumerate(kinds):
+            live = [r[k] for r in own if r[k] is not None]
+            r = got[g, f"c{k}"]
+            assert (r.rows, r.non_null, r.plain_bytes) == (len(own), len(live), sum(map(SIZES[t], live))), t
+            assert r.distinct == len({repr(v) for v in live}) and r.has_nulls == (len(live) < len(own)), t
+        items = [x for r in own for x in r[-2] or []]
+        r = got[g, "arr.element"]
+        assert (r.rows, r.non_null, r.plain_bytes) == (len(items), sum(x is not None for x in items), sum(prefixed(len(x)) for x in items if x is not None))
+        assert got[g, "arr"].non_null == sum(r[-2] is not None for r in own)
+    assert layout.encodings(df.limit(0)).count() == 0
+
+
+def test_ten_thousand_columns(spark):
+    """Rows stay rows: reports of a very wide table take one pass in batches, and few seconds."""
+    n = 10_000
+    schema = T.StructType([T.StructField("row_group", T.IntegerType())] + [T.StructField(f"c{k:05d}", T.StringType()) for k in range(n)])
+    df = spark.createDataFrame([(g, *(f"v{(k * (g + 1)) % 7}" for k in range(n))) for g in range(2) for _ in range(6)], schema)
+    began = time.time()
+    found = layout.pages(df).collect()
+    took = time.time() - began
+    assert len(found) == 2 * n and {r.encoding for r in found} == {"CONST"} and {r.bytes for r in found} == {3}
+    assert sum(len(r.columns) for r in layout.buckets(df).collect()) == 2 * n
+    assert took < 60
+
+
+def test_reports_of_nested_tables(spark):
+    rows = [(0, k, [k, None] if k % 3 else None, {"k": [1.5] * k}) for k in range(50)]
+    df = spark.createDataFrame(rows, "row_group int, id int, a array<int>, m map<string,array<double>>")
+    names = [r.column for r in layout.encodings(df).collect()]
+    assert sorted(names) == ["a", "a.element", "id", "m", "m.key", "m.value", "m.value.element"]
+    parts = {r.column: r.bytes for r in layout.encodings(df).collect()}
+    whole = {r.column: r.bytes for r in layout.pages(df).collect()}
+    assert whole == {"id": parts["id"], "a": parts["a"] + parts["a.element"], "m": sum(parts[c] for c in parts if c.startswith("m"))}
+    assert [r.column for r in layout.pages(df, ["id"]).collect()] == ["id"]
+    one = layout.buckets(df, Options(num_buckets=1)).first()
+    # 7 physical columns: their bits, 3 of the table and 4 children, and the rows of the children.
+    header = 2 + 1 + 1 + 1 + 3 + 2
+    assert one.bytes == sum(parts.values()) + header and one.columns == ["a", "id", "m"]
+    sizes = {r.column: r.bytes for r in layout.column_sizes(df, Options(num_buckets=1), columns=["a"]).collect()}
+    assert sizes == {"a": -(-one.bytes // 3)}
+
+
+def test_shred_any_depth(spark):
+    kind = "id int, v array<map<string,array<int>>>"
+    rows = [(0, None), (1, []), (2, [None, {}]), (3, [{"a": [1, None], "b": None}, {"c": []}]), (4, [{"z": [3]}, None, {"y": [4, 5], "x": [6]}])]
+    df = spark.createDataFrame(rows, kind)
+    parts = nested.shred(df, "id", "v")
+    assert list(parts) == [n for n, _ in nested.physical_columns("v", df.schema["v"].dataType)]
+    back = nested.gather(parts, "id", "v", df.schema["v"].dataType)
+    assert {r.id: r.v for r in back.collect()} == dict(rows)

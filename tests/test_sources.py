@@ -9,6 +9,7 @@ from wideframe.functions import scalars
 from wideframe.functions.render import ndjson, table_text, text_json
 from wideframe.operators.layout import Options
 from wideframe.operators.table import WideTable, read_table
+from wideframe.sources import files
 from wideframe.sources.csv_import import Dialect, import_csv
 from wideframe.sources.json_import import import_json
 from wideframe.sources.sink import Writer, write_table
@@ -39,7 +40,7 @@ def rows(df):
         (["id,kind\n1,a\n2,b\n", ""], [(1, "a"), (2, "b")]),
         (["id\n1\n", "other,other\n"], [(1,)]),
         (["id,empty\n1,\n2,\n"], [(1, None), (2, None)]),
-        (['path\n"C:\\temp\\file"\n'], [("C:\\temp\\file",)]),
+        (['place\n"D:\\new\\tab"\n'], [("D:\\new\\tab",)]),
     ],
 )
 def test_csv(spark, tmp_path, texts, want):
@@ -49,14 +50,14 @@ def test_csv(spark, tmp_path, texts, want):
 @pytest.mark.parametrize(
     "texts,options,message",
     [
-        (["v\n9007199254740993\n", "v\n1.5\n"], {}, "exactly as Float64"),
-        (["v\n1.5\n", "v\n9223372036854775807\n"], {}, "exactly as Float64"),
+        (["v\n9007199254740993\n", "v\n1.5\n"], {}, "as Float64"),
+        (["v\n1.5\n", "v\n9223372036854775807\n"], {}, "as Float64"),
         (["v\n1.5\n1e400\n"], {}, "out of range"),
         (["v\n1.5\nNaN\n"], {}, "not finite"),
         (["id,kind\n1,a\n", "x,y\n1,2\n"], {}, "incompatible"),
         ([""], {}, "no CSV data"),
         ([",id\n1,2\n"], {}, "empty column name"),
-        (["id,id\n1,2\n"], {}, "duplicate CSV header field 'id'"),
+        (["id,id\n1,2\n"], {}, "'id' is in the CSV header twice"),
         (["t\n2026-08-20T12:34:56+08:00\n"], {}, "timezone"),
         (["id,name\n1,a\n"], {"require": ["x"]}, "required"),
     ],
@@ -67,9 +68,9 @@ def test_csv_errors(spark, tmp_path, texts, options, message):
 
 
 def test_csv_dialects(spark, tmp_path):
-    (p,) = put(tmp_path, "preamble\nid|name\n1|'a\\'b'\n")
+    (p,) = put(tmp_path, "made by hand\nnr|who\n7|'o\\'k'\n")
     d = Dialect(delimiter="|", quote="'", escape="\\", skip_lines=1)
-    assert rows(import_csv(spark, [p], d)) == [(1, "a'b")]
+    assert rows(import_csv(spark, [p], d)) == [(7, "o'k")]
     (p,) = put(tmp_path, b"\xff\nid,name\n1,ok\n")
     assert rows(import_csv(spark, [p], Dialect(skip_lines=1))) == [(1, "ok")]
     (p,) = put(tmp_path, "1,a\n2,b\n")
@@ -148,6 +149,14 @@ def test_scalars(spark):
     assert spark.range(1).select(scalars.split_nanos(F.lit(-1).cast("long")).alias("s")).select("s.*").first() == (-1, 999999)
 
 
+def files_read(df):
+    """What the scan says that it opened, once it has run."""
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    plan = df._jdf.queryExecution().executedPlan()
+    (leaf,) = [plan.collectLeaves().apply(k) for k in range(plan.collectLeaves().size())]
+    return leaf.metrics().apply("numFiles").value()
+
+
 def test_table(spark, tmp_path):
     path = str(tmp_path / "t")
     df = spark.range(200).selectExpr("cast(id as int) AS id", "substr('abc', 1 + cast(id % 3 as int), 1) AS kind", "7 AS flag").repartitionByRange(4, "id")
@@ -157,7 +166,8 @@ def test_table(spark, tmp_path):
     assert rows(t.cat(None, ["kind"], "id>197")) == [("a",), ("b",)]
     assert t.where("id>9999").count() == 0 and t.where("id!=abc").count() == 200
     assert t.row_groups().count() == 4 and t.stats().count() == 4
-    assert t.where("id=150").inputFiles() and len(t.where("id=150").inputFiles()) == 1
+    one = t.where("id=150")
+    assert one.collect() and files_read(one) == 1 and files_read(t.df) == 4
     assert t.project("kind", "id", "kind").schema.names == ["kind", "id"]
     assert t.project().df.count() == 200 and t.head(3).count() == 3
     for bad in (lambda: t.project("x"), lambda: t.where("x=1"), lambda: t.row_group("x"), lambda: t.where("kind>5")):
@@ -226,3 +236,89 @@ def test_stream(spark, tmp_path):
     q = append_stream(spark.readStream.schema("id long").parquet(str(src)), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination()
     assert sorted(r.id for t in batches(spark, str(tmp_path / "out")) for r in t.df.collect()) == list(range(15))
+
+
+def test_install_keeps_the_old_table(spark, tmp_path, monkeypatch):
+    """A rename that fails leaves what was there, or says where it is; nothing is deleted before the new one is there."""
+    path = str(tmp_path / "t")
+    write_table(spark.range(3).toDF("id"), path)
+
+    class Failing:
+        def __init__(self, fs, bad):
+            self.fs, self.bad, self.n = fs, bad, 0
+
+        def rename(self, a, b):
+            self.n += 1
+            return False if self.n in self.bad else self.fs.rename(a, b)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    plain = files._fs
+    for bad, message in (({1}, "stays"), ({2}, "back in its place"), ({2, 3}, "is at")):
+        holder = {}
+
+        def failing(spark, p, bad=bad, holder=holder):
+            fs, q = plain(spark, p)
+            return holder.setdefault("fs", Failing(fs, bad)), q
+
+        made = f"{path}.part-x"
+        write_table(spark.range(9).toDF("id"), made)
+        monkeypatch.setattr(files, "_fs", failing)
+        with pytest.raises(TableError, match=message) as e:
+            files.install(spark, made, path, overwrite=True)
+        monkeypatch.setattr(files, "_fs", plain)
+        where = path if "is at" not in message else str(e.value).split("'")[-2]
+        assert WideTable.open(spark, where).count() == 3 and WideTable.open(spark, made).count() == 9
+        files.discard(spark, made)
+
+
+def test_install_beside_another_writer(spark, tmp_path):
+    """A folder that appears between the check and the rename does not swallow the new table."""
+    made, path = tmp_path / "made", tmp_path / "t"
+    made.mkdir()
+    path.mkdir()
+    fs, to = files._fs(spark, str(path))
+    source = spark._jvm.org.apache.hadoop.fs.Path(str(made))
+    assert not files._moved(fs, source, to) and made.exists() and not list(path.iterdir())
+
+
+def test_csv_damage_is_a_table_error(spark, tmp_path):
+    for text in ("a,b\n1\n", "a,b\n1,2,3\n", 'a,b\n1,"x\ny"\n2\n'):
+        with pytest.raises(TableError, match="record"):
+            import_csv(spark, put(tmp_path, text)).collect()
+    (p,) = put(tmp_path, "x\n1|'a\nb'\n2\n")
+    with pytest.raises(TableError, match="record"):
+        import_csv(spark, [p], Dialect(delimiter="|", quote="'", header="id|t", skip_lines=1)).collect()
+
+
+def test_csv_values_over_lines(spark, tmp_path):
+    (p,) = put(tmp_path, 'id,t\n1,"a\nb"\n2,"say ""x""\n"\n3,plain\n')
+    assert rows(import_csv(spark, [p])) == [(1, "a\nb"), (2, 'say "x"\n'), (3, "plain")]
+    (p,) = put(tmp_path, "t,id\n2020-01-02,1\n2020-01-02T03:04:05.5,2\n")
+    got = rows(import_csv(spark, [p]))
+    assert [str(t) for t, _ in got] == ["2020-01-02 00:00:00", "2020-01-02 03:04:05.500000"]
+    ps = put(tmp_path, "t\n2020-01-02\n", "t\n2020-01-02T03:04:05\n")
+    assert import_csv(spark, ps).count() == 2
+
+
+def test_json_of_many_doubles_takes_few_jobs(spark, tmp_path):
+    p = json_file(tmp_path, {f"v{k}": k + 0.5 for k in range(300)})
+    group = "many-doubles"
+    spark.sparkContext.setJobGroup(group, "")
+    assert len(import_json(spark, p).columns) == 300
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(group)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 12
+
+
+def test_text_output_in_two_passes(spark, tmp_path):
+    path = str(tmp_path / "t")
+    write_table(spark.range(30).selectExpr("id", "repeat('x', cast(id as int)) AS s").repartition(4), path)
+    text = cli.run(spark, ["cat", path])
+    assert len(text.splitlines()) == 34 and len({len(x) for x in text.splitlines()}) == 1
+    assert cli.run(spark, ["cat", path, "--where", "id>99"]) == "(no rows)\n"
+    assert "(us)" not in cli.run(spark, ["meta", path])
+    days = str(tmp_path / "d")
+    write_table(spark.sql("SELECT DATE'2020-01-01' AS d"), days, Options(stats_columns=("d",)))
+    assert "18262 (epoch-day)" in cli.run(spark, ["meta", days]) and '"min":"18262"' in cli.run(spark, ["meta", days, "--json"])

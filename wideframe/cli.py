@@ -5,11 +5,14 @@ from __future__ import annotations
 import argparse
 import json
 import sys
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .functions.render import ndjson, table_text
+from .functions.render import ndjson, table_lines
 from .operators.layout import Options
+from .operators.stats import with_units
 from .operators.table import WideTable, column_names
 from .session import session
 from .sources import files
@@ -52,37 +55,53 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def _lines(df: DataFrame) -> str:
-    return "".join(f"{r[0]}\n" for r in ndjson(df).toLocalIterator())
+def _lines(df: DataFrame) -> Iterator[str]:
+    return (f"{r[0]}\n" for r in ndjson(df).toLocalIterator())
 
 
-def _report(df: DataFrame, as_json: bool) -> str:
-    return _lines(df) if as_json else table_text(df, 1 << 31 - 1)
+def _report(df: DataFrame, as_json: bool, rows: int | None = None) -> Iterator[str]:
+    return _lines(df) if as_json else table_lines(df, rows)
 
 
-def run(spark: SparkSession, argv: list[str]) -> str:
-    """What the command prints."""
+def lines(spark: SparkSession, argv: list[str]) -> Iterator[str]:
+    """What the command prints, in portions."""
     a = parser().parse_args(argv)
     if a.command in ("convert", "convert-csv"):
-        return _convert(spark, a)
+        yield _convert(spark, a)
+        return
     t = WideTable.open(spark, a.table)
     if a.command in ("cat", "head"):
-        out = t.cat(a.num, column_names(a.columns), a.where)
-        return _lines(out) if a.json else table_text(out, 1 << 31 - 1)
-    if a.command == "count":
+        yield from _report(t.cat(a.num, column_names(a.columns), a.where), a.json, a.num)
+    elif a.command == "count":
         n = t.count()
-        return (json.dumps({"rows": n}, separators=(",", ":")) if a.json else str(n)) + "\n"
-    if a.command == "meta":
-        return _report(t.row_groups().join(t.stats().drop("rows"), "row_group", "left").orderBy("row_group", "column"), a.json)
-    made = {
-        "schema": lambda: t.schema_report().orderBy("position"),
-        "pages": lambda: t.pages(column_names(a.columns)).orderBy("row_group", "column"),
-        "column-size": lambda: t.column_sizes(column_names(a.columns)).orderBy("column"),
-        "footer": t.footer,
-        "buckets": lambda: t.buckets().orderBy("row_group", "bucket"),
-        "dictionary": lambda: t.dictionary(a.column).orderBy("row_group", "nth"),
-    }[a.command]()
-    return _report(made, a.json)
+        yield (json.dumps({"rows": n}, separators=(",", ":")) if a.json else str(n)) + "\n"
+    elif a.command == "meta":
+        own = t.stats().drop("rows")
+        if not a.json:
+            own = with_units(own, t.schema_)
+        yield from _report(t.meta(), a.json)
+        yield from _report(t.row_groups().join(own, "row_group", "left").orderBy("row_group", "column"), a.json)
+    elif a.command == "column-size":
+        sizes = t.column_sizes(column_names(a.columns))
+        yield from _report(sizes.orderBy("column"), a.json)
+        total = sizes.agg(F.sum("bytes").alias("total_bytes"), F.bool_or("approximate").alias("approximate"))
+        yield from _report(total, a.json)
+    elif a.command == "buckets":
+        yield from _report(t.buckets().orderBy("row_group", "bucket"), a.json)
+        yield from _report(t.stored().orderBy("row_group"), a.json)
+    else:
+        made = {
+            "schema": lambda: t.schema_report().orderBy("position"),
+            "pages": lambda: t.pages(column_names(a.columns)).orderBy("row_group", "column"),
+            "footer": t.footer,
+            "dictionary": lambda: t.dictionary(a.column).orderBy("row_group", "nth"),
+        }[a.command]()
+        yield from _report(made, a.json)
+
+
+def run(spark: SparkSession, argv: list[str]) -> str:
+    """All that the command prints."""
+    return "".join(lines(spark, argv))
 
 
 def _convert(spark: SparkSession, a: argparse.Namespace) -> str:
@@ -105,7 +124,7 @@ def _convert(spark: SparkSession, a: argparse.Namespace) -> str:
 
 def main() -> int:
     try:
-        sys.stdout.write(run(session(), sys.argv[1:]))
+        sys.stdout.writelines(lines(session(), sys.argv[1:]))
     except TableError as e:
         sys.stderr.write(f"error: {e}\n")
         return 1

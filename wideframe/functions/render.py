@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,13 +116,33 @@ def cells(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def table_text(df: DataFrame, max_rows: int) -> str:
-    """An aligned table of at most max_rows rows, for a terminal."""
-    rows = [list(r) for r in cells(df).limit(max_rows).collect()]
-    if not rows:
-        return "(no rows)\n"
-    heads = ["".join("�" if ord(ch) < 32 or 127 <= ord(ch) < 160 else ch for ch in n) for n in df.columns]
-    widths = [max(len(x) for x in col) for col in zip(heads, *rows, strict=True)]
+def table_lines(df: DataFrame, max_rows: int | None = None) -> Iterator[str]:
+    """The lines of an aligned table, for a terminal; of all rows, or of the first max_rows.
+
+    Without max_rows an aggregate finds the columns' widths, then the driver holds one partition's rows at a time.
+    """
+    shown = cells(df).toDF(*[f"c{k}" for k in range(len(df.columns))])
+    heads = ["".join("\ufffd" if ord(ch) < 32 or 127 <= ord(ch) < 160 else ch for ch in n) for n in df.columns]
+    if max_rows is not None:
+        rows = [list(r) for r in shown.limit(max_rows).collect()]
+        some, widths = len(rows), [max([len(h), *(len(r[k]) for r in rows)]) for k, h in enumerate(heads)]
+    else:
+        longest = [F.coalesce(F.max(F.length(c)), F.lit(0)) for c in shown.columns]
+        some, *found = shown.agg(F.count("*"), *longest).first()
+        rows, widths = shown.toLocalIterator(), [max(len(h), n) for h, n in zip(heads, found, strict=True)]
+    if not some:
+        yield "(no rows)\n"
+        return
+
+    def line(cells_) -> str:
+        return "|" + "".join(f" {x:<{w}} |" for x, w in zip(cells_, widths, strict=True)) + "\n"
+
     rule = "+" + "".join("-" * (w + 2) + "+" for w in widths) + "\n"
-    lines = ["|" + "".join(f" {x:<{w}} |" for x, w in zip(r, widths, strict=True)) + "\n" for r in [heads, *rows]]
-    return rule + lines[0] + rule + "".join(lines[1:]) + rule
+    yield rule + line(heads) + rule
+    for r in rows:
+        yield line(r)
+    yield rule
+
+
+def table_text(df: DataFrame, max_rows: int) -> str:
+    return "".join(table_lines(df, max_rows))

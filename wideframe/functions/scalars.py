@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 
+def floor_div(a: Column, b: Column) -> Column:
+    """Whole numbers divided, rounded down, without a double in between; b is above 0."""
+    below = F.when(a % b < 0, F.lit(1)).otherwise(F.lit(0))
+    return F.call_function("div", a, b) - below
+
+
 def epoch_day(text: Column) -> Column:
     """Days since 1970 of a strict YYYY-MM-DD; null if it is none."""
     ok = F.rlike(text, F.lit(r"^\d{4}-\d{2}-\d{2}$"))
@@ -17,7 +23,8 @@ def epoch_day(text: Column) -> Column:
 def split_nanos(ns: Column) -> Column:
     """struct<millis, nanos_of_milli> of nanoseconds since the epoch; before it too, nanos_of_milli is 0 to 999999."""
     nanos = F.pmod(ns, F.lit(1_000_000))
-    return F.struct(((ns - nanos) / 1_000_000).cast("long").alias("millis"), nanos.cast("int").alias("nanos_of_milli"))
+    millis = floor_div(ns.cast("long"), F.lit(1_000_000).cast("long"))
+    return F.struct(millis.cast("long").alias("millis"), nanos.cast("int").alias("nanos_of_milli"))
 
 
 def join_nanos(millis: Column, nanos: Column) -> Column:

@@ -14,10 +14,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.scalars import floor_div
 from ..types import TableError, check_schema, is_nanos, is_nested, type_name, width
+from .facts import column_facts
 from .stats import ROW_GROUP, _name
 
 
+#: Of the folder layout that `sources.sink` writes.
+VERSION = 1
+
+
 @dataclass(frozen=True)
 class Options:
     compression: str = "zstd"
@@ -80,45 +86,18 @@ def _value_key(c: Column, t: T.DataType) -> Column:
     return F.to_json(F.struct(c)) if is_nanos(t) else c.cast("string")
 
 
-def _long(df: DataFrame, columns: list[str], row_group: str) -> DataFrame:
-    each = [
-        F.struct(
-            F.lit(n).alias("column"),
-            _value_key(_name(n), df.schema[n].dataType).alias("value"),
-            value_size(_name(n), df.schema[n].dataType).alias("size"),
-        )
-        for n in columns
-    ]
-    return df.select(row_group, F.explode(F.array(*each)).alias("c")).select(row_group, "c.*")
-
+def _columns(df: DataFrame, columns: list[str] | None, row_group: str) -> list[str]:
+    return columns if columns is not None else [n for n in df.columns if n != row_group]
 
-def encodings(
-    df: DataFrame, columns: list[str] | None = None, options: Options = Options(), row_group: str = ROW_GROUP
-) -> DataFrame:
-    """(row_group, column, rows, non_null, distinct, plain_bytes, dict_bytes, encoding, has_nulls, bytes).
 
-    Values are counted by themselves first, so a value that fills a column is one row for each task after that.
-    """
-    columns = columns or [n for n in df.columns if n != row_group]
-    for n in columns:
-        if is_nested(df.schema[n].dataType):
-            raise TableError(f"column '{n}' is nested: shred it first")
-    long = _long(df, columns, row_group)
-    values = long.groupBy(row_group, "column", "value").agg(F.count("*").alias("n"), F.first("size").alias("size"))
-    live = F.col("value").isNotNull()
-    facts = values.groupBy(row_group, "column").agg(
-        F.sum("n").alias("rows"),
-        F.coalesce(F.sum(F.when(live, F.col("n"))), F.lit(0)).alias("non_null"),
-        F.count_if(live).alias("distinct"),
-        F.coalesce(F.sum(F.when(live, F.col("n") * F.col("size"))), F.lit(0)).alias("plain_bytes"),
-        F.coalesce(F.sum(F.when(live, F.col("size"))), F.lit(0)).alias("entry_bytes"),
-    )
-    short = [n for n in columns if (width(df.schema[n].dataType) or 99) <= 8]
+def _physical(df: DataFrame, columns: list[str], options: Options, row_group: str) -> DataFrame:
+    """(row_group, parent, child, bucket, and what `encodings` has) of the physical columns."""
+    at = bucket_of(T.StructType([f for f in df.schema if f.name != row_group]), options)
+    most = max(1, options.max_dict_entries)
+    facts = column_facts(df, columns, {n: at[n] for n in columns}, most, row_group)
     n = F.col("distinct")
     dict_bytes = varint_size(n) + F.col("entry_bytes") + F.ceil(F.col("non_null") * index_bits(n) / F.lit(8))
-    limits = (n <= options.max_dict_entries) & (
-        F.col("column").isin(short) | (F.col("entry_bytes") <= options.max_dict_total_bytes)
-    )
+    limits = (n <= options.max_dict_entries) & (F.col("short") | (F.col("entry_bytes") <= options.max_dict_total_bytes))
     kind = (
         F.when(F.col("non_null") == 0, "ALL_NULL")
         .when(n == 1, "CONST")
@@ -135,32 +114,58 @@ def encodings(
         (F.col("encoding") != "ALL_NULL") & (F.col("non_null") < F.col("rows")), F.ceil(F.col("rows") / F.lit(8))
     ).otherwise(F.lit(0))
     return (
-        facts.withColumn("dict_bytes", dict_bytes.cast("long"))
+        facts.withColumn("dict_bytes", F.when(n.isNotNull(), dict_bytes).cast("long"))
         .withColumn("encoding", kind)
         .withColumn("has_nulls", F.col("non_null") < F.col("rows"))
         .withColumn("bytes", (stored + nulls).cast("long"))
-        .drop("entry_bytes")
+    )
+
+
+def encodings(
+    df: DataFrame, columns: list[str] | None = None, options: Options = Options(), row_group: str = ROW_GROUP
+) -> DataFrame:
+    """(row_group, column, rows, non_null, distinct, plain_bytes, dict_bytes, encoding, has_nulls, bytes).
+
+    A row for each physical column: an ARRAY or MAP is its lengths, under its own name, and its children, which are
+    encoded by themselves (name.element, name.key, name.value). distinct and dict_bytes are null where there are more
+    values than a dictionary may have: they are counted no further. An empty table gives no rows.
+    """
+    found = _physical(df, _columns(df, columns, row_group), options, row_group)
+    return found.select(
+        row_group, "column", "rows", "non_null", "distinct", "plain_bytes", "dict_bytes", "encoding", "has_nulls", "bytes"
+    )
+
+
+def _pages(physical: DataFrame, row_group: str) -> DataFrame:
+    """Of each column: its own encoding, and the bytes and live pages of all that it consists of."""
+    own = F.max(F.when(~F.col("child"), F.col("encoding")))
+    live = F.count_if(F.col("encoding") != "ALL_NULL")
+    return physical.groupBy(row_group, F.col("parent").alias("column"), "bucket").agg(
+        own.alias("encoding"), F.sum("bytes").alias("bytes"), live.alias("live")
     )
 
 
 def pages(df: DataFrame, columns: list[str] | None = None, options: Options = Options(), row_group: str = ROW_GROUP) -> DataFrame:
-    """(row_group, column, bucket, encoding, bytes): what each column takes by itself, before compression."""
-    at = bucket_of(T.StructType([f for f in df.schema if f.name != row_group]), options)
-    found = encodings(df, columns, options, row_group)
-    number = F.create_map(*[F.lit(x) for kv in at.items() for x in kv])
-    return found.select(row_group, "column", number[F.col("column")].alias("bucket"), "encoding", "bytes")
+    """(row_group, column, bucket, encoding, bytes): what each column takes by itself, before compression.
 
+    Bytes of an ARRAY's or MAP's children count for the column; the encoding is that of its lengths.
+    """
+    found = _physical(df, _columns(df, columns, row_group), options, row_group)
+    return _pages(found, row_group).select(row_group, "column", "bucket", "encoding", "bytes")
 
-def buckets(df: DataFrame, options: Options = Options(), row_group: str = ROW_GROUP) -> DataFrame:
-    """(row_group, bucket, kind, bytes, columns): Paged if compressed, and the bucket and its mean page are large."""
-    own = pages(df, None, options, row_group)
-    grouped = own.groupBy(row_group, "bucket").agg(
+
+def _buckets(physical: DataFrame, options: Options, row_group: str) -> DataFrame:
+    grouped = physical.groupBy(row_group, "bucket").agg(
         F.sum("bytes").alias("values"),
+        F.count("*").alias("n"),
+        F.count_if("child").alias("children"),
+        F.coalesce(F.sum(F.when(F.col("child"), varint_size(F.col("rows")))), F.lit(0)).alias("child_rows"),
         F.count_if(F.col("encoding") != "ALL_NULL").alias("n_pages"),
-        F.sort_array(F.collect_list("column")).alias("columns"),
+        F.sort_array(F.collect_list(F.when(~F.col("child"), F.col("column")))).alias("columns"),
     )
-    n = F.size("columns")
-    raw = F.col("values") + F.ceil(n * 2 / F.lit(8)) + F.ceil(n / F.lit(8))
+    n, kids = F.col("n"), F.col("children")
+    head = F.when(kids > 0, varint_size(n - kids) + varint_size(kids) + F.col("child_rows")).otherwise(F.lit(0))
+    raw = F.col("values") + F.ceil(n * 2 / F.lit(8)) + F.ceil(n / F.lit(8)) + head
     # A page has two bytes of its own: encoding and flags.
     page_bytes = F.col("values") + 2 * F.col("n_pages")
     paged = F.lit(options.compression == "zstd") & (raw >= options.page_size_threshold)
@@ -169,22 +174,36 @@ def buckets(df: DataFrame, options: Options = Options(), row_group: str = ROW_GR
     return grouped.select(row_group, "bucket", kind.alias("kind"), raw.cast("long").alias("bytes"), "columns")
 
 
-def column_sizes(df: DataFrame, options: Options = Options(), row_group: str = ROW_GROUP) -> DataFrame:
-    """(column, bytes, approximate): a paged bucket's columns exactly, others' bytes split evenly over the bucket."""
-    whole = buckets(df, options, row_group)
-    own = pages(df, None, options, row_group)
+def buckets(df: DataFrame, options: Options = Options(), row_group: str = ROW_GROUP) -> DataFrame:
+    """(row_group, bucket, kind, bytes, columns): Paged if compressed, and the bucket and its mean page are large."""
+    return _buckets(_physical(df, _columns(df, None, row_group), options, row_group), options, row_group)
+
+
+def column_sizes(
+    df: DataFrame, options: Options = Options(), row_group: str = ROW_GROUP, columns: list[str] | None = None
+) -> DataFrame:
+    """(column, bytes, approximate): a paged bucket's columns exactly, others' bytes split evenly over the bucket.
+
+    Columns that share a bucket with the chosen ones are read too, since they share its bytes.
+    """
+    at = bucket_of(T.StructType([f for f in df.schema if f.name != row_group]), options)
+    wanted = _columns(df, columns, row_group)
+    near = {at[n] for n in wanted}
+    physical = _physical(df, [n for n in at if at[n] in near], options, row_group)
+    whole, own = _buckets(physical, options, row_group), _pages(physical, row_group)
     each = whole.select(row_group, "bucket", "kind", F.col("bytes").alias("total"), "columns")
     met = own.join(each, [row_group, "bucket"])
     nth = F.array_position("columns", F.col("column"))
     share = even_share(F.col("total"), F.size("columns"), nth)
     exact = (F.col("kind") == "Paged") | (F.size("columns") == 1)
-    size = F.when(F.col("kind") == "Paged", F.col("bytes") + 2).otherwise(share)
-    return met.groupBy("column").agg(F.sum(size).cast("long").alias("bytes"), F.bool_or(~exact).alias("approximate"))
+    size = F.when(F.col("kind") == "Paged", F.col("bytes") + 2 * F.col("live")).when(F.col("kind") == "Empty", F.lit(0)).otherwise(share)
+    found = met.groupBy("column").agg(F.sum(size).cast("long").alias("bytes"), F.bool_or(~exact).alias("approximate"))
+    return found if columns is None else found.where(F.col("column").isin(columns))
 
 
 def even_share(total: Column, n: Column, nth: Column) -> Column:
     """Of a total split over n: the first ones (nth from 1) get one more each."""
-    return (F.floor(total / n) + F.when(nth <= total % n, 1).otherwise(0)).cast("long")
+    return (floor_div(total, n) + F.when(nth <= total % n, 1).otherwise(0)).cast("long")
 
 
 def dictionary(
@@ -242,8 +261,15 @@ def running_split(batches: DataFrame, batch: str, max_size: int) -> DataFrame:
 
 
 def footer(spark: SparkSession, buckets_: int, row_groups: int, options: Options = Options()) -> DataFrame:
+    """(format, version, buckets, row_groups, compression), one row."""
     kind = "format string, version int, buckets int, row_groups int, compression string"
-    return spark.createDataFrame([("parquet", 1, buckets_, row_groups, options.compression)], kind)
+    return spark.createDataFrame([("parquet", VERSION, buckets_, row_groups, options.compression)], kind)
+
+
+def ratio_text(stored: Column, raw: Column) -> Column:
+    """How many times smaller the stored bytes are, with two decimals; empty where either is unknown (0 or null)."""
+    known = (stored > 0) & (raw > 0)
+    return F.when(known, F.format_string("%.2fx", raw / stored)).otherwise("")
 
 
 def estimated_size(written: int, buffered: int, ratio: float | None = None, compression: str = "zstd") -> int:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scalars import floor_div
 from ..types import check_stats_columns, is_nanos, width
 
 ROW_GROUP = "row_group"
@@ -13,7 +14,7 @@ ROW_GROUP = "row_group"
 
 def by_key(df: DataFrame, key: str, size: int, to: str = ROW_GROUP) -> DataFrame:
     """Row groups of `size` consecutive values of a whole-number key: no shuffle, and the same on every run."""
-    return df.withColumn(to, F.floor(F.col(key) / F.lit(size)).cast("long"))
+    return df.withColumn(to, floor_div(F.col(key), F.lit(size)).cast("long"))
 
 
 def _name(c: str) -> Column:
@@ -47,6 +48,16 @@ def shown(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def with_units(stats: DataFrame, schema: T.StructType) -> DataFrame:
+    """Statistics for people: days, microseconds and nanoseconds say what they are."""
+    units = {T.DateType: " (epoch-day)", T.TimestampType: " (us)", T.TimestampNTZType: " (us)"}
+    unit = F.lit("")
+    for text in sorted({*units.values(), " (ns)"}):
+        own = [f.name for f in schema if (" (ns)" if is_nanos(f.dataType) else units.get(type(f.dataType))) == text]
+        unit = F.when(F.col("column").isin(own), text).otherwise(unit) if own else unit
+    return stats.withColumns({n: F.concat(n, unit) for n in ("min", "max")})
+
+
 def row_group_stats(
     df: DataFrame, columns: list[str], row_group: str = ROW_GROUP, position: str | None = None
 ) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..plans.prune import excluded_row_groups
+from ..plans.prune import kept_row_groups
 from ..sources import files
 from ..sources.sink import with_row_groups
 from ..types import TableError
@@ -19,6 +19,10 @@ from .predicate import Where, bind, parse_where
 from .stats import ROW_GROUP, _name
 
 
+#: Names of files that a condition may list.
+NAMED_FILES = 5_000
+
+
 def column_names(text: str | None) -> list[str] | None:
     """Of a comma list: trimmed, empty ones dropped; None stays None."""
     return None if text is None else [n.strip() for n in text.split(",") if n.strip()]
@@ -57,12 +61,9 @@ class WideTable:
         self.check(list(names))
         return replace(self, projection=tuple(dict.fromkeys(names)))
 
-    def _data(self, only: list[str] | None = None) -> DataFrame:
-        """All columns; `only`: file names. Parquet reads the columns that are selected from it, and no others."""
-        where = [f"{self.path}/data/{n}" for n in only] if only is not None else [f"{self.path}/data"]
-        if only is not None and not only:
-            return self.spark.createDataFrame([], self.schema_)
-        return self.spark.read.schema(self.schema_).parquet(*where)
+    def _data(self, only: str | None = None) -> DataFrame:
+        """All columns; `only`: a file's name. Parquet reads the columns that are selected from it, and no others."""
+        return self.spark.read.schema(self.schema_).parquet(f"{self.path}/data" + (f"/{only}" if only else ""))
 
     def _select(self, df: DataFrame) -> DataFrame:
         return df.select(*[_name(n) for n in self.schema.names])
@@ -78,7 +79,7 @@ class WideTable:
     def row_group(self, name: str) -> DataFrame:
         if not files.exists(self.spark, f"{self.path}/data/{name}"):
             raise TableError(f"unknown row group '{name}'")
-        return self._select(self._data([name]))
+        return self._select(self._data(name))
 
     def count(self) -> int:
         return self._data().count()
@@ -91,15 +92,18 @@ class WideTable:
         return self.spark.createDataFrame([], kind)
 
     def where(self, condition: str | Where) -> DataFrame:
-        """The projected rows that match. Files whose statistics exclude a match are not opened."""
+        """The projected rows that match. Files whose statistics exclude a match are not opened.
+
+        Names of files are a condition on the scan, which drops the others while it lists files. Where more than
+        NAMED_FILES are left, the driver holds no names: then files are opened and their own footers exclude the groups.
+        """
         w = parse_where(condition) if isinstance(condition, str) else condition
-        mask = bind(self.schema_, w)
-        only = None
+        data = self._data().where(bind(self.schema_, w))
         if w.column in self.options.stats_columns:
-            gone = {r[0] for r in excluded_row_groups(self.stats(), self.schema_, w).collect()}  # names of files
-            if gone:
-                only = [r[0] for r in self.stats().select(ROW_GROUP).distinct().collect() if r[0] not in gone]
-        return self._select(self._data(only).where(mask))
+            kept = kept_row_groups(self.stats(), self.schema_, w).limit(NAMED_FILES + 1).collect()
+            if len(kept) <= NAMED_FILES:
+                data = data.where(F.col("_metadata.file_name").isin([r[0] for r in kept]) if kept else F.lit(False))
+        return self._select(data)
 
     def cat(self, num: int | None = None, columns: list[str] | None = None, where: str | None = None) -> DataFrame:
         """Filter, then limit, then project; the predicate's column need not be shown. Conditions are checked first."""
@@ -129,15 +133,34 @@ class WideTable:
         return layout.buckets(self._grouped(), self.options)
 
     def column_sizes(self, columns: list[str] | None = None) -> DataFrame:
-        return layout.column_sizes(self._grouped(), self.options).where(F.col("column").isin(self._flat(columns)))
+        return layout.column_sizes(self._grouped(), self.options, columns=self._flat(columns))
 
     def dictionary(self, column: str) -> DataFrame:
         rows = self._grouped().withColumn("__position", F.col("_metadata.row_index"))
         return layout.dictionary(rows, column, "__position", self.options)
 
     def footer(self) -> DataFrame:
-        n = self.row_groups().count()
-        return layout.footer(self.spark, self.options.buckets(len(self.schema_)), n, self.options)
+        return layout.footer(self.spark, self.n_buckets, self.row_groups().count(), self.options)
+
+    @property
+    def n_buckets(self) -> int:
+        return self.options.buckets(len(self.schema_))
+
+    def meta(self) -> DataFrame:
+        """(rows, columns, buckets, row_groups), one row."""
+        counted = self.row_groups().agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), F.count("*").alias("row_groups"))
+        return counted.select(
+            "rows", F.lit(len(self.schema_)).alias("columns"), F.lit(self.n_buckets).alias("buckets"), "row_groups"
+        )
+
+    def stored(self) -> DataFrame:
+        """(row_group, stored_bytes, raw_bytes, ratio): a file's size, its values' before compression, and how many times less."""
+        files_ = self._data().select(
+            F.col("_metadata.file_name").alias(ROW_GROUP), F.col("_metadata.file_size").alias("stored_bytes")
+        )
+        size = files_.groupBy(ROW_GROUP).agg(F.max("stored_bytes").alias("stored_bytes"))
+        raw = self.buckets().groupBy(ROW_GROUP).agg(F.sum("bytes").alias("raw_bytes"))
+        return size.join(raw, ROW_GROUP).withColumn("ratio", layout.ratio_text(F.col("stored_bytes"), F.col("raw_bytes")))
 
 
 def read_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:

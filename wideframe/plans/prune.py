@@ -28,7 +28,19 @@ def kept_row_groups(stats: DataFrame, schema: T.StructType, where: Where, row_gr
     return stats.select(row_group).distinct().join(gone, row_group, "left_anti")
 
 
+#: Row groups that a condition may list.
+LISTED = 5_000
+
+
 def pruned_scan(df: DataFrame, stats: DataFrame, where: Where, row_group: str = ROW_GROUP) -> DataFrame:
-    """The rows that match, without those of excluded row groups: the same rows as without pruning."""
-    gone = excluded_row_groups(stats, df.schema, where, row_group)
-    return df.where(bind(df.schema, where)).join(gone, row_group, "left_anti")
+    """The rows that match, without those of excluded row groups: the same rows as without pruning.
+
+    `stats` should be stored ones; excluded row groups become a condition on the scan. More than LISTED of them are
+    left to the predicate itself, which costs less than a join. Row groups without statistics are kept.
+    """
+    rows = df.where(bind(df.schema, where))
+    gone = [r[0] for r in excluded_row_groups(stats, df.schema, where, row_group).limit(LISTED + 1).collect()]
+    gone = [g for g in gone if g is not None]
+    if not gone or len(gone) > LISTED:
+        return rows
+    return rows.where(~F.col(row_group).isin(gone) | F.col(row_group).isNull())

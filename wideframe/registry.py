@@ -255,7 +255,8 @@ f AS (SELECT row_group, col, any_value(short) AS short, sum(n)::BIGINT AS total,
        coalesce(sum(size) FILTER (v IS NOT NULL), 0)::BIGINT AS entries FROM v GROUP BY 1, 2),
 d AS (SELECT *, (CASE WHEN n < 128 THEN 1 WHEN n < 16384 THEN 2 WHEN n < 2097152 THEN 3 ELSE 4 END + entries
        + ceil(non_null * CASE WHEN n > 1 THEN length(bin(n - 1)) ELSE 0 END / 8.0))::BIGINT AS dict_bytes FROM f)
-SELECT row_group, col AS "column", total AS "rows", non_null, n AS "distinct", plain_bytes, dict_bytes,
+SELECT row_group, col AS "column", total AS "rows", non_null, CASE WHEN n <= 255 THEN n END AS "distinct", plain_bytes,
+  CASE WHEN n <= 255 THEN dict_bytes END AS dict_bytes,
   CASE WHEN non_null = 0 THEN 'ALL_NULL' WHEN n = 1 THEN 'CONST'
        WHEN n <= 255 AND (short OR entries <= 32768) AND dict_bytes < plain_bytes THEN 'DICT' ELSE 'PLAIN' END AS encoding,
   non_null < total AS has_nulls FROM d"""
@@ -449,8 +450,11 @@ def decimal_text(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from . import registry_tables  # noqa: F401  # registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)

@@ -1,7 +1,11 @@
-"""Session settings that the wide-table semantics ask for."""
+"""Session settings that the wide-table semantics ask for, the shared folder, and shipping this package to workers."""
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+
 from pyspark.sql import SparkSession
 
 #: Names are compared as they are written; TIME columns are on; footers answer counts; timestamps are in UTC.
@@ -20,3 +24,41 @@ def session(app: str = "wideframe", **settings: str) -> SparkSession:
     for k, v in (SETTINGS | settings).items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, for written intermediate tables.
+
+    A cluster must name it. Where it is unset a local session, whose driver and workers are one machine, gets a
+    temporary one for its application; the session's settings stay as they are.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='wideframe-')}"
+    return _LOCAL[app]
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once for each application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    to = os.path.join(tempfile.mkdtemp(prefix="wideframe-"), "wideframe_package.zip")
+    with zipfile.ZipFile(to, "w") as z:
+        for folder, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    spark.sparkContext.addPyFile(to)
+    _SHIPPED.add(app)

@@ -8,14 +8,19 @@ from __future__ import annotations
 
 import csv
 import io
+import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import inexact, split_nanos
 from ..operators.stats import _name
+from ..session import ship
 from ..types import NANOS, TableError
 from . import files
 from .sink import required
@@ -93,12 +98,50 @@ def check_header(names: list[str]) -> None:
         if not n:
             raise TableError("CSV header has an empty column name")
         if n in seen:
-            raise TableError(f"duplicate CSV header field '{n}'")
+            raise TableError(f"column '{n}' is in the CSV header twice")
         seen.add(n)
 
 
+@contextmanager
+def readable(path: str) -> Iterator[None]:
+    """What Spark finds wrong with a file's records is an error of the table."""
+    try:
+        yield
+    except PySparkException as e:
+        said = str(e)
+        if "MALFORMED" in said.upper() or "FAILFAST" in said.upper() or "SparkUpgrade" in said:
+            raise TableError(f"{path}: a record is damaged or has another number of fields than the header") from e
+        raise
+    except Exception as e:  # the gateway's, from readers that raise in the driver
+        if "MALFORMED" in str(e).upper():
+            raise TableError(f"{path}: a record is damaged or has another number of fields than the header") from e
+        raise
+
+
+def spans_lines(spark: SparkSession, path: str, d: Dialect) -> bool:
+    """Whether a quoted value may go over a line's end: a line that opens one has an odd number of quotes."""
+    quotes = F.col("value")
+    if d.escape and d.escape != d.quote:
+        quotes = F.regexp_replace(quotes, re.escape(d.escape) + ".", "")
+    kept = F.length(F.regexp_replace(quotes, "[^" + re.escape(d.quote) + "]", ""))
+    return not spark.read.text(path).where(F.contains("value", F.lit(d.quote))).where(kept % 2 == 1).isEmpty()
+
+
+def _records(text: str, d: Dialect, skip: int) -> Iterator[list[str]]:
+    """Of a file's whole text, without its first lines."""
+    lines = io.StringIO(text, newline="")
+    for _ in range(skip):
+        lines.readline()
+    yield from csv.reader(
+        lines, delimiter=d.delimiter, quotechar=d.quote, escapechar=d.escape, doublequote=d.escape is None, strict=True
+    )
+
+
 def read_strings(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame, bool] | None:
-    """(all columns as text, empty values null; whether there are rows), or None for a file without content."""
+    """(all columns as text, empty values null; whether there are rows), or None for a file without content.
+
+    A file is read in parts, line by line, unless a quoted value may hold a line's end; then one task reads the file.
+    """
     names, skip = _header(spark, path, d)
     if names is None:
         return None
@@ -111,10 +154,15 @@ def read_strings(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame,
         .option("enforceSchema", "true")
         .option("maxCharsPerColumn", "-1")
     )
+    whole = spans_lines(spark, path, d)
+    if whole:
+        reader = reader.option("multiLine", "true")
     if skip == 0:
         df = reader.csv(path)
     elif skip == 1 and d.header is None and not d.no_header:
         df = reader.option("header", "true").csv(path)
+    elif whole:
+        df = _whole_file(spark, path, d, skip, len(names))
     else:  # lines of one file keep their order within its parts: the first ones are in the first part
         lines = spark.read.text(path).withColumn("part", F.spark_partition_id()).withColumn("n", F.monotonically_increasing_id())
         kept = lines.where((F.col("part") > 0) | (F.col("n") >= skip)).select("value")
@@ -124,12 +172,31 @@ def read_strings(spark: SparkSession, path: str, d: Dialect) -> tuple[DataFrame,
             {"sep": d.delimiter, "quote": d.quote, "escape": d.escape or d.quote, "mode": "FAILFAST"},
         )
         df = kept.where("value <> ''").select(parsed.alias("r")).select("r.*")
-    some = not df.isEmpty()
+    with readable(path):
+        some = not df.isEmpty()
     if some or d.header is not None or d.no_header:
         check_header(names)
     return df.toDF(*[f"c{k}" for k in range(len(names))]).withColumnsRenamed({f"c{k}": n for k, n in enumerate(names)}), some
 
 
+def _whole_file(spark: SparkSession, path: str, d: Dialect, skip: int, width: int) -> DataFrame:
+    """The records of a file with lines to skip and values that go over lines, read by one task."""
+
+    def parse(content: bytes) -> list[list[str | None]]:
+        found = []
+        for record in _records(content.decode("utf-8", "replace"), d, skip):
+            if record and len(record) != width:
+                raise ValueError(f"MALFORMED record: {len(record)} fields, not {width}")
+            if record:
+                found.append([x or None for x in record])
+        return found
+
+    ship(spark)
+    rows = F.udf(parse, T.ArrayType(T.ArrayType(T.StringType())))
+    read = spark.read.format("binaryFile").load(path).select(F.explode(rows("content")).alias("r"))
+    return read.select(*[F.col("r")[k].alias(f"c{k}") for k in range(width)])
+
+
 def infer(df: DataFrame) -> list[Field]:
     """Kinds over all rows, in one aggregate."""
     aggs = []
@@ -163,7 +230,7 @@ def _join(kinds: set[str]) -> str:
 
 
 def merge_kinds(name: str, a: str, b: str) -> str:
-    """Equal; null with any; int with float; timestamps to the finer unit; else an error."""
+    """Equal; null with any; int with float; timestamps to the finer unit, dates with them; else an error."""
     if a == b or b == "null":
         return a
     if a == "null":
@@ -172,6 +239,8 @@ def merge_kinds(name: str, a: str, b: str) -> str:
         return "float"
     if a in UNITS and b in UNITS:
         return max(a, b, key=UNITS.index)
+    if {a, b} <= {"date", *UNITS}:
+        return b if a == "date" else a
     raise TableError(f"incompatible types for field '{name}': {a} and {b}")
 
 
@@ -208,7 +277,10 @@ def spark_type(kind: str) -> T.DataType:
 
 
 def _stamp(c: Column) -> Column:
-    return F.try_to_timestamp(F.replace(F.substring(c, 1, 19), F.lit("T"), F.lit(" ")), F.lit("yyyy-MM-dd HH:mm:ss"))
+    """Whole seconds; a date alone is its midnight."""
+    own = F.replace(F.substring(c, 1, 19), F.lit("T"), F.lit(" "))
+    full = F.when(F.length(c) == 10, F.concat(own, F.lit(" 00:00:00"))).otherwise(own)
+    return F.try_to_timestamp(full, F.lit("yyyy-MM-dd HH:mm:ss"))
 
 
 def convert(c: Column, kind: str) -> Column:
@@ -236,7 +308,7 @@ def problems(df: DataFrame, fields: list[Field]) -> DataFrame | None:
             v = c.try_cast("double")
             token = F.rlike(c, F.lit(r"(?i)^-?(nan|inf|infinity)$"))
             aggs += [
-                F.count_if(inexact(c)).alias(f"{k}:cannot be represented exactly as Float64"),
+                F.count_if(inexact(c)).alias(f"{k}:would change if it were held as Float64"),
                 F.count_if(token).alias(f"{k}:is not finite"),
                 F.count_if(~token & (F.abs(v) == float("inf"))).alias(f"{k}:is out of range for Float64"),
                 F.count_if(c.isNotNull() & v.isNull()).alias(f"{k}:is no number"),
@@ -265,7 +337,8 @@ def import_csv(
     for p in paths:
         found = read_strings(spark, p, dialect)
         if found is not None and (found[1] or (legacy and len(paths) == 1)):
-            sources.append(Source(p, found[0], infer(found[0])))
+            with readable(p):
+                sources.append(Source(p, found[0], infer(found[0])))
     if not sources:
         if legacy and len(paths) == 1:
             return spark.createDataFrame([], T.StructType([]))

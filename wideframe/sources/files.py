@@ -51,13 +51,27 @@ def install(spark: SparkSession, made: str, path: str, overwrite: bool) -> None:
             fs.delete(source, True)
             raise TableError(f"output '{path}' already exists; pass overwrite to replace it")
         old = spark._jvm.org.apache.hadoop.fs.Path(beside(path))
-        fs.rename(to, old)
-        fs.rename(source, to)
+        if not fs.rename(to, old):
+            raise TableError(f"cannot install '{path}': the old output stays in its place")
+        if not _moved(fs, source, to):
+            back = "is back in its place" if _moved(fs, old, to) else f"is at '{old.toString()}'"
+            raise TableError(f"cannot install '{path}': the old output {back}")
         fs.delete(old, True)
-    elif not fs.rename(source, to):
+    elif not _moved(fs, source, to):
         raise TableError(f"cannot install '{path}'")
 
 
+def _moved(fs, source, to) -> bool:
+    """Rename to a name that is free. A folder that another writer put there meanwhile would take the source inside it."""
+    if fs.exists(to) or not fs.rename(source, to):
+        return False
+    inside = to.suffix(f"/{source.getName()}")
+    if fs.exists(inside):
+        fs.rename(inside, source)
+        return False
+    return True
+
+
 def discard(spark: SparkSession, path: str) -> None:
     fs, p = _fs(spark, path)
     fs.delete(p, True)

@@ -19,6 +19,8 @@ from . import files
 
 MAX_DEPTH = 128
 SUFFIXES = (".json", ".ndjson", ".jsonl")
+#: Number tokens that a double may not hold: 16 digits or more, an exponent, no digits at all.
+DOUBTFUL = r"^[+-]?\d{16,}$|[eE]|Infinity"
 
 
 def is_json(path: str) -> bool:
@@ -65,6 +67,33 @@ def _doubles(path: str, c: Column, t: T.DataType) -> Iterator[tuple[str, Column]
             yield name, flat
 
 
+def problems(tokens: DataFrame, held: T.StructType) -> None:
+    """Refuse fields without a value, and numbers that a double does not hold: two aggregates, however many fields there are.
+
+    Only tokens that may be wrong leave their row: long ones, those with an exponent, and words.
+    """
+    seen = tokens.agg(*[F.count(_name(f.name)).alias(str(k)) for k, f in enumerate(held)]).first() if len(held) else ()
+    for f, n in zip(held, seen, strict=True):
+        if not n:
+            raise TableError(f"field '{f.name}' has no value to take its type from")
+    places = [p for f in held for p in _doubles(f.name, _name(f.name), f.dataType)]
+    if not places:
+        return
+    doubtful = [
+        F.transform(F.filter(values, lambda t: F.rlike(t, F.lit(DOUBTFUL))), lambda t, k=k: F.struct(F.lit(k).alias("k"), t.alias("t")))
+        for k, (_, values) in enumerate(places)
+    ]
+    # Null arrays have no tokens; flatten would make the whole row null.
+    none = F.array().cast("array<struct<k:int,t:string>>")
+    each = tokens.select(F.explode(F.flatten(F.array(*[F.coalesce(d, none) for d in doubtful]))).alias("d")).select("d.k", "d.t")
+    v = F.col("t").try_cast("double")
+    beyond = (F.abs(v) == float("inf")) | F.rlike("t", F.lit('^"?-?Infinity"?$'))
+    counted = each.groupBy("k").agg(F.count_if(inexact(F.col("t"))).alias("inexact"), F.count_if(beyond).alias("beyond"))
+    for r in counted.where("inexact > 0 OR beyond > 0").orderBy("k").limit(1).collect():
+        what = "would change if it were held as Float64" if r["inexact"] else "is out of range for Float64"
+        raise TableError(f"a number of field '{places[r['k']][0]}' {what}")
+
+
 def infer(lines: DataFrame, path: str) -> T.StructType:
     spark = lines.sparkSession
     try:
@@ -91,20 +120,6 @@ def import_json(spark: SparkSession, path: str, columns: list[str] | None = None
     raw = T.StructType([T.StructField(f.name, _raw(f.dataType), True) for f in held])
     options = {"mode": "FAILFAST", "maxNestingDepth": str(MAX_DEPTH)}
     tokens = lines.select(F.from_json("value", raw, options).alias("r")).select("r.*")
-    aggs, what = [], []
-    for f in held:
-        aggs.append(F.count(_name(f.name)))
-        what.append((f.name, "has no value to take its type from", "none"))
-        for place, values in _doubles(f.name, _name(f.name), f.dataType):
-            what += [(place, "cannot be represented exactly as Float64", "some"), (place, "is out of range for Float64", "some")]
-            token = F.explode_outer(values)
-            each = tokens.select(token.alias("t"))
-            v = F.col("t").try_cast("double")
-            bad = each.agg(F.count_if(inexact(F.col("t"))).alias("a"), F.count_if((F.abs(v) == float("inf")) | F.rlike("t", F.lit("^\"?-?Infinity\"?$"))).alias("b")).first()
-            aggs += [F.lit(bad["a"]), F.lit(bad["b"])]
-    counts = tokens.agg(*[a.alias(str(k)) for k, a in enumerate(aggs)]).first() if aggs else []
-    for n, (place, problem, wrong) in zip(counts, what, strict=True):
-        if (wrong == "none") == (n == 0):
-            raise TableError(f"field '{place}' {problem}")
+    problems(tokens, held)
     check_schema(held)
     return lines.select(F.from_json("value", held, options).alias("r")).select("r.*")
