@@ -77,9 +77,9 @@ def test_language_edges(spark, odd, clashing, empty):
 # --- language model ------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("head", [0, 40, 200_000])
-def test_base_score(spark, tmp_path, odd, monkeypatch, head):
-    monkeypatch.setattr(attention_lm, "HEAD_WORDS", head)
+@pytest.mark.parametrize("words", [40, 200_000])
+def test_base_score(spark, tmp_path, odd, monkeypatch, words):
+    monkeypatch.setattr(attention_lm, "BLOCK_WORDS", words)  # of the driver's module: the next line takes it along
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(clean_odd(odd).select("doc_id", "text").where("doc_id IS NOT NULL").selectExpr("doc_id + 100000 AS doc_id", "text"))
     got = attention_lm.op4_lm_score(spark, table_dir(tmp_path, documents=docs)).toPandas()
     rows = [tuple(r) for r in docs.collect()]
@@ -102,25 +102,44 @@ def test_base_score(spark, tmp_path, odd, monkeypatch, head):
     assert (got["score"] < 0).all()
 
 
+def test_held_out_score_beats_word_counts(spark):
+    """The model's log10 probability of the words of documents that it did not learn from, above the word base."""
+    got = attention_lm.op4_lm_score(spark, "/root/testdata/sf0.01").where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    score, base = got[0] / got[2], got[1] / got[2]
+    print(f"held out, log10 of a word: {score:.3f}, word base {base:.3f}")
+    assert score > base + 0.05
+
+
+def test_lm_edges(spark, odd, empty, clashing):
+    assert attention_lm.score_documents(empty).count() == 0
+    short = clashing.where("doc_id IS NULL OR doc_id < 7").withColumn("block", F.lit("own")).withColumn("learn", F.lit("own"))
+    got = attention_lm.score_documents(short, F.col("lang") == "en").collect()  # null languages teach nothing
+    assert len(got) == short.count() and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1}
+    train = short.where("lang = 'en'").collect()
+    assert {r.train_tokens for r in got} == {sum(len((r.text or "").split()) + 1 for r in train)}
+    none = attention_lm.score_documents(short, F.lit(False)).collect()
+    assert {(r.base_score, r.n_known, r.train_tokens) for r in none} == {(0.0, 0, 0)} and all(r.score < 0 for r in none)
+
+
 def _small_model():
     rng = np.random.default_rng(0)
     size = attention_lm.CLASSES + 60
     counts = rng.integers(1, 90, size)
-    input_of, class_of, _ = attention_lm.layout([], counts, None)
+    input_of, class_of = attention_lm.grouped(counts, np.zeros((size, 8), np.float32))
     ids = [rng.integers(0, size, n).astype(np.uint16) for n in (1, 15, 16, 17, 70)]
-    near, far = (np.zeros(attention_lm.INPUTS * attention_lm.CLASSES) for _ in range(2))
+    near, far = (np.zeros(attention_lm.INPUTS * attention_lm.CLASSES, np.int64) for _ in range(2))
     attention_lm.pair_counts(ids, input_of, class_of, near, far)
     shape = attention_lm.INPUTS, attention_lm.CLASSES
-    return attention_lm.build(counts, input_of, class_of, near.reshape(shape), far.reshape(shape), ids), ids
+    return attention_lm.build(counts, input_of, class_of, near.reshape(shape), far.reshape(shape)), ids
 
 
 def test_attention_is_causal_and_normalised():
     m, ids = _small_model()
     end = len(m.class_of) - 1
     c, s = attention_lm.CONTEXT, attention_lm.SCORED
-    got = attention_lm.score_ids(m, ids)
+    assert c >= 32
+    got = np.split(attention_lm.log_ids(m, ids), np.cumsum([len(i) for i in ids])[:-1])
     for k, i in enumerate(ids):  # one id at a time, from what stands before it in its window
-        total = 0.0
         for at in range(len(i)):
             start = at - at % s - c
             before = [end if j <= 0 else int(i[j - 1]) for j in range(start, at + 1)]
@@ -131,68 +150,97 @@ def test_attention_is_causal_and_normalised():
             values = [m.far[m.input_of[b]] for b in before[:-1]] + [m.near[m.input_of[before[-1]]], m.plain]
             p = sum(x * d for x, d in zip(a, values, strict=True))
             assert p.sum() == pytest.approx(1, abs=1e-4)
-            total += math.log10(p[m.class_of[i[at]]]) + m.log_share[i[at]] / math.log(10)
-        assert got[k] == pytest.approx(total, rel=1e-4)
+            assert got[k][at] == pytest.approx(math.log(p[m.class_of[i[at]]]) + m.log_share[i[at]], rel=1e-4)
     shares = np.bincount(m.class_of, np.exp(m.log_share))
     assert shares[shares > 0] == pytest.approx(1, abs=1e-3)
 
 
-def test_attention_learns():
+def test_word_mixture():
     m, ids = _small_model()
-    before = attention_lm.score_ids(m, ids).sum()
-    x, y, use, _ = attention_lm.windows(ids, m.input_of, len(m.class_of) - 1)
-    attention_lm.descend(m, x, m.class_of[y], use, 0.1, 5)
-    assert attention_lm.score_ids(m, ids).sum() > before
+    sizes, share = np.array([1, 1, 3, 2]), np.log([0.1, 0.2, 0.3, 0.4])
+    words = [np.array([0]), np.array([2, 3] * 3), np.array([1] * 16), np.array([1] * 17), np.array([2] * 23 + [1])]
+    log = np.split(attention_lm.log_ids(m, ids), np.cumsum([len(i) for i in ids])[:-1])
+    got = attention_lm.score_texts(m, ids, words, sizes, share)
+    for k, w in enumerate(words):
+        total, at = 0.0, 0
+        for x in w:
+            own = log[k][at : at + sizes[x]].sum()
+            total += math.log(attention_lm.OF_IDS * math.exp(own) + (1 - attention_lm.OF_IDS) * math.exp(share[x]))
+            at += sizes[x]
+        assert at == len(ids[k]) and got[k] == pytest.approx(total)
 
 
-# --- packing -------------------------------------------------------------------------------------------------------
+def test_attention_learns():
+    m, ids = _small_model()
+    before = attention_lm.log_ids(m, ids).sum()
+    seen, target, use, _ = attention_lm.windows(ids, len(m.class_of) - 1)
+    sums = attention_lm.no_sums(m.weights)
+    for _ in range(5):
+        attention_lm.descend(m, sums, m.input_of[seen].T, m.class_of[target].T, use.T)
+    assert attention_lm.log_ids(m, ids).sum() > before
 
 
-def trained_on(spark, monkeypatch, texts):
-    """What `train` gives to `build` for these texts."""
-    given = []
-    monkeypatch.setattr(attention_lm, "build", lambda *a, **k: given.append((a, k)))
-    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+def learned(spark, texts):
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     attention_lm.ship(spark)
-    attention_lm.train(docs, attention_lm.word_counts(docs), attention_lm.default_tokenizer())
-    return given[0]
+    blocks = attention_lm.encoded(docs, F.lit(True), attention_lm.default_tokenizer())
+    return blocks.where("learn").select("ids"), blocks
 
 
-def test_tables_count_all_documents(spark, monkeypatch):
+def test_tables_count_all_documents(spark):
     texts = [f"text {k} of many has its own words w{k} and v{k * k} " * (1 + k % 5) for k in range(60)] + ["one copy " * 900] * 30
-    (counts, input_of, class_of, near, far, *_), _ = trained_on(spark, monkeypatch, texts)
+    own, blocks = learned(spark, texts)
+    counts = attention_lm.id_counts(own, attention_lm.subwords(attention_lm.default_tokenizer())[1])
+    around = attention_lm._around(own, counts)
+    input_of, class_of = attention_lm.grouped(counts, around)
+    near, far = attention_lm._pair_tables(own, input_of, class_of)
+    assert counts.sum() == sum(len(bytes(r.ids)) // 2 for r in own.collect())
     assert near.sum() == counts.sum() and far.sum() == counts.sum() * len(attention_lm.FAR)
     assert (np.bincount(class_of, counts, attention_lm.CLASSES) == near.sum(0)).all()
-
-
-def test_fit_sees_whole_texts(spark, monkeypatch):
-    head = "one two three four five six seven " * 200
-    texts = [head + f"{k} zebra quartz zebra quartz " * 40 for k in range(20)]
-    assert len(head) > 4000
-    around = []
-    plain = attention_lm.grouped
-    monkeypatch.setattr(attention_lm, "grouped", lambda counts, a: around.append(a) or plain(counts, a))
-    (counts, *_), more = trained_on(spark, monkeypatch, texts)
-    x, y, use = more["chosen"]
-    # As few as these are all chosen; their targets are the ids of all texts, those of the tails too.
-    assert (np.bincount(y[use], minlength=len(counts)) == counts).all() and len(x) == len(y) == len(use)
-    assert around[0].shape == (len(counts), 2 * (attention_lm.AROUND + 1))
+    words = collections.Counter(w for t in texts for w in t.encode().split())
+    found = attention_lm.counted(blocks).where("first").select("total").collect()
+    assert sorted(r.total for r in found) == sorted([*words.values(), len(texts)])
 
 
 def test_around_counts():
     ids = [np.array([3, 4, 3, 9], np.uint16), np.array([9], np.uint16), np.array([4, 9], np.uint16)]
     number = np.full(10, 2)
     number[[3, 4]] = 0, 1
+    needed = np.ones(10, bool)
+    needed[4] = False
     around = np.zeros(60)
-    attention_lm.around_counts(ids, number, around)
+    attention_lm.around_counts(ids, number, needed, around)
     want = np.zeros((10, 6))
     for i in ids:
         for a, b in itertools.pairwise(i):
-            want[b, number[a]] += 1
-            want[a, 3 + number[b]] += 1
+            want[b, number[a]] += needed[b]
+            want[a, 3 + number[b]] += needed[a]
     assert (around.reshape(10, 6) == want).all()
 
 
+def test_fit_takes_windows_from_all_places():
+    rng = np.random.default_rng(4)
+    ids = [np.arange(k, k + 4000, dtype=np.uint16) for k in rng.integers(0, 40_000, 40)]
+    seen, target, _ = attention_lm.chosen_windows(ids, 50_000, 0.05)
+    starts = np.array([t[0] for t in target])
+    assert 300 < len(seen) < 700 and len(np.unique(starts // 16)) > 250
+    assert len(attention_lm.chosen_windows(ids, 50_000, 1.0)[0]) == 40 * 250
+
+
+def test_windows_fit_averages_tasks(spark):
+    own, _ = learned(spark, [f"here is text {k} and it goes on and on " * 20 for k in range(40)])
+    counts = attention_lm.id_counts(own, attention_lm.subwords(attention_lm.default_tokenizer())[1])
+    input_of, class_of = attention_lm.grouped(counts, attention_lm._around(own, counts))
+    m = attention_lm.build(counts, input_of, class_of, *attention_lm._pair_tables(own, input_of, class_of))
+    ids = [np.frombuffer(bytes(r.ids), np.uint16) for r in own.collect()]
+    before = attention_lm.log_ids(m, ids).sum()
+    m.weights = attention_lm.fitted(m, own, float(counts.sum()))
+    assert attention_lm.log_ids(m, ids).sum() > before
+
+
+# --- packing -------------------------------------------------------------------------------------------------------
+
+
 def test_tokenizer_is_the_file_s():
     from tokenizers import Tokenizer
 
@@ -259,7 +307,7 @@ def big_ids(spark):
 
 def test_ids_stay_exact(spark, big_ids):
     want = [None, BIG, BIG + 1]
-    for df in (packing.pieces(big_ids), mpeg.store(big_ids), mpeg.read(mpeg.store(big_ids)), attention_lm.score_documents(big_ids, big_ids)):
+    for df in (packing.pieces(big_ids), mpeg.store(big_ids), mpeg.read(mpeg.store(big_ids)), attention_lm.score_documents(big_ids)):
         assert sorted((r.doc_id for r in df.select("doc_id").collect()), key=lambda i: i or 0) == want
 
 
