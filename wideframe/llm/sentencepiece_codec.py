@@ -4,6 +4,11 @@ The lattice has a state for each character boundary and an arc for each piece th
 the longest piece of the last boundary can begin a further arc, so that is the window kept; whenever the backpointer
 paths of all of these meet in one boundary, the ids up to it are committed and their states dropped.
 
+Where no piece of the model goes over a word's end (or from letters to other characters), all paths meet there whatever
+comes before: such a boundary is committed at once, and what a word between two of them gives is remembered, so that the
+lattice is laid once for a word. A word that is longer than several windows is not waited for: its characters go through
+the window as they come.
+
 For a unigram model a state keeps the best sum of scores. For a BPE model the score order of merges decides instead: the
 state's arc is the piece that ends the BPE of the text so far, and it is the one whose neighbour before it stays apart
 from it when both are merged again. So both kinds give the ids of the SentencePiece library.
@@ -28,6 +33,8 @@ from .common import fresh, ship, small_batches, table
 SPACE = "▁"
 #: Words, and the units that they consist of, whose ids a worker remembers; then it begins anew.
 CACHED = 500_000
+#: Characters that a stream is given at once, and windows of a word whose end is waited for.
+PORTION, WAITED = 1 << 16, 8
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
 _UNK_PENALTY = 10.0
@@ -147,15 +154,89 @@ class Model:
 
 
 class Stream:
-    """Takes characters in any portions and gives ids as soon as they are certain."""
+    """Takes characters in any portions and gives ids as soon as they are certain.
+
+    It holds the window of the lattice and the word that has not ended yet, which are bounded; `commits` counts the
+    boundaries that were committed before the text's end.
+    """
 
     def __init__(self, model: Model):
-        self.m, self.text = model, ""
+        self.m, self.code = model, "H" if len(model.pieces) <= 1 << 16 else "I"
+        self.words: dict[str, bytes] = {}
+        self.units: dict[str, bytes] = {}
+        self.commits, self.held, self.open = 0, "", False
+        self._new_window()
+
+    def _new_window(self) -> None:
         #: For each boundary since the last commit: where its arc begins, its piece (-1: a character that is none, or
         #: the text's start), its score.
-        self.back, self.last, self.score = [0], [-1], [0.0]
+        self.text, self.back, self.last, self.score = "", [0], [-1], [0.0]
 
     def feed(self, chars: str) -> list[int]:
+        return np.frombuffer(self.push(chars), self.code).tolist()
+
+    def finish(self) -> list[int]:
+        return np.frombuffer(self.close(), self.code).tolist()
+
+    def push(self, chars: str) -> bytes:
+        """The ids that are certain now, as an array's bytes."""
+        if not self.m.by_words:
+            return self._through(chars)
+        done = b""
+        if self.open:
+            end = chars.find(SPACE)
+            if end < 0:
+                return self._through(chars)
+            done, chars = self._through(chars[:end]) + self._rest(), chars[end:]
+            self.commits += 1
+        s = self.held + chars
+        cut = max(0, s.rfind(SPACE))
+        while cut and s[cut - 1] == SPACE:
+            cut -= 1
+        self.held = s[cut:]
+        if cut:
+            done += self._whole(s[:cut])
+        if len(self.held) > WAITED * self.m.longest:
+            word, self.held, self.open = self.held, "", True
+            done += self._through(word)
+        return done
+
+    def close(self) -> bytes:
+        """The ids of what is left; the next text begins."""
+        word, self.held = self.held, ""
+        return self._rest() + (self._whole(word) if word else b"")
+
+    def _whole(self, s: str) -> bytes:
+        """Of whole words, each committed."""
+        if s[0] == SPACE and SPACE + SPACE not in s:
+            known, parts = self.words.get, s.split(SPACE)[1:]
+            self.commits += len(parts)
+            return b"".join([known(w) or self._word(w) for w in parts])
+        parts = self.m.units(s)
+        self.commits += len(parts)
+        return b"".join(map(self._unit, parts))
+
+    def _word(self, w: str) -> bytes:
+        """Of a word without its space."""
+        found = b"".join(map(self._unit, self.m.units(SPACE + w)))
+        if len(w) <= 64:
+            if len(self.words) >= CACHED:
+                self.words.clear()
+            self.words[w] = found
+        return found
+
+    def _unit(self, s: str) -> bytes:
+        found = self.units.get(s)
+        if found is None:
+            found = self._through(s) + self._rest()
+            if len(s) <= 64:
+                if len(self.units) >= CACHED:
+                    self.units.clear()
+                self.units[s] = found
+        return found
+
+    def _through(self, chars: str) -> bytes:
+        """Characters through the window: the lattice grows, and is cut where all paths meet."""
         out: list[int] = []
         step = self.m.longest
         for k in range(0, len(chars), step):
@@ -163,11 +244,12 @@ class Stream:
             (self._extend_bpe if self.m.type == BPE else self._extend_unigram)()
             if len(self.text) > step:
                 out += self._commit()
-        return out
+        return array(self.code, out).tobytes()
 
-    def finish(self) -> list[int]:
-        out = self._path(len(self.text))
-        self.text, self.back, self.last, self.score = "", [0], [-1], [0.0]
+    def _rest(self) -> bytes:
+        out = array(self.code, self._path(len(self.text))).tobytes()
+        self.open = False
+        self._new_window()
         return out
 
     def _extend_bpe(self) -> None:
@@ -234,6 +316,7 @@ class Stream:
         at = alive.pop()
         if not at:
             return []
+        self.commits += 1
         out = self._path(at)
         self.text = self.text[at:]
         self.back = [0] + [b - at for b in self.back[at + 1 :]]
@@ -244,46 +327,17 @@ class Stream:
 class Codec:
     def __init__(self, path: str):
         self.m = Model(path)
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
-        self.code = "H" if len(self.m.pieces) <= 1 << 16 else "I"
         self.stream = Stream(self.m)
         self.raw = np.frombuffer(b"".join(self.m.raw), np.uint8)
         self.raw_size = np.array([len(r) for r in self.m.raw])
         self.raw_start = np.cumsum(self.raw_size) - self.raw_size
 
-    def _encoded(self, s: str) -> bytes:
-        return array(self.code, self.stream.feed(s) + self.stream.finish()).tobytes()
-
-    def _unit(self, s: str) -> bytes:
-        found = self.units.get(s)
-        if found is None:
-            found = self._encoded(s)
-            if len(s) <= 64:
-                if len(self.units) >= CACHED:
-                    self.units.clear()
-                self.units[s] = found
-        return found
-
-    def _word(self, w: str) -> bytes:
-        """Of a word without its space."""
-        found = b"".join(map(self._unit, self.m.units(SPACE + w)))
-        if len(w) <= 64:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[w] = found
-        return found
-
     def encode(self, text: str) -> np.ndarray:
-        s = self.m.normalise(text)
-        if not self.m.by_words:
-            parts = [self._encoded(s)]
-        elif s.startswith(SPACE) and SPACE + SPACE not in s:
-            known = self.words.get
-            parts = [known(w) or self._word(w) for w in s.split(SPACE)[1:]]
-        else:
-            parts = map(self._unit, self.m.units(s))
-        return np.frombuffer(b"".join(parts), self.code)
+        """The ids of a text, which goes through the stream in portions."""
+        s, stream = self.m.normalise(text), self.stream
+        parts = [stream.push(s[at : at + PORTION]) for at in range(0, len(s), PORTION)]
+        parts.append(stream.close())
+        return np.frombuffer(b"".join(parts), stream.code)
 
     def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
         """The texts of lists of ids, laid end to end."""
@@ -310,7 +364,11 @@ def codec(path: str) -> Codec:
 
 
 def encode(docs: DataFrame, model: str | None = None, text: str = "text", to: str = "ids") -> DataFrame:
-    """docs with the ids array<int> of each whole text. A null or empty text has none. A column named `to` is replaced."""
+    """docs with the ids array<int> of each whole text. A null or empty text has none. A column named `to` is replaced.
+
+    A model file with a character map for normalising is refused with a ValueError; so is one that keeps white space
+    unescaped. An empty table gives an empty result.
+    """
     path = model or default_model()
     ship(docs.sparkSession)
     small_batches(docs.sparkSession, 500)
