@@ -5,6 +5,10 @@ that share the code. A round probes, for each query that is still open, the segm
 radius. After the round of radius r every code within m*(r+1)-1 of the query has been met (m segments: one of them is
 within r), so a query closes once its kth verified distance is not above that. A pair counts only in the round and
 segment where it is first met, and only if it is not farther than the kth distance so far, so no pair comes twice.
+
+Segments are as wide as the number of codes makes worth while. Where a radius of wide segments would list too many
+values, the queries that are still open go on with segments of half the width, whose radii are smaller; the narrowest
+ones reach every code. So every pair is met by an equal segment value, never by comparing all with all.
 """
 
 from __future__ import annotations
@@ -19,10 +23,10 @@ from .common import table, written
 
 #: Index rows (a code's segment) that may be broadcast: 40 bytes each in a hash table, and their id lists.
 BROADCAST_ROWS = 300_000
-#: Probes of one radius that are listed; where a segment has more, open queries are compared with all codes in blocks.
+#: Probes of one radius that are listed; where a segment has more, open queries go on with narrower segments.
 MAX_PROBES = 40_000
-#: Open queries that one broadcast holds then.
-BLOCK = 20_000
+#: Widths of a segment in bits, and up to how many codes each is the first.
+WIDTHS = ((8, 1 << 12), (16, 1 << 24), (32, 1 << 62))
 
 
 def code_words(vector: str, words: int) -> list[Column]:
@@ -68,6 +72,55 @@ def _least_ids(rows: DataFrame, by: list[str], order: str, k: int) -> DataFrame:
     )
 
 
+def _segments(names: list[str], bits: int) -> list[tuple[int, Column]]:
+    """(number, value) of each segment of a code's words."""
+    per_word = 64 // bits
+    return [(w * per_word + j, _segment(F.col(names[w]), bits, j)) for w in range(len(names)) for j in range(per_word)]
+
+
+def _rounds(
+    codes: DataFrame, state: DataFrame, best: DataFrame | None, bits: int, words: int, kept: int, n: int
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rounds with segments of so many bits: (queries still open, what was found). What open queries found before is
+    found again, so it is dropped first; their kth distance stays a bound."""
+    c, q = _names("c", words), _names("q", words)
+    m = words * 64 // bits
+    entries = [F.struct(F.lit(j).alias("j"), v.alias("value")) for j, v in _segments(c, bits)]
+    index = codes.select("*", F.explode(F.array(*entries)).alias("e")).select(*c, "ids", "e.*")
+    index = F.broadcast(index) if n * m <= BROADCAST_ROWS else index
+    state = written(state, "search-open")
+    if best is not None:
+        best = written(best.join(state.select(*q), q, "left_anti"), "search-closed")
+    spark = codes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    radius = 0
+    while radius <= bits and _count(bits, radius) <= MAX_PROBES and not state.isEmpty():
+        own = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("own")) for j, v in _segments(q, bits)]))
+        # Queries are few and their probes many: each query's segments are dealt over all tasks before they are listed.
+        probes = state.select(*q, "kth", own.alias("e")).select(*q, "kth", "e.*").repartition(tasks, *q, "j")
+        listed = F.split(F.lit(",".join(map(str, masks(bits, radius)))), ",").cast("array<bigint>")
+        probes = probes.select(*q, "kth", "j", "own", F.explode(listed).alias("flip"))
+        probes = probes.withColumn("value", F.expr("own ^ flip"))
+        # Met here first: no segment is nearer than the radius, nor one before this as near.
+        first = F.lit(True)
+        apart = [(j, F.bit_count(a.bitwiseXOR(b))) for (j, a), (_, b) in zip(_segments(q, bits), _segments(c, bits), strict=True)]
+        for j, d in apart:
+            first = first & F.when(F.col("l.j") > j, d > radius).otherwise(d >= radius)
+        met = (F.col("l.j") == F.col("r.j")) & (F.col("l.value") == F.col("r.value"))
+        near = probes.alias("l").join(index.alias("r"), met & (_distance(q, c) <= F.col("kth")) & first)
+        found = near.select(*q, _distance(q, c).alias("distance"), F.explode("ids").alias("id"))
+        merged = found if best is None else best.union(found)
+        best = written(_least_ids(merged, q, "distance, id", kept).drop("nth"), "search-best")
+        sure = m * (radius + 1) - 1
+        held = best.groupBy(*q).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        reached = F.least(F.col("kth"), F.when(F.col("n") >= kept, F.col("far")).otherwise(64 * words))
+        # Once every code is within reach, queries with fewer rows than asked for are done too.
+        state = state.join(held, q, "left").select(*q, reached.alias("kth")).where((F.col("kth") > sure) & F.lit(sure < 64 * words))
+        state = written(state, "search-open")
+        radius += 1
+    return state, best
+
+
 def top_k(
     base: DataFrame,
     queries: DataFrame,
@@ -99,77 +152,16 @@ def top_k(
     )
     asked = written(coded(queries, q), "search-queries")
     n = codes.count()
-    bits = 8 if n <= 1 << 12 else 16 if n <= 1 << 24 else 32
-    per_word, m = 64 // bits, words * 64 // bits
-    entries = [
-        F.struct(F.lit(w * per_word + j).alias("j"), _segment(F.col(c[w]), bits, j).alias("value"))
-        for w in range(words)
-        for j in range(per_word)
-    ]
-    index = codes.select("*", F.explode(F.array(*entries)).alias("e")).select(*c, "ids", "e.*")
-    small = n * m <= BROADCAST_ROWS
-    index = F.broadcast(index) if small else index
+    spare = f"query_id bigint, rank int, {id_col} bigint, distance int"
+    if not n or asked.isEmpty():
+        return base.sparkSession.createDataFrame([], spare)
     state = asked.select(*q).distinct().withColumn("kth", F.lit(64 * words))
     best = None
-    radius = 0
-    while True:
-        state = written(state, "search-open")
+    widest_no = next(k for k, (_, most) in enumerate(WIDTHS) if n <= most)
+    for bits, _ in reversed(WIDTHS[: widest_no + 1]):
+        state, best = _rounds(codes, state, best, bits, words, kept, n)
         if state.isEmpty():
             break
-        if _count(bits, radius) > MAX_PROBES or radius > bits:
-            # All codes against the open queries, these in blocks of about what one broadcast holds.
-            blocks = -(-state.count() // BLOCK)
-            in_block = [state.where(F.pmod(F.xxhash64(*q), F.lit(blocks)) == b) for b in range(blocks)]
-            nears = [codes.join(F.broadcast(x), _distance(q, c) <= F.col("kth")) for x in in_block]
-            near = reduce(DataFrame.union, nears) if n else None
-            exhausted = True
-        else:
-            probes = state.select(
-                *q,
-                "kth",
-                F.explode(
-                    F.array(
-                        *[
-                            F.struct(F.lit(w * per_word + j).alias("j"), _segment(F.col(q[w]), bits, j).alias("own"))
-                            for w in range(words)
-                            for j in range(per_word)
-                        ]
-                    )
-                ).alias("e"),
-            ).select(*q, "kth", "e.*")
-            flips = F.explode(F.array(*[F.lit(x).cast("long") for x in masks(bits, radius)])).alias("flip")
-            probes = probes.select(*q, "kth", "j", "own", flips).withColumn("value", F.expr("own ^ flip"))
-            # Met here first: no segment is nearer than the radius, nor one before this as near.
-            first = F.lit(True)
-            for w in range(words):
-                for i in range(per_word):
-                    apart = F.bit_count(_segment(F.col(q[w]).bitwiseXOR(F.col(c[w])), bits, i))
-                    no = w * per_word + i
-                    first = first & F.when(F.col("l.j") > no, apart > radius).otherwise(apart >= radius)
-            met = (F.col("l.j") == F.col("r.j")) & (F.col("l.value") == F.col("r.value"))
-            near = probes.alias("l").join(index.alias("r"), met & (_distance(q, c) <= F.col("kth")) & first)
-            exhausted = False
-        if near is not None:
-            found = near.select(*q, _distance(q, c).alias("distance"), F.explode("ids").alias("id"))
-            if exhausted and best is not None:
-                best = best.join(state.select(*q), q, "left_anti")
-            merged = found if best is None else best.union(found)
-            best = written(_least_ids(merged, q, "distance, id", kept).drop("nth"), "search-best")
-        if exhausted or best is None:
-            break
-        sure = m * (radius + 1) - 1
-        held = best.groupBy(*q).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        state = (
-            state.drop("kth")
-            .join(held, q, "left")
-            .withColumn("kth", F.when(F.col("n") >= kept, F.col("far")).otherwise(64 * words))
-            .where(F.col("kth") > sure)
-            .select(*q, "kth")
-        )
-        radius += 1
-    spare = f"query_id bigint, rank int, {id_col} bigint, distance int"
-    if best is None:
-        return base.sparkSession.createDataFrame([], spare)
     mine = asked.distinct().withColumnRenamed("id", "query_id").join(best, q)
     mine = mine if with_self else mine.where("id <> query_id")
     ranked = _least_ids(mine, ["query_id", *q], "distance, id", k)
