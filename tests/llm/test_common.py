@@ -33,3 +33,18 @@ def test_cluster_must_name_the_folder(monkeypatch):
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "a int, B_ int")
     assert common.fresh(df, "c") == "c" and common.fresh(df, "A") == "A_" and common.fresh(df, "b_") == "b__"
+
+
+def test_a_step_takes_its_tables_along(spark):
+    with common.step(spark) as leave:
+        inner = common.written(spark.range(3), "inner")
+        leave()
+        kept = common.written(inner, "kept")
+    assert kept.count() == 3
+    (path,) = {os.path.dirname(f) for f in kept.inputFiles()}
+    assert os.listdir(os.path.dirname(path).removeprefix("file://")) == [os.path.basename(path)]
+    with pytest.raises(KeyError), common.step(spark):
+        common.written(spark.range(3), "inner")
+        raise KeyError
+    assert common._STEPS == [] and kept.count() == 3
+    common.release(spark)

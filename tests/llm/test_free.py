@@ -574,14 +574,33 @@ def test_sentencepiece_is_the_library_s():
     assert c.decode([3 + 255, 5]) is not None  # bytes that are no UTF-8
 
 
+def test_ordinary_text_goes_through_the_stream():
+    """What op9 runs commits at each word's end, and holds no more than a window and a word."""
+    c = sentencepiece_codec.codec(sentencepiece_codec.default_model())
+    before, text = c.stream.commits, "the streaming lattice commits word by word, 3 times in 2026 " * 50
+    c.encode(text)
+    assert c.stream.commits - before >= len(text.split()) - 1 and (c.stream.held, c.stream.text) == ("", "")
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    rng = random.Random(8)
+    for _ in range(40):  # long words and short ones, in portions
+        t = "".join(rng.choice(["ab", "c", " ", "d" * rng.randrange(900), "é中" * rng.randrange(300), "1"]) for _ in range(30))
+        s, out, most, at = c.m.normalise(t), [], 0, 0
+        while at < len(s):
+            n = rng.randrange(1, 60)
+            out += c.stream.feed(s[at : at + n])
+            most, at = max(most, len(c.stream.held) + len(c.stream.text)), at + n
+        assert out + c.stream.finish() == sp.encode(t) == c.encode(t).tolist()
+        assert most <= (sentencepiece_codec.WAITED + 8) * c.m.longest + 60
+
+
 def test_stream_window_is_bounded():
     m = sentencepiece_codec.Model(sentencepiece_codec.default_model())
     rng, stream, most, out = random.Random(5), sentencepiece_codec.Stream(m), 0, []
     text = "".join(rng.choice("abcdefgh") for _ in range(20_000))
     for ch in text:
         out += stream.feed(ch)
-        most = max(most, len(stream.text))
-    assert most <= 8 * m.longest and len(out + stream.finish()) > 1000
+        most = max(most, len(stream.text) + len(stream.held))
+    assert most <= (sentencepiece_codec.WAITED + 1) * m.longest and len(out + stream.finish()) > 1000
 
 
 def test_unigram_viterbi():
@@ -614,10 +633,11 @@ def test_sentencepiece_column(spark, odd, clashing, empty):
 # --- search --------------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("dim,k,small,probes", [(20, 3, True, 40_000), (64, 10, False, 40_000), (130, 5, True, 40_000), (64, 4, True, 7)])
+@pytest.mark.parametrize("dim,k,small,probes", [(20, 3, True, 40_000), (64, 10, False, 40_000), (130, 5, True, 40_000), (64, 4, True, 70)])
 def test_search(spark, monkeypatch, dim, k, small, probes):
     monkeypatch.setattr(hamming_search, "MAX_PROBES", probes)
-    monkeypatch.setattr(hamming_search, "BLOCK", 3)
+    if probes < 40_000:  # wide segments first, each width only as far as its probes are few
+        monkeypatch.setattr(hamming_search, "WIDTHS", ((8, 0), (16, 0), (32, 1 << 62)))
     if not small:
         monkeypatch.setattr(hamming_search, "BROADCAST_ROWS", 0)
     rng = np.random.default_rng(dim)
