@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wideframe.llm import lang_id, near_dedup, packing, secrets
-from wideframe.llm.common import table, written
+from wideframe.llm.common import step, table, written
 
 STAGES = [
     ("language_id", lang_id.keep_known),
@@ -19,9 +19,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What a stage wrote for itself goes as soon as its rows are written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = written(docs, f"pipeline-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        with step(spark) as leave:
+            found = stage(spark, docs, sf_dir)
+            leave()
+            docs = written(found, f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
