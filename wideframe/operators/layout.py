@@ -90,9 +90,11 @@ def _columns(df: DataFrame, columns: list[str] | None, row_group: str) -> list[s
     return columns if columns is not None else [n for n in df.columns if n != row_group]
 
 
-def _physical(df: DataFrame, columns: list[str], options: Options, row_group: str) -> DataFrame:
+def _physical(
+    df: DataFrame, columns: list[str], options: Options, row_group: str, schema: T.StructType | None = None
+) -> DataFrame:
     """(row_group, parent, child, bucket, and what `encodings` has) of the physical columns."""
-    at = bucket_of(T.StructType([f for f in df.schema if f.name != row_group]), options)
+    at = bucket_of(schema or T.StructType([f for f in df.schema if f.name != row_group]), options)
     most = max(1, options.max_dict_entries)
     facts = column_facts(df, columns, {n: at[n] for n in columns}, most, row_group)
     n = F.col("distinct")
@@ -145,12 +147,19 @@ def _pages(physical: DataFrame, row_group: str) -> DataFrame:
     )
 
 
-def pages(df: DataFrame, columns: list[str] | None = None, options: Options = Options(), row_group: str = ROW_GROUP) -> DataFrame:
+def pages(
+    df: DataFrame,
+    columns: list[str] | None = None,
+    options: Options = Options(),
+    row_group: str = ROW_GROUP,
+    schema: T.StructType | None = None,
+) -> DataFrame:
     """(row_group, column, bucket, encoding, bytes): what each column takes by itself, before compression.
 
-    Bytes of an ARRAY's or MAP's children count for the column; the encoding is that of its lengths.
+    Bytes of an ARRAY's or MAP's children count for the column; the encoding is that of its lengths. `schema` is the
+    table's, for the buckets, where df has some of its columns only.
     """
-    found = _physical(df, _columns(df, columns, row_group), options, row_group)
+    found = _physical(df, _columns(df, columns, row_group), options, row_group, schema)
     return _pages(found, row_group).select(row_group, "column", "bucket", "encoding", "bytes")
 
 

@@ -61,28 +61,31 @@ class WideTable:
         self.check(list(names))
         return replace(self, projection=tuple(dict.fromkeys(names)))
 
-    def _data(self, only: str | None = None) -> DataFrame:
-        """All columns; `only`: a file's name. Parquet reads the columns that are selected from it, and no others."""
-        return self.spark.read.schema(self.schema_).parquet(f"{self.path}/data" + (f"/{only}" if only else ""))
+    def _data(self, columns: list[str] | tuple[str, ...], only: str | None = None) -> DataFrame:
+        """These columns; `only`: a file's name. The plan has no others, so its size is that of the projection, not of
+        the table."""
+        names = dict.fromkeys(columns) or self.schema_.names[:1]  # a plan needs a column; rows without one count too
+        kind = T.StructType([self.schema_[n] for n in names])
+        return self.spark.read.schema(kind).parquet(f"{self.path}/data" + (f"/{only}" if only else ""))
 
     def _select(self, df: DataFrame) -> DataFrame:
         return df.select(*[_name(n) for n in self.schema.names])
 
     @property
     def df(self) -> DataFrame:
-        return self._select(self._data())
+        return self._select(self._data(self.schema.names))
 
     def row_groups(self) -> DataFrame:
         """(row_group, rows), from the files' footers."""
-        return stats.row_group_rows(with_row_groups(self._data()))
+        return stats.row_group_rows(with_row_groups(self._data(())))
 
     def row_group(self, name: str) -> DataFrame:
         if not files.exists(self.spark, f"{self.path}/data/{name}"):
             raise TableError(f"unknown row group '{name}'")
-        return self._select(self._data(name))
+        return self._select(self._data(self.schema.names, name))
 
     def count(self) -> int:
-        return self._data().count()
+        return self._data(()).count()
 
     def stats(self) -> DataFrame:
         """(row_group, column, rows, nulls, min, max) of the columns that were opted in when the table was written."""
@@ -98,7 +101,8 @@ class WideTable:
         NAMED_FILES are left, the driver holds no names: then files are opened and their own footers exclude the groups.
         """
         w = parse_where(condition) if isinstance(condition, str) else condition
-        data = self._data().where(bind(self.schema_, w))
+        mask = bind(self.schema_, w)
+        data = self._data([*self.schema.names, w.column]).where(mask)
         if w.column in self.options.stats_columns:
             kept = kept_row_groups(self.stats(), self.schema_, w).limit(NAMED_FILES + 1).collect()
             if len(kept) <= NAMED_FILES:
@@ -116,8 +120,8 @@ class WideTable:
 
     # Reports. They take the written files as row groups.
 
-    def _grouped(self) -> DataFrame:
-        return with_row_groups(self._data())
+    def _grouped(self, columns: list[str] | None = None) -> DataFrame:
+        return with_row_groups(self._data(columns or self.schema_.names))
 
     def _flat(self, columns: list[str] | None) -> list[str]:
         self.check(columns or [])
@@ -127,7 +131,8 @@ class WideTable:
         return layout.schema_report(self.spark, self.schema_, self.options)
 
     def pages(self, columns: list[str] | None = None) -> DataFrame:
-        return layout.pages(self._grouped(), self._flat(columns), self.options)
+        names = self._flat(columns)
+        return layout.pages(self._grouped(names), names, self.options, schema=self.schema_)
 
     def buckets(self) -> DataFrame:
         return layout.buckets(self._grouped(), self.options)
@@ -136,8 +141,12 @@ class WideTable:
         return layout.column_sizes(self._grouped(), self.options, columns=self._flat(columns))
 
     def dictionary(self, column: str) -> DataFrame:
-        rows = self._grouped().withColumn("__position", F.col("_metadata.row_index"))
-        return layout.dictionary(rows, column, "__position", self.options)
+        self.check([column])
+        rows = self._grouped([column])
+        place = "position"
+        while place in rows.columns:
+            place += "_"
+        return layout.dictionary(rows.withColumn(place, F.col("_metadata.row_index")), column, place, self.options)
 
     def footer(self) -> DataFrame:
         return layout.footer(self.spark, self.n_buckets, self.row_groups().count(), self.options)
@@ -155,7 +164,7 @@ class WideTable:
 
     def stored(self) -> DataFrame:
         """(row_group, stored_bytes, raw_bytes, ratio): a file's size, its values' before compression, and how many times less."""
-        files_ = self._data().select(
+        files_ = self._data(()).select(
             F.col("_metadata.file_name").alias(ROW_GROUP), F.col("_metadata.file_size").alias("stored_bytes")
         )
         size = files_.groupBy(ROW_GROUP).agg(F.max("stored_bytes").alias("stored_bytes"))

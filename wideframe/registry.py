@@ -150,11 +150,6 @@ def empty_projection_count(spark, sf_dir):
     return _t(spark, sf_dir, "nation").select().agg(F.count("*").alias("n_rows"))
 
 
-@query("SELECT n_name, n_nationkey FROM nation")
-def projection_dedupes_names(spark, sf_dir):
-    return _t(spark, sf_dir, "nation").select(*dict.fromkeys(["n_name", "n_nationkey", "n_name"]))
-
-
 _STAT = """SELECT {g} AS row_group, '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS nulls,
   min({v})::VARCHAR AS min, max({v})::VARCHAR AS max FROM {t} GROUP BY 1"""
 
@@ -208,13 +203,6 @@ def rg_prune_kept(spark, sf_dir):
     return prune.kept_row_groups(found, rows.schema, parse_where("o_orderkey=9000"))
 
 
-@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 12000")
-def pruned_scan_rows(spark, sf_dir):
-    rows = _orders(spark, sf_dir)
-    found = stats.row_group_stats(rows, ["o_orderkey"])
-    return prune.pruned_scan(rows, found, parse_where("o_orderkey>12000")).select("o_orderkey", "o_custkey")
-
-
 _LINE_COLUMNS = (
     "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus "
     "l_shipdate"

@@ -18,7 +18,9 @@ from .functions.render import cells, ndjson
 from .operators import layout, nested, stats
 from .operators.layout import Options
 from .operators.table import WideTable, column_names, read_table
-from .registry import _t, query
+from .operators.predicate import parse_where
+from .plans import prune
+from .registry import ORDERS_GROUP, _t, query
 from .session import shared_dir
 from .sources import files
 from .sources.csv_import import Dialect, import_csv
@@ -125,6 +127,15 @@ def table_where_pruned(spark, sf_dir):
     return _orders(spark, sf_dir).cat(None, ["o_orderkey", "o_totalprice"], "o_orderkey<=777")
 
 
+@query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey > 12000")
+def pruned_scan_rows(spark, sf_dir):
+    """Row groups that are not files: stored statistics by a dense key, excluded groups as a condition on the scan."""
+    rows = stats.by_key(_t(spark, sf_dir, "orders"), "o_orderkey", ORDERS_GROUP)
+    found = stats.row_group_stats(rows, ["o_orderkey"])
+    kept = spark.read.parquet(_once(spark, sf_dir, "orders-stats", lambda p: found.write.parquet(p)))
+    return prune.pruned_scan(rows, kept, parse_where("o_orderkey>12000")).select("o_orderkey", "o_custkey")
+
+
 @query("SELECT o_orderkey FROM orders WHERE false")
 def table_where_none_left(spark, sf_dir):
     return _orders(spark, sf_dir).cat(None, ["o_orderkey"], "o_orderkey>99999999999")

@@ -118,7 +118,7 @@ class Writer:
             data = with_row_groups(self.spark.read.schema(self.schema).parquet(f"{self.made}/data"))
             if self.options.stats_columns:
                 stats = row_group_stats(data, list(self.options.stats_columns))
-                stats.coalesce(1 + self.batches // 64).write.parquet(f"{self.made}/stats")
+                stats.write.parquet(f"{self.made}/stats")
             files.install(self.spark, self.made, self.path, self.overwrite)
             self.state = "closed"
         except BaseException:
