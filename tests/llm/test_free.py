@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import random
+import re
 import time
 import zlib
 
@@ -448,6 +449,27 @@ def brute_classes(rows, similarity=0.8):
     return sorted(((i, least[find(k)]) for k, (i, _) in enumerate(rows)), key=str)
 
 
+def brute_roots(rows, similarity=0.8):
+    """A number for each row: that of the first row of its class."""
+    sets, root = [multiset(t) for _, t in rows], list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if rows[a][1] != rows[b][1]:
+            x, y = sets[a].total(), sets[b].total()
+            if min(x, y) < similarity * max(x, y) or not x:
+                continue
+            both = (sets[a] & sets[b]).total()
+            if both / (x + y - both) < similarity:
+                continue
+        root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(k) for k in range(len(rows))]
+
+
 def mutated(rng, words, n):
     w = list(words)
     for _ in range(n):
@@ -672,17 +694,73 @@ def test_search_empty(spark):
 # --- pipeline ------------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, tmp_path, odd):
+def test_low_scores_go(spark):
+    """Language ID rejects a text that no language has LEAST_SCORE of: here three languages share all its letters."""
+    rows = [(k, f"ab ba {x}{x}{x} ab ba", x) for x in "xyz" for k in range(20)]
+    docs = spark.createDataFrame([*rows, (1000, "ab ba ab ba", None)], "doc_id long, text string, lang string")
+    kept = {r.doc_id for r in lang_id.keep_known(spark, docs, "").where("lang IS NULL").collect()}
+    m = lang_id.train(docs)
+    assert m.score(["ab ba ab ba"])[1][0] < lang_id.LEAST_SCORE and kept == set()
+
+
+def test_pipeline(spark, tmp_path, odd, empty):
+    """Every stage against brute force over its own input, and the last one's pieces against the tokenizer's library."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from wideframe.llm import secrets
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    sf = table_dir(tmp_path, documents=docs.unionByName(clean_odd(odd).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10**6)))
+    more = clean_odd(odd).where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10**6)
+    other = more.where("doc_id = 1000006").withColumn("text", F.lit("another text under the same id, and its password = hunter2hunter2"))
+    sf = table_dir(tmp_path, documents=docs.unionByName(more).unionByName(other).withColumn("secret_key", F.lit("own")).withColumn("class_id", F.lit("own")))
     read = spark.read.parquet(f"{sf}/documents.parquet")
     columns = read.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = read.count()
-        read = stage(spark, read, sf)
-        assert read.columns == columns and 0.5 * before <= read.count() <= before, name
-        read = read.cache()
-    out = corpus_pipeline.run(spark, sf)
-    assert out.where("piece = 0").count() == read.count()
+    stages = dict(corpus_pipeline.STAGES)
+
+    def after(name, df):
+        out = stages[name](spark, df, sf).cache()
+        assert out.columns == columns
+        return out, [(r.doc_id, r.text) for r in out.collect()]
+
+    rows = [(r.doc_id, r.text) for r in read.collect()]
+    model = lang_id._trained(read)
+    langs, p = model.score([t for _, t in rows])
+    want = [x for x, lang, score in zip(rows, langs, p, strict=True) if lang != "und" and score >= lang_id.LEAST_SCORE]
+    read, rows = after("language_id", read)
+    assert sorted(rows) == sorted(want) and len(rows) > 150
+
+    members = collections.defaultdict(list)
+    for root, row in zip(brute_roots(rows), rows, strict=True):
+        members[root].append(row)
+    read, rows = after("near_dedup", read)
+    kept = sorted(rows)
+    assert len(kept) == len(members) < sum(map(len, members.values()))
+    for own in members.values():  # one row of each class, with its least id
+        (stays,) = {x for x in kept if x in own}
+        assert stays[0] == min(i for i, _ in own)
+
+    def redacted(text):
+        spans = []
+        for k, r in enumerate(secrets.RULES):
+            spans += [(m.start(), k, m.end(), r.kind) for m in re.finditer(r.pattern, text) if len(m[r.group]) >= r.min_len]
+        out, at = [], 0
+        for a, _, b, kind in sorted(spans):
+            if b > at:
+                out += [text[at : max(a, at)], f"[{kind}]"]
+                at = max(at, b)
+        return "".join([*out, text[at:]])
+
+    read, rows = after("secrets", read)
+    assert sorted(rows) == sorted((i, redacted(t)) for i, t in kept) and rows != kept
+
+    slow = Tokenizer.from_file(packing.default_tokenizer())
+    want = collections.Counter()
+    for i, t in rows:
+        ids = [*slow.encode(t or "", add_special_tokens=False).ids, 2]
+        for k, (start, n) in enumerate(packing.cut(len(ids))):
+            want[i, k, start, n, zlib.crc32(np.array(ids[start : start + n], "<u4").tobytes())] += 1
+    out = corpus_pipeline.run(spark, sf).toPandas()
+    assert want == collections.Counter(out[["doc_id", "piece", "start", "length", "ids_crc32"]].itertuples(index=False, name=None))
+    assert out.groupby("sequence_id")["length"].sum().max() <= 1024
+    assert corpus_pipeline.run(spark, table_dir(tmp_path / "none", documents=empty)).count() == 0
