@@ -205,10 +205,19 @@ def _spans(text: Column, rule: Rule, kind: int) -> Column:
     return let(items, all_spans)
 
 
-def candidates(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], segment_rows: int) -> DataFrame:
-    """(key, rules): which of the indexed rules (their numbers) each document may match; others have no row."""
-    wanted = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    grams = sorted({g for q in wanted.values() for conj in q for g in conj})
+@dataclass(frozen=True)
+class Index:
+    """Posting lists, written: a row for each segment of documents, a column p0, p1, ... for each trigram."""
+
+    postings: DataFrame
+    grams: tuple[str, ...]
+
+
+def build_index(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], segment_rows: int) -> Index:
+    """Of the trigrams that the rules ask for, over documents by `key`, a long. Other rules that ask for none but these
+    can be looked up in it later."""
+    queries = [q for r in rules if (q := trigram_query(r.pattern))]
+    grams = sorted({g for q in queries for conj in q for g in conj})
     segments = max(1, -(-keyed.count() // segment_rows))
     low = keyed.select(F.col(key).alias("k"), F.lower(text).alias("low"))
 
@@ -223,8 +232,14 @@ def candidates(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], s
         .groupBy(F.pmod("k", F.lit(segments)).alias("segment"))
         .agg(*[F.collect_set(F.when(F.col("has")[i], F.col("k"))).alias(f"p{i}") for i in range(len(grams))])
     )
-    lists = {g: F.col(f"p{i}") for i, g in enumerate(grams)}
-    met = postings.select(
+    return Index(written(postings, "secret-postings"), tuple(grams))
+
+
+def candidates(index: Index, key: str, rules: tuple[Rule, ...]) -> DataFrame:
+    """(key, rules): which of the indexed rules (their numbers) each document may match; others have no row."""
+    wanted = {k: q for k, r in enumerate(rules) if (q := trigram_query(r.pattern))}
+    lists = {g: F.col(f"p{i}") for i, g in enumerate(index.grams)}
+    met = index.postings.select(
         *[
             reduce(F.array_union, [reduce(F.array_intersect, [lists[g] for g in sorted(conj)]) for conj in q]).alias(
                 f"r{k}"
@@ -241,24 +256,36 @@ def candidates(keyed: DataFrame, key: str, text: str, rules: tuple[Rule, ...], s
     return hits.groupBy(F.col("k").alias(key)).agg(F.collect_set("rule").alias("rules"))
 
 
+def keyed_by_hash(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """docs with the key of the index: a hash of doc_id and text."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return docs.withColumn(key, F.xxhash64(whole, F.col("doc_id")) if "doc_id" in docs.columns else F.xxhash64(whole))
+
+
 def find_secrets(
     docs: DataFrame,
     rules: tuple[Rule, ...] = RULES,
     text: str = "text",
     segment_rows: int = 512,
     broadcast_rows: int = 200_000,
+    index: Index | None = None,
 ) -> DataFrame:
     """docs with one more column, secret_spans array<struct<start, kind_no, end, kind>>, sorted by start, then kind.
 
     Spans are code points, end exclusive. A null text counts as empty and has no span. Documents are indexed by a hash
     of their doc_id and text, so repeated rows share an entry and each gets its spans. The candidates are broadcast
     if they are at most broadcast_rows (16 bytes and a short list each), else joined by their hash. A column that is
-    already named secret_spans is replaced. An empty table gives an empty result.
+    already named secret_spans is replaced. An empty table gives an empty result. `index` is one of these documents,
+    built for these rules or for more.
     """
     key = fresh(docs, "secret_key")
     whole = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.withColumn(key, F.xxhash64(whole, F.col("doc_id")) if "doc_id" in docs.columns else F.xxhash64(whole))
-    found = written(candidates(keyed, key, text, rules, segment_rows), "secret-candidates")
+    keyed = keyed_by_hash(docs, key, text)
+    if any(trigram_query(r.pattern) for r in rules):
+        index = index or build_index(keyed, key, text, rules, segment_rows)
+        found = written(candidates(index, key, rules), "secret-candidates")
+    else:  # nothing to look up: each rule scans all texts
+        found = docs.sparkSession.createDataFrame([], f"{key} long, rules array<int>")
     if found.count() <= broadcast_rows:
         found = F.broadcast(found)
     mark = fresh(docs, "secret_rules")
