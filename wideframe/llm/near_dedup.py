@@ -270,6 +270,11 @@ def _union_find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([x for x in found if x[0] != x[1]], columns=["v", "root"], dtype="int64")
 
 
+def _known(found: DataFrame) -> DataFrame:
+    """To be broadcast in a join if it is small; else the join is by its keys, and AQE splits what is skewed."""
+    return F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+
+
 def components(edges: DataFrame, name: str = "components", few: int = FEW_EDGES) -> DataFrame:
     """(v, root) of every vertex with an edge in edges (a, b): root is the least vertex of its component.
 
@@ -333,9 +338,9 @@ def blocks(rows: DataFrame, key: str, cls: str, weight: Column) -> DataFrame:
     sizes = sizes.withColumn("own", F.when(F.col("n") > CHUNK_TEXTS, F.col(cls)).otherwise(-1))
     parts = F.greatest(F.ceil(F.sum("n") / CHUNK_TEXTS), F.ceil(F.sum("weight") / CHUNK_BYTES), F.lit(1))
     dealt = written(sizes.groupBy(key, "own").agg(parts.alias("parts")), "dedup-chunks")
-    # Both tables have a row for a thousand rows or so at most.
-    alone = F.broadcast(dealt.where("own >= 0").select(key, F.col("own").alias(cls), F.lit(True).alias("alone")))
-    many = F.broadcast(dealt.where("parts > 1"))
+    # Both tables have a row for a thousand rows or so at most, and are broadcast where they are small.
+    alone = _known(dealt.where("own >= 0").select(key, F.col("own").alias(cls), F.lit(True).alias("alone")))
+    many = _known(dealt.where("parts > 1"))
     rows = rows.join(alone, [key, cls], "left").withColumn("own", F.expr(f"if(alone, {cls}, -1)")).drop("alone")
     rows = rows.join(many, [key, "own"], "left")
     part = F.pmod(F.xxhash64("id", F.lit(17)), F.coalesce("parts", F.lit(1))).cast("int")
@@ -461,10 +466,8 @@ def multisets_of(ids: DataFrame, named: DataFrame, texts: DataFrame, name: str)
     """(id, blob) of these texts, written."""
     wanted = named.join(ids.distinct(), "id", "left_semi")
     wanted = written(wanted.selectExpr("id", "key AS k", "least_id"), f"{name}-wanted")
-    if wanted.count() <= BROADCAST_KEYS:
-        wanted = F.broadcast(wanted)
     # One row of each text: that of its least doc_id.
-    met = texts.join(wanted, F.expr("key = k AND doc_id <=> least_id")).select("id", "text")
+    met = texts.join(_known(wanted), F.expr("key = k AND doc_id <=> least_id")).select("id", "text")
     made = met.mapInPandas(_multiset_blobs, "id long, blob binary").dropDuplicates(["id"])
     return written(made, f"{name}-multisets")
 
@@ -546,10 +549,6 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
 
 
-def _known(found: DataFrame) -> DataFrame:
-    return F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
-
-
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, class_id, copies, links for each row: class_id is the least doc_id of its class of near-duplicates.
 
