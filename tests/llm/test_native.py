@@ -86,6 +86,16 @@ def test_dense_text(spark):
     assert secrets.redact_secrets(spark, df.limit(0), "").count() == 0
 
 
+def test_index_is_used_again(spark):
+    planted = spark.createDataFrame(list(enumerate(PLANTED)), "doc_id long, text string")
+    index = secrets.build_index(secrets.keyed_by_hash(planted, "k"), "k", "text", secrets.RULES, 3)
+    assert index.postings.count() > 1
+    assert secrets.find_secrets(planted, secrets.RULES[2:3]).where("size(secret_spans) > 0").count() == 3
+    for rules in (secrets.RULES, secrets.RULES[:2], secrets.RULES[3:4]):
+        a, b = (secrets.find_secrets(planted, rules, index=i).select("doc_id", secrets.span_list(F.col("secret_spans"))) for i in (index, None))
+        assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+
+
 def test_running(spark):
     rng = random.Random(3)
     for n in (0, 1, 127, 128, 129, 1000):
