@@ -15,14 +15,21 @@ from .scalars import hex_bytes, json_string, number_text, strip_control
 TEXT_TYPES = (*INTEGERS, T.DoubleType, T.DecimalType, T.StringType)
 
 
-def text_json_support(df: DataFrame, row_group: str = ROW_GROUP) -> DataFrame:
-    """(row_group, supported): not if a column that has values is of another type, or a double is not finite."""
+def text_json_support(df: DataFrame, row_group: str = ROW_GROUP, max_doubles: int | None = None) -> DataFrame:
+    """(row_group, supported): not if a column that has values is of another type, or a double is not finite.
+
+    max_doubles: also not if a column has more distinct doubles than that outside 1e-6 to 1e9, which other writers
+    must format by the JVM one by one; this one needs no such limit.
+    """
     columns = [f for f in df.schema if f.name != row_group]
     bad = [F.lit(not columns)]
     for f in columns:
         c = _name(f.name)
         if isinstance(f.dataType, T.DoubleType):
             bad.append(F.bool_or(c.isNotNull() & (F.isnan(c) | (F.abs(c) == float("inf")))))
+            if max_doubles is not None:
+                rare = F.when((F.abs(c) < 1e-6) | (F.abs(c) > 1e9), c)
+                bad.append(F.count_distinct(rare) > max_doubles)
         elif is_nested(f.dataType):
             bad.append(F.lit(True))
         elif not isinstance(f.dataType, TEXT_TYPES):

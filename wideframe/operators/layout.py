@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.scalars import floor_div
-from ..types import TableError, check_schema, is_nanos, is_nested, type_name, width
+from ..types import INTEGERS, TableError, check_schema, is_nanos, is_nested, type_name, width
 from .facts import column_facts
 from .stats import ROW_GROUP, _name
 
@@ -236,6 +236,39 @@ def dictionary(
     return first.join(held, row_group, "left_semi").select(row_group, nth.alias("nth"), "value")
 
 
+def encoded_values(
+    df: DataFrame, column: str, position: str, options: Options = Options(), row_group: str = ROW_GROUP
+) -> DataFrame:
+    """(row_group, position, encoding, nth, value) of each row: what a reader of the encoded column sees.
+
+    value is the printed one, null for a null. nth is the value's place in the dictionary where the column is DICT, 0
+    where it is CONST; null for nulls and where values are stored plainly.
+    """
+    entries = dictionary(df, column, position, options, row_group)
+    kinds = encodings(df, [column], options, row_group).select(row_group, "encoding")
+    shown = _value_key(_name(column), df.schema[column].dataType)
+    rows = df.select(row_group, _name(position).alias("position"), shown.alias("value")).join(kinds, row_group)
+    nth = F.when((F.col("encoding") == "CONST") & F.col("value").isNotNull(), F.lit(0)).otherwise(F.col("nth"))
+    return rows.join(entries, [row_group, "value"], "left").select(row_group, "position", "encoding", nth.alias("nth"), "value")
+
+
+def integer_blocks(
+    df: DataFrame, column: str, position: str, row_group: str = ROW_GROUP, block: int = 4096
+) -> DataFrame:
+    """(row_group, block, rows, bytes_each) of a whole-number column: the least of 1, 2, 4, 8 bytes that hold the values
+    of each block of positions (from 0 in their row group); null where a block has nulls only."""
+    if not isinstance(df.schema[column].dataType, INTEGERS):
+        raise TableError(f"column '{column}' has no whole numbers")
+    c = _name(column)
+    cut = df.select(row_group, floor_div(_name(position).cast("long"), F.lit(block).cast("long")).alias("block"), c.cast("long").alias("v"))
+    met = cut.groupBy(row_group, "block").agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
+    each = F.lit(8)
+    for n in (4, 2, 1):
+        top = (1 << 8 * n - 1) - 1
+        each = F.when((F.col("low") >= -top - 1) & (F.col("high") <= top), F.lit(n)).otherwise(each)
+    return met.select(row_group, "block", "rows", F.when(F.col("low").isNotNull(), each).alias("bytes_each"))
+
+
 def batch_bytes(df: DataFrame, batch: str, options: Options = Options()) -> DataFrame:
     """(batch, rows, bytes): what each append adds to the buffers, null bitmaps of each bucket included."""
     columns = [f for f in df.schema if f.name != batch]

@@ -217,6 +217,33 @@ def table_dictionary(spark, sf_dir):
     return WideTable.open(spark, path).dictionary("o_orderpriority").select("nth", "value")
 
 
+@query(
+    f"""WITH r AS (SELECT o_orderkey // {ORDERS_GROUP} AS row_group, o_orderkey AS position, o_orderpriority AS value FROM orders),
+    d AS (SELECT row_group, value, (row_number() OVER (PARTITION BY row_group ORDER BY min(position), value) - 1)::INT AS nth
+      FROM r WHERE value IS NOT NULL GROUP BY 1, 2)
+    SELECT r.row_group, position, 'DICT' AS encoding, nth, r.value FROM r LEFT JOIN d ON d.row_group = r.row_group AND d.value = r.value"""
+)
+def encoded_dictionary(spark, sf_dir):
+    rows = stats.by_key(_t(spark, sf_dir, "orders"), "o_orderkey", ORDERS_GROUP)
+    return layout.encoded_values(rows, "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT 0 AS row_group, n_nationkey AS position, 'PLAIN' AS encoding, NULL::INT AS nth, n_name AS value FROM nation")
+def encoded_plain(spark, sf_dir):
+    return layout.encoded_values(_t(spark, sf_dir, "nation").withColumn("row_group", F.lit(0)), "n_name", "n_nationkey")
+
+
+@query(
+    """SELECT row_group, position // 4096 AS block, count(*) AS n_rows, CASE WHEN min(v) >= -128 AND max(v) <= 127 THEN 1
+      WHEN min(v) >= -32768 AND max(v) <= 32767 THEN 2 WHEN min(v) >= -2147483648 AND max(v) <= 2147483647 THEN 4 ELSE 8 END AS bytes_each
+    FROM (SELECT 0 AS row_group, event_id AS position, (event_id - 100) * (event_id - 100) * (event_id - 100) AS v FROM events) GROUP BY 1, 2"""
+)
+def integer_block_widths(spark, sf_dir):
+    k = F.col("event_id").cast("long") - 100
+    rows = _t(spark, sf_dir, "events").select(F.lit(0).alias("row_group"), F.col("event_id").alias("position"), (k * k * k).alias("v"))
+    return layout.integer_blocks(rows, "v", "position").withColumnRenamed("rows", "n_rows")
+
+
 #: An ARRAY, a MAP, an ARRAY of ARRAYs, with nulls and empty values, beside a flat column; one row group.
 def _nested_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, F.array().cast("array<string>"))
