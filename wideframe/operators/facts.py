@@ -119,6 +119,20 @@ class Fact:
             self.values = None
 
 
+def by_group(b: pa.RecordBatch) -> Iterator[tuple[object, pa.RecordBatch]]:
+    """(group, its rows) of a batch by its first column: sorted once, then cut."""
+    groups = b.column(0).dictionary_encode(null_encoding="encode")
+    names = groups.dictionary.to_pylist()
+    if len(names) == 1:
+        yield names[0], b
+        return
+    codes = groups.indices.to_numpy(zero_copy_only=False)
+    ends = np.cumsum(np.bincount(codes, minlength=len(names)))
+    ordered = b.take(pa.array(np.argsort(codes, kind="stable")))
+    for g, start, end in zip(names, [0, *ends[:-1]], ends, strict=True):
+        yield g, ordered.slice(start, end - start)
+
+
 FACTS = (
     "parent string, column string, child boolean, bucket int, short boolean, rows long, non_null long, "
     "plain_bytes long, entries array<struct<value:binary,size:int>>"
@@ -160,10 +174,7 @@ def column_facts(df: DataFrame, columns: list[str], buckets: dict[str, int], mos
         held: dict = {}
         for b in batches:
             group_type = b.schema.field(0).type
-            groups = b.column(0).dictionary_encode(null_encoding="encode")
-            codes = groups.indices.to_numpy(zero_copy_only=False)
-            for code, g in enumerate(groups.dictionary.to_pylist()):
-                part = b if len(groups.dictionary) == 1 else b.filter(pa.array(codes == code))
+            for g, part in by_group(b):
                 facts = held.setdefault(g, [Fact() for _ in plan])
                 k = 0
                 for no, (n, t) in enumerate(kinds):

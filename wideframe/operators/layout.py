@@ -90,6 +90,17 @@ def _columns(df: DataFrame, columns: list[str] | None, row_group: str) -> list[s
     return columns if columns is not None else [n for n in df.columns if n != row_group]
 
 
+def _dict_bytes() -> Column:
+    n = F.col("distinct")
+    return varint_size(n) + F.col("entry_bytes") + F.ceil(F.col("non_null") * index_bits(n) / F.lit(8))
+
+
+def _fits(short: Column, options: Options) -> Column:
+    """Whether distinct, non_null, entry_bytes and plain_bytes make a dictionary; null where values were not all counted."""
+    limits = (F.col("distinct") <= options.max_dict_entries) & (short | (F.col("entry_bytes") <= options.max_dict_total_bytes))
+    return limits & (_dict_bytes() < F.col("plain_bytes"))
+
+
 def _physical(
     df: DataFrame, columns: list[str], options: Options, row_group: str, schema: T.StructType | None = None
 ) -> DataFrame:
@@ -98,12 +109,10 @@ def _physical(
     most = max(1, options.max_dict_entries)
     facts = column_facts(df, columns, {n: at[n] for n in columns}, most, row_group)
     n = F.col("distinct")
-    dict_bytes = varint_size(n) + F.col("entry_bytes") + F.ceil(F.col("non_null") * index_bits(n) / F.lit(8))
-    limits = (n <= options.max_dict_entries) & (F.col("short") | (F.col("entry_bytes") <= options.max_dict_total_bytes))
     kind = (
         F.when(F.col("non_null") == 0, "ALL_NULL")
         .when(n == 1, "CONST")
-        .when(limits & (F.col("dict_bytes") < F.col("plain_bytes")), "DICT")
+        .when(_fits(F.col("short"), options), "DICT")
         .otherwise("PLAIN")
     )
     stored = (
@@ -116,7 +125,7 @@ def _physical(
         (F.col("encoding") != "ALL_NULL") & (F.col("non_null") < F.col("rows")), F.ceil(F.col("rows") / F.lit(8))
     ).otherwise(F.lit(0))
     return (
-        facts.withColumn("dict_bytes", F.when(n.isNotNull(), dict_bytes).cast("long"))
+        facts.withColumn("dict_bytes", F.when(n.isNotNull(), _dict_bytes()).cast("long"))
         .withColumn("encoding", kind)
         .withColumn("has_nulls", F.col("non_null") < F.col("rows"))
         .withColumn("bytes", (stored + nulls).cast("long"))
@@ -223,17 +232,22 @@ def dictionary(
         raise TableError(f"unknown column '{column}'")
     if is_nested(df.schema[column].dataType):
         raise TableError(f"column '{column}' is nested and has no dictionary")
-    held = encodings(df, [column], options, row_group).where("encoding = 'DICT'").select(row_group)
-    entry = _value_key(_name(column), df.schema[column].dataType)
-    first = (
-        df.select(row_group, entry.alias("value"), _name(position).alias("at"))
+    t = df.schema[column].dataType
+    values = (
+        df.select(row_group, _value_key(_name(column), t).alias("value"), value_size(_name(column), t).alias("size"), _name(position).alias("at"))
         .where("value IS NOT NULL")
         .groupBy(row_group, "value")
-        .agg(F.min("at").alias("at"))
+        .agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("size").alias("size"))
+    )
+    # Of each row group: whether its values make a dictionary. The values' exchange is the same for both uses.
+    facts = values.groupBy(row_group).agg(
+        F.count("*").alias("distinct"), F.sum("n").alias("non_null"), F.sum("size").alias("entry_bytes"), F.sum(F.col("n") * F.col("size")).alias("plain_bytes")
     )
+    short = F.lit((width(t) or 99) <= 8)
+    held = facts.where((F.col("distinct") > 1) & _fits(short, options)).select(row_group)
     # At most max_dict_entries rows of a row group remain here.
     nth = F.row_number().over(Window.partitionBy(row_group).orderBy("at", "value")) - 1
-    return first.join(held, row_group, "left_semi").select(row_group, nth.alias("nth"), "value")
+    return values.join(held, row_group, "left_semi").select(row_group, nth.alias("nth"), "value")
 
 
 def encoded_values(
