@@ -35,6 +35,14 @@ BITRATES = {
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
 SAMPLES = {(True, 1): 384, (True, 2): 1152, (True, 3): 1152, (False, 1): 384, (False, 2): 1152, (False, 3): 576}
 VERSIONS = {3: "1", 2: "2", 0: "2.5"}
+#: Fixed values, Layer II: bits of a subband's allocation, as (subbands, bits) from the lowest on, by table.
+ALLOCATION = {
+    "a": ((11, 4), (12, 3), (4, 2)),
+    "b": ((11, 4), (12, 3), (7, 2)),
+    "c": ((2, 4), (6, 3)),
+    "d": ((2, 4), (10, 3)),
+    "low rates": ((4, 4), (7, 3), (19, 2)),
+}
 #: Frames from one seek offset to the next.
 SEEK_EVERY = 32
 
@@ -97,7 +105,7 @@ class Stream:
     samples: int = 0
     duration: Fraction = Fraction(0)
     bad_crc: int = 0
-    #: Frames with a checksum that is not verified: not part of bad_crc.
+    #: Frames too short for what their checksum covers: not part of bad_crc.
     unverified: int = 0
     skipped: int = 0
     table: tuple[str, int, int] | None = None
@@ -184,17 +192,65 @@ def _vbr(frame: bytes, h: Header) -> tuple[str, int, int] | None:
 CHECKED = 1 << 14
 
 
+def allocation_bits(h: Header) -> list[int]:
+    """Of a Layer II frame: bits of each subband's allocation, by version, rate, and bit rate of a channel."""
+    each = h.bitrate // (1000 if h.mono else 2000)
+    if h.version != 3:
+        name = "low rates"
+    elif each <= 48:
+        name = "d" if h.rate == 32000 else "c"
+    else:
+        name = "a" if each <= 80 or h.rate == 48000 else "b"
+    return [bits for n, bits in ALLOCATION[name] for _ in range(n)]
+
+
+def covered_bits(frame: bytes, h: Header) -> int:
+    """Of a protected Layer II frame: bits after the checksum that it covers. These are the allocations, and two bits of
+    scale factor choice for each channel of a subband that has any."""
+    bits, at, data = allocation_bits(h), 0, int.from_bytes(frame[6 : 6 + 64], "big")
+    whole = 8 * len(frame[6 : 6 + 64])
+    joint = frame[3] >> 6 == 1
+    shared_from = 4 * ((frame[3] >> 4 & 3) + 1) if joint else len(bits)
+    choices = 0
+    for band, n in enumerate(bits):
+        own = 1 if h.mono or band >= shared_from else 2
+        for _ in range(own):
+            if data >> max(0, whole - at - n) & (1 << n) - 1:
+                choices += 2 if own == 2 or h.mono else 4
+            at += n
+    return at + choices
+
+
+def crc16_bits(data: bytes, n: int) -> int:
+    """Of the first n bits."""
+    c = int(crc16(np.frombuffer(data, np.uint8, n // 8)[None])[0])
+    for k in range(n // 8 * 8, n):
+        bit = data[k // 8] >> 7 - k % 8 & 1
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
 def _check(raw: np.ndarray, runs: list[tuple[int, int, Header]]) -> tuple[int, int]:
     """(frames with a wrong checksum, frames whose checksum is not verified) of all runs.
 
-    Layer II's covers scale factor choices that need its allocation tables; a Layer I frame may be too short for its own.
+    What is covered has a fixed length in Layers I and III; Layer II's frames are read one by one. A frame that is too
+    short for what its checksum covers is not verified.
     """
     bad, unverified, kinds = 0, 0, defaultdict(list)
     for at, n, h in runs:
-        covered = {1: 16 if h.mono else 32, 3: h.side}.get(h.layer, 0)
         if not h.protected:
             continue
-        if not covered or h.length < 6 + covered:
+        if h.layer == 2:
+            for k in range(n):
+                frame = raw[at + k * h.length : at + (k + 1) * h.length].tobytes()
+                bits = covered_bits(frame, h)
+                if 48 + bits > 8 * len(frame):
+                    unverified += 1
+                else:
+                    bad += crc16_bits(frame[2:4] + frame[6:], 16 + bits) != int.from_bytes(frame[4:6], "big")
+            continue
+        covered = (16 if h.mono else 32) if h.layer == 1 else h.side
+        if h.length < 6 + covered:
             unverified += n
         else:
             kinds[covered].append((at, n, h.length))
