@@ -360,10 +360,46 @@ def test_media_damage():
     assert mpeg.crc16(np.frombuffer(b"123456789", np.uint8)[None])[0] == 0xAEE7  # the published check value
 
 
+def bitwise_crc(bits):
+    c = 0xFFFF
+    for bit in bits:
+        c = (c << 1 & 0xFFFF) ^ (0x8005 if (c >> 15) ^ bit else 0)
+    return c
+
+
+@pytest.mark.parametrize("mode,bands", [(0, 27), (1, 27), (3, 27)])
+def test_layer_2_checksums(mode, bands):
+    """Stereo, joint stereo from subband 8 on, mono; 128 kbit/s at 48 kHz (64 of a channel), so table a."""
+    bitrate = 8 if mode != 3 else 4  # 128, or 64 for one channel
+    head = bytes([0xFF, 0xFC, bitrate << 4 | 1 << 2, mode << 6 | 1 << 4])
+    h = mpeg.Header.parse(head)
+    assert len(mpeg.allocation_bits(h)) == bands and sum(mpeg.allocation_bits(h)) == 11 * 4 + 12 * 3 + 4 * 2
+    rng = random.Random(mode)
+    frames = b""
+    for k in range(5):
+        bits, choices = [], 0
+        for band, n in enumerate(mpeg.allocation_bits(h)):
+            own = 1 if mode == 3 or (mode == 1 and band >= 8) else 2
+            for _ in range(own):
+                v = rng.choice([0, 0, rng.randrange(1 << n)])
+                bits += [v >> s & 1 for s in reversed(range(n))]
+                if v:
+                    choices += 1 if mode == 3 or own == 2 else 2
+        bits += [rng.randrange(2) for _ in range(2 * choices)]
+        header = [b >> s & 1 for b in head[2:4] for s in reversed(range(8))]
+        crc = bitwise_crc(header + bits) ^ (k == 3)
+        body = int("".join(map(str, bits + [0] * (-len(bits) % 8))), 2).to_bytes(-(-len(bits) // 8), "big")
+        frame = head + crc.to_bytes(2, "big") + body
+        frames += frame + bytes(h.length - len(frame))
+    s = mpeg.probe(frames)
+    assert (s.first.layer, s.frames, s.bad_crc, s.unverified) == (2, 5, 1, 0)
+
+
 def test_unverified_checksums_are_counted():
-    layer_2 = bytes([0xFF, 0xFC, 0x84, 0x00]) + bytes(380)  # protected, 128 kbit/s, 48 kHz
-    s = mpeg.probe(layer_2 * 4)
-    assert (s.first.layer, s.frames, s.bad_crc, s.unverified) == (2, 4, 0, 4)
+    short = bytes([0xFF, 0xFE, 0x10 | 1 << 2, 0x00])  # Layer I, 32 kbit/s, 48 kHz, stereo: 32 bytes, of which 38 are covered
+    h = mpeg.Header.parse(short)
+    s = mpeg.probe((short + bytes(h.length - 4)) * 4)
+    assert (s.first.layer, s.frames, s.bad_crc, s.unverified) == (1, 4, 0, 4)
     assert mpeg.probe(mpeg.carry(b"abc" * 300)).unverified == 0
 
 
