@@ -175,6 +175,10 @@ def test_table(spark, tmp_path):
             bad()
     with pytest.raises(TableError, match="already exists"):
         write_table(df, path)
+    (tmp_path / "link").symlink_to(tmp_path / "nowhere")
+    with pytest.raises(TableError, match="already exists"):
+        write_table(df, str(tmp_path / "link"))
+    (tmp_path / "link").unlink()
     write_table(df.limit(5), path, overwrite=True)
     assert read_table(spark, path, ["id"]).count() == 5
     assert [p.name for p in tmp_path.iterdir()] == ["t"]
@@ -186,7 +190,8 @@ def test_writer_refuses(spark, tmp_path):
     with Writer(spark, str(tmp_path / "a"), schema) as w:
         w.append(good)
         w.append(good)
-        assert w.estimated_size() > 1024
+        so_far = w.estimated_size()
+        assert so_far > 1024 and w.estimated_size(good) > so_far
     assert WideTable.open(spark, str(tmp_path / "a")).count() == 2
     for k, bad in enumerate((good.toDF("id", "t"), good.select("id"), spark.createDataFrame([("1", "a")], "id string, s string"), spark.createDataFrame([(None, "a")], "id int, s string"))):
         path = tmp_path / f"b{k}"

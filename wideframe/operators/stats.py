@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalars import floor_div
+from ..functions.scalars import floor_div, split_nanos
 from ..types import check_stats_columns, is_nanos, width
 
 ROW_GROUP = "row_group"
@@ -48,6 +48,24 @@ def shown(c: Column, t: T.DataType) -> Column:
     return c.cast("string")
 
 
+def value_of(text: Column, t: T.DataType) -> Column:
+    """A statistic's text as a value of the column's type again."""
+    if isinstance(t, T.DateType):
+        return F.date_from_unix_date(text.cast("int"))
+    if isinstance(t, T.TimestampType):
+        return F.timestamp_micros(text.cast("long"))
+    if isinstance(t, T.TimestampNTZType):
+        return F.timestamp_micros(text.cast("long")).cast("timestamp_ntz")
+    return F.when(text.isNotNull(), split_nanos(text.cast("long"))) if is_nanos(t) else text.cast(t)
+
+
+def typed(stats: DataFrame, schema: T.StructType, column: str, row_group: str = ROW_GROUP) -> DataFrame:
+    """(row_group, rows, nulls, min, max) of one column, min and max of its type."""
+    t = schema[column].dataType
+    own = stats.where(F.col("column") == column)
+    return own.select(row_group, "rows", "nulls", value_of(F.col("min"), t).alias("min"), value_of(F.col("max"), t).alias("max"))
+
+
 def with_units(stats: DataFrame, schema: T.StructType) -> DataFrame:
     """Statistics for people: days, microseconds and nanoseconds say what they are."""
     units = {T.DateType: " (epoch-day)", T.TimestampType: " (us)", T.TimestampNTZType: " (us)"}

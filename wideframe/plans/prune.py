@@ -7,11 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.predicate import Where, bind, may_match
-from ..operators.stats import ROW_GROUP
-
-
-def _typed(text: str, t: T.DataType):
-    return F.date_from_unix_date(F.col(text).cast("int")) if isinstance(t, T.DateType) else F.col(text).cast(t)
+from ..operators.stats import ROW_GROUP, value_of
 
 
 def excluded_row_groups(stats: DataFrame, schema: T.StructType, where: Where, row_group: str = ROW_GROUP) -> DataFrame:
@@ -19,7 +15,7 @@ def excluded_row_groups(stats: DataFrame, schema: T.StructType, where: Where, ro
     bind(schema, where)
     t = schema[where.column].dataType
     own = stats.where(F.col("column") == where.column)
-    return own.where(~may_match(t, where, _typed("min", t), _typed("max", t))).select(row_group)
+    return own.where(~may_match(t, where, value_of(F.col("min"), t), value_of(F.col("max"), t))).select(row_group)
 
 
 def kept_row_groups(stats: DataFrame, schema: T.StructType, where: Where, row_group: str = ROW_GROUP) -> DataFrame:

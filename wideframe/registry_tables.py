@@ -14,17 +14,17 @@ from pyspark.sql import types as T
 
 from . import cli
 from .functions import scalars
-from .functions.render import cells, ndjson
+from .functions.render import cells, ndjson, text_json
 from .operators import layout, nested, stats
 from .operators.layout import Options
 from .operators.table import WideTable, column_names, read_table
-from .operators.predicate import parse_where
+from .operators.predicate import bind, parse_where
 from .plans import prune
 from .registry import ORDERS_GROUP, _t, query
 from .session import shared_dir
 from .sources import files
 from .sources.csv_import import Dialect, import_csv
-from .sources.json_import import import_json
+from .sources.json_import import import_json, is_json
 from .sources.sink import Writer, write_table
 from .streaming.append import append_stream, batches
 from .types import TableError, check_schema
@@ -59,6 +59,25 @@ def _nation(spark: SparkSession, sf_dir: str) -> WideTable:
     return WideTable.open(spark, _once(spark, sf_dir, "nation", lambda p: write_table(rows, p, Options(num_buckets=1))))
 
 
+def _refused(spark: SparkSession, cases: dict[str, Callable]) -> DataFrame:
+    """(what, refused): whether each case raises an error of the table."""
+    found = []
+    for name, case in cases.items():
+        try:
+            out = case()
+            if isinstance(out, DataFrame):
+                out.count()
+            found.append((name, False))
+        except TableError:
+            found.append((name, True))
+    return spark.createDataFrame(found, "what string, refused boolean")
+
+
+def _all_refused(names: str, fine: str = "") -> str:
+    rows = [f"('{n}', true)" for n in names.split()] + [f"('{n}', false)" for n in fine.split()]
+    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(what, refused)"
+
+
 # Scans and projections.
 
 
@@ -170,9 +189,49 @@ def table_stats(spark, sf_dir):
     return of("o_orderkey", "long").union(of("o_orderstatus", "string"))
 
 
+@query("SELECT min(o_orderdate) AS least, max(o_orderdate) AS most, count(*)::BIGINT AS n_rows FROM orders")
+def table_stats_typed(spark, sf_dir):
+    """Stored least and greatest timestamps, as timestamps again."""
+    t = _orders(spark, sf_dir)
+    found = stats.typed(t.stats(), t.schema_, "o_orderdate")
+    return found.agg(F.min("min").alias("least"), F.max("max").alias("most"), F.sum("rows").alias("n_rows"))
+
+
+@query("SELECT (min(o_orderdate::DATE) - DATE '1970-01-01')::VARCHAR || ' (epoch-day)' AS least FROM orders")
+def stats_with_units(spark, sf_dir):
+    rows = _t(spark, sf_dir, "orders").select(F.lit(0).alias("row_group"), F.col("o_orderdate").cast("date").alias("day"))
+    return stats.with_units(stats.row_group_stats(rows, ["day"]), rows.schema).select(F.col("min").alias("least"))
+
+
+@query(_all_refused("unknown decimal timestamp text_order boolean_order boolean_word bad_number no_operator no_column no_value", "bad_number_equals date"))
+def where_refusals(spark, sf_dir):
+    """Conditions are checked before rows are read, so an empty table refuses them too."""
+    schema = "i int, d decimal(9,2), t timestamp, s string, b boolean, day date"
+    rows = spark.createDataFrame([], schema)
+
+    def of(text: str) -> Callable:
+        return lambda: rows.where(bind(rows.schema, parse_where(text)))
+
+    cases = {
+        "unknown": "x=1", "decimal": "d>1", "timestamp": "t=1", "text_order": "s>a", "boolean_order": "b>true", "boolean_word": "b=yes",
+        "bad_number": "i>abc", "no_operator": "i", "no_column": "=1", "no_value": "i=", "bad_number_equals": "i=abc", "date": "day>2020-02-29",
+    }
+    return _refused(spark, {k: of(v) for k, v in cases.items()})
+
+
 # Reports.
 
 
+@query(
+    """SELECT 'n_regionkey' AS "column", 0 AS bucket, 'DICT' AS encoding,
+      (1 + 8 * count(DISTINCT n_regionkey) + ceil(count(n_regionkey) * 3 / 8.0))::BIGINT AS bytes FROM nation"""
+)
+def table_pages_by_names(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").withColumn("n_regionkey", F.col("n_regionkey").cast("long")).coalesce(1)
+    path = _once(spark, sf_dir, "nation-long", lambda p: write_table(rows, p, Options(num_buckets=1)))
+    return WideTable.open(spark, path).pages(["n_regionkey"]).drop("row_group")
+
+
 @query(
     """SELECT * FROM (VALUES ('n_nationkey', 'Int64', 0), ('n_name', 'Utf8', 0), ('n_regionkey', 'Int64', 0)) AS v(name, "type", bucket)"""
 )
@@ -329,6 +388,18 @@ def buckets_wide(spark, sf_dir):
 
 # Nested columns of any depth.
 
+
+@query(
+    """SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 0 ELSE 2 END AS n,
+      CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 5 = 0 THEN '' ELSE concat_ws('|', event_type, user_id::VARCHAR) END END AS shown FROM events"""
+)
+def table_project_one_array(spark, sf_dir):
+    """A written table with several nested columns; null and empty ones differ."""
+    rows = _nested_rows(spark, sf_dir).drop("row_group")
+    path = _once(spark, sf_dir, "nested", lambda p: write_table(rows, p))
+    tags = WideTable.open(spark, path).project("event_id", "tags").df
+    return tags.select("event_id", F.when(F.col("tags").isNotNull(), F.size("tags")).alias("n"), F.array_join("tags", "|").alias("shown"))
+
 _DEEP = "CASE WHEN event_id % 4 <> 0 THEN [[event_id::BIGINT, NULL], [], NULL] END"
 
 
@@ -474,25 +545,6 @@ def json_import_arrays(spark, sf_dir):
     return met.select("vec_id", F.size("b").alias("n"), F.col("b").eqNullSafe(F.col("e")).alias("same"))
 
 
-def _refused(spark: SparkSession, cases: dict[str, Callable]) -> DataFrame:
-    """(what, refused): whether each case raises an error of the table."""
-    found = []
-    for name, case in cases.items():
-        try:
-            out = case()
-            if isinstance(out, DataFrame):
-                out.count()
-            found.append((name, False))
-        except TableError:
-            found.append((name, True))
-    return spark.createDataFrame(found, "what string, refused boolean")
-
-
-def _all_refused(names: str, fine: str = "") -> str:
-    rows = [f"('{n}', true)" for n in names.split()] + [f"('{n}', false)" for n in fine.split()]
-    return f"SELECT * FROM (VALUES {', '.join(rows)}) AS v(what, refused)"
-
-
 @query(_all_refused("ragged long_row twice empty_name zone inexact infinite nan incompatible no_data unknown_required two_bytes both_headers", "plain"))
 def csv_refusals(spark, sf_dir):
     def of(name: str, text: str, **options) -> Callable:
@@ -654,6 +706,21 @@ def stream_append_rows(spark, sf_dir):
 # Text.
 
 
+@query(
+    """SELECT n_regionkey AS row_group, true AS supported, '{"half":"' || string_agg((n_nationkey / 2)::VARCHAR, ',' ORDER BY n_nationkey)
+    || '"}' AS line FROM nation GROUP BY 1"""
+)
+def text_json_doubles(spark, sf_dir):
+    rows = _t(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("row_group"), "n_nationkey", (F.col("n_nationkey") / 2).alias("half"))
+    return text_json(rows, "n_nationkey", columns=["half"])
+
+
+@query("SELECT * FROM (VALUES ('a.JSON', true), ('b.ndjson', true), ('c.jsonl', true), ('d.csv', false), ('json', false)) AS v(name, is_json)")
+def json_names(spark, sf_dir):
+    names = ["a.JSON", "b.ndjson", "c.jsonl", "d.csv", "json"]
+    return spark.createDataFrame([(n, is_json(n)) for n in names], "name string, is_json boolean")
+
+
 @query(
     """SELECT '{"n_nationkey":' || n_nationkey || ',"odd":' || CASE WHEN n_nationkey % 2 = 1 THEN 'true' ELSE 'null' END || ',"half":'
       || (n_nationkey / 2)::VARCHAR || ',"list":' || CASE WHEN n_nationkey % 3 = 0 THEN '[]' ELSE '[' || n_nationkey || ',null]' END

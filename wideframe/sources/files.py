@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,8 +26,14 @@ def is_regular(spark: SparkSession, path: str) -> bool:
     return fs.exists(p) and fs.getFileStatus(p).isFile()
 
 
+def taken(spark: SparkSession, path: str) -> bool:
+    """Whether a name is in use, be it by a link that leads nowhere."""
+    fs, p = _fs(spark, path)
+    return fs.exists(p) or (fs.getScheme() == "file" and os.path.lexists(p.toUri().getPath()))
+
+
 def refuse_existing(spark: SparkSession, path: str, overwrite: bool) -> None:
-    if not overwrite and exists(spark, path):
+    if not overwrite and taken(spark, path):
         raise TableError(f"output '{path}' already exists; pass overwrite to replace it")
 
 

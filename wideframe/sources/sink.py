@@ -81,7 +81,7 @@ class Writer:
             raise TableError(f"writer is {self.state}")
         try:
             checked = check_batch(df, self.schema)
-            mean = df.agg(F.avg(row_bytes(self.schema))).first()[0]
+            mean, rows = df.agg(F.avg(row_bytes(self.schema)), F.count("*")).first()
             per_file = max(1, math.floor(self.options.row_group_max_size / mean)) if mean else 0
             out = checked.write.mode("append").option("compression", self.options.compression)
             if self.options.compression == "zstd":
@@ -89,16 +89,22 @@ class Writer:
             out = out.option("parquet.block.size", self.options.row_group_max_size).option("maxRecordsPerFile", per_file)
             out.parquet(f"{self.made}/data")
             self.batches += 1
+            self.bytes += int((mean or 0) * rows)
         except BaseException:
             self.abort()
             raise
 
-    def estimated_size(self) -> int:
-        """Bytes written so far, and what closing adds."""
-        if not self.batches:
-            return estimated_size(0, 0)
-        fs, p = files._fs(self.spark, f"{self.made}/data")
-        return estimated_size(fs.getContentSummary(p).getLength(), 0)
+    def estimated_size(self, pending: DataFrame | None = None) -> int:
+        """Bytes of the table if it were closed now, or after another batch: by the ratio of stored to raw bytes so far."""
+        written = 0
+        if self.batches:
+            fs, p = files._fs(self.spark, f"{self.made}/data")
+            written = fs.getContentSummary(p).getLength()
+        more = 0
+        if pending is not None:
+            more = int(pending.agg(F.coalesce(F.sum(row_bytes(self.schema)), F.lit(0.0))).first()[0])
+        ratio = written / self.bytes if self.bytes else None
+        return estimated_size(written, more, ratio, self.options.compression)
 
     def abort(self) -> None:
         if self.state == "open":
