@@ -43,7 +43,7 @@ class WideTable:
     def open(cls, spark: SparkSession, path: str) -> WideTable:
         if not files.exists(spark, f"{path}/layout"):
             raise TableError(f"'{path}' is no table")
-        kept = json.loads(spark.read.text(f"{path}/layout").first()[0])
+        kept = json.loads(files.read_text(spark, f"{path}/layout"))
         options = Options(**{k: tuple(v) if isinstance(v, list) else v for k, v in kept["options"].items()})
         return cls(spark, path, T.StructType.fromJson(kept["schema"]), options)
 
