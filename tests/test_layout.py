@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wideframe.operators import layout, nested
+from wideframe.operators import layout, names, nested
 from wideframe.operators.layout import Options, bucket_of, estimated_size
 from wideframe.types import TableError, check_schema
 
@@ -186,3 +186,21 @@ def test_shred_any_depth(spark):
     assert list(parts) == [n for n, _ in nested.physical_columns("v", df.schema["v"].dataType)]
     back = nested.gather(parts, "id", "v", df.schema["v"].dataType)
     assert {r.id: r.v for r in back.collect()} == dict(rows)
+
+
+def test_names(spark):
+    rng = random.Random(2)
+    made = [f"sensor_{k:04d}_temperature_{rng.choice(['max', 'min', 'aaaa', 'aaaaa'])}".encode() for k in range(500)] + [b"", b"aaa"]
+    rules, short = names.merge_pairs(sorted(made))
+    assert 1 < len(rules) <= 128 and [names.restore(rules, s) for s in short] == sorted(made)
+    assert names.merge_pairs([b"abcabcabx"], 1) == ([(97, 98)], [bytes([128, 99, 128, 99, 128, 120])])
+    assert names.merge_pairs([b"aaaaa"], 1) == ([(97, 97)], [bytes([128, 128, 97])]) and names.merge_pairs([]) == ([], [])
+    assert names.merge_pairs([b"abcd", b"efgh"]) == ([], [b"abcd", b"efgh"])
+    # One pair of each of ab and cd, twice: the greater one of equals goes first.
+    assert names.merge_pairs([b"ab", b"cd", b"ab", b"cd"], 1)[0] == [(99, 100)]
+    assert names.front_coded_bytes([b"abc", b"abd", b"x" * 200]) == (1 + 1 + 3) + (1 + 1 + 1) + (1 + 2 + 200)
+    schema = T.StructType([T.StructField(n.decode() or "e", T.IntegerType()) for n in made])
+    sizes = {r.how: r.bytes for r in names.name_sizes(spark, schema).collect()}
+    assert sizes["stored"] == sizes["merged"] < sizes["front_coded"] < sizes["plain"]
+    odd = {r.how: r.bytes for r in names.name_sizes(spark, T.StructType([T.StructField("é", T.IntegerType())])).collect()}
+    assert odd == {"plain": 2, "front_coded": 4, "merged": None, "stored": 4}

@@ -15,12 +15,12 @@ from pyspark.sql import types as T
 from . import cli
 from .functions import scalars
 from .functions.render import cells, ndjson, text_json
-from .operators import layout, nested, stats
+from .operators import layout, names, nested, stats
 from .operators.layout import Options
 from .operators.table import WideTable, column_names, read_table
 from .operators.predicate import bind, parse_where
 from .plans import prune
-from .registry import ORDERS_GROUP, _t, query
+from .registry import _NAMED, ORDERS_GROUP, _t, query
 from .session import shared_dir
 from .sources import files
 from .sources.csv_import import Dialect, import_csv
@@ -109,8 +109,8 @@ def table_no_columns(spark, sf_dir):
 @query("SELECT count(*) AS n_rows, sum(o_orderkey)::BIGINT AS total, 4::BIGINT AS groups FROM orders")
 def table_row_group_scans(spark, sf_dir):
     t = _orders(spark, sf_dir)
-    names = [r[0] for r in t.row_groups().collect()]
-    scans = [t.project("o_orderkey").row_group(n).withColumn("g", F.lit(n)) for n in names]
+    groups = [r[0] for r in t.row_groups().collect()]
+    scans = [t.project("o_orderkey").row_group(n).withColumn("g", F.lit(n)) for n in groups]
     out = scans[0]
     for s in scans[1:]:
         out = out.union(s)
@@ -236,9 +236,8 @@ def table_pages_by_names(spark, sf_dir):
     """SELECT * FROM (VALUES ('n_nationkey', 'Int64', 0), ('n_name', 'Utf8', 0), ('n_regionkey', 'Int64', 0)) AS v(name, "type", bucket)"""
 )
 def table_schema(spark, sf_dir):
-    names = ["n_nationkey", "n_name", "n_regionkey"]
-    cast = {"n_nationkey": "bigint", "n_regionkey": "bigint"}
-    rows = _t(spark, sf_dir, "nation").select(*[F.col(n).cast(cast.get(n, "string")) for n in names])
+    kinds = {"n_nationkey": "bigint", "n_name": "string", "n_regionkey": "bigint"}
+    rows = _t(spark, sf_dir, "nation").select(*[F.col(n).cast(k) for n, k in kinds.items()])
     path = _once(spark, sf_dir, "nation-typed", lambda p: write_table(rows, p, Options(num_buckets=1)))
     return WideTable.open(spark, path).schema_report().select("name", "type", "bucket")
 
@@ -260,6 +259,15 @@ def table_stored_ratio(spark, sf_dir):
     return sized.agg(F.bool_and(F.col("stored_bytes") > 0).alias("stored"), F.bool_and(ok).alias("smaller"), F.count("*").alias("groups"))
 
 
+@query(
+    f"""WITH n AS (SELECT name, lag(name) OVER (ORDER BY name) AS before FROM ({_NAMED})),
+    s AS (SELECT length(name) AS len, (SELECT max(i) FROM range(0, 99) AS r(i) WHERE i <= length(name) AND left(name, i) = left(coalesce(before, ''), i)) AS shared FROM n)
+    SELECT 'plain' AS how, sum(len)::BIGINT AS bytes FROM s UNION ALL SELECT 'front_coded', (sum(len - shared) + 2 * count(*))::BIGINT FROM s"""
+)
+def schema_name_bytes(spark, sf_dir):
+    return names.name_sizes(spark, _t(spark, sf_dir, "lineitem").schema).where("how IN ('plain', 'front_coded')")
+
+
 @query("""SELECT * FROM (VALUES (0, 10, ''), (10, 0, ''), (10, 25, '2.50x'), (3, 1, '0.33x')) AS v(stored, raw, shown)""")
 def ratio_texts(spark, sf_dir):
     rows = spark.createDataFrame([(0, 10), (10, 0), (10, 25), (3, 1)], "stored int, raw int")
@@ -717,8 +725,8 @@ def text_json_doubles(spark, sf_dir):
 
 @query("SELECT * FROM (VALUES ('a.JSON', true), ('b.ndjson', true), ('c.jsonl', true), ('d.csv', false), ('json', false)) AS v(name, is_json)")
 def json_names(spark, sf_dir):
-    names = ["a.JSON", "b.ndjson", "c.jsonl", "d.csv", "json"]
-    return spark.createDataFrame([(n, is_json(n)) for n in names], "name string, is_json boolean")
+    given = ["a.JSON", "b.ndjson", "c.jsonl", "d.csv", "json"]
+    return spark.createDataFrame([(n, is_json(n)) for n in given], "name string, is_json boolean")
 
 
 @query(
