@@ -140,10 +140,10 @@ def test_attention_is_causal_and_normalised():
     c, s = attention_lm.CONTEXT, attention_lm.SCORED
     assert c >= 32
     got = np.split(attention_lm.log_ids(m, ids), np.cumsum([len(i) for i in ids])[:-1])
-    for k, i in enumerate(ids):  # one id at a time, from what stands before it in its window
+    assert s >= 1
+    for k, i in enumerate(ids):  # one id at a time, from what stands before it
         for at in range(len(i)):
-            start = at - at % s - c
-            before = [end if j <= 0 else int(i[j - 1]) for j in range(start, at + 1)]
+            before = [end if j <= 0 else int(i[j - 1]) for j in range(at - c, at + 1)]
             q = m.weights.query[m.input_of[before[-1]]]
             score = [q @ m.weights.key[m.input_of[b]] + m.weights.offset[len(before) - 1 - j] for j, b in enumerate(before)]
             a = np.exp(np.array([*score, m.weights.offset[-1]], float))
