@@ -293,8 +293,14 @@ def test_csv_damage_is_a_table_error(spark, tmp_path):
         with pytest.raises(TableError, match="record"):
             import_csv(spark, put(tmp_path, text)).collect()
     (p,) = put(tmp_path, "x\n1|'a\nb'\n2\n")
+    d = Dialect(delimiter="|", quote="'", header="id|t", skip_lines=1)
     with pytest.raises(TableError, match="record"):
-        import_csv(spark, [p], Dialect(delimiter="|", quote="'", header="id|t", skip_lines=1)).collect()
+        import_csv(spark, [p], d).collect()
+    (p,) = put(tmp_path, "x\n1|'a\nb'c'\n")
+    with pytest.raises(TableError, match="record"):
+        import_csv(spark, [p], d).collect()
+    (p,) = put(tmp_path, f"x\n1|'a\n{'b' * 300_000}'\n")
+    assert import_csv(spark, [p], d).selectExpr("length(t)").first()[0] == 300_002
 
 
 def test_csv_values_over_lines(spark, tmp_path):

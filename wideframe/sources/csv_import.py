@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,15 +105,10 @@ def check_header(names: list[str]) -> None:
 
 @contextmanager
 def readable(path: str) -> Iterator[None]:
-    """What Spark finds wrong with a file's records is an error of the table."""
+    """What Spark, or a task of ours, finds wrong with a file's records is an error of the table."""
     try:
         yield
-    except PySparkException as e:
-        said = str(e)
-        if "MALFORMED" in said.upper() or "FAILFAST" in said.upper() or "SparkUpgrade" in said:
-            raise TableError(f"{path}: a record is damaged or has another number of fields than the header") from e
-        raise
-    except Exception as e:  # the gateway's, from readers that raise in the driver
+    except (PySparkException, Py4JError) as e:
         if "MALFORMED" in str(e).upper():
             raise TableError(f"{path}: a record is damaged or has another number of fields than the header") from e
         raise
@@ -183,13 +179,15 @@ def _whole_file(spark: SparkSession, path: str, d: Dialect, skip: int, width: in
     """The records of a file with lines to skip and values that go over lines, read by one task."""
 
     def parse(content: bytes) -> list[list[str | None]]:
-        found = []
-        for record in _records(content.decode("utf-8", "replace"), d, skip):
-            if record and len(record) != width:
+        csv.field_size_limit((1 << 31) - 1)
+        try:
+            found = [r for r in _records(content.decode("utf-8", "replace"), d, skip) if r]
+        except csv.Error as e:
+            raise ValueError(f"MALFORMED record: {e}") from e
+        for record in found:
+            if len(record) != width:
                 raise ValueError(f"MALFORMED record: {len(record)} fields, not {width}")
-            if record:
-                found.append([x or None for x in record])
-        return found
+        return [[x or None for x in record] for record in found]
 
     ship(spark)
     rows = F.udf(parse, T.ArrayType(T.ArrayType(T.StringType())))
