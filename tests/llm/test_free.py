@@ -1,5 +1,6 @@
 """Language ID, language model, packing, media, near-duplicates, SentencePiece, search, pipeline."""
 
+import base64
 import collections
 import hashlib
 import itertools
@@ -203,6 +204,21 @@ def test_tables_count_all_documents(spark):
     assert sorted(r.total for r in found) == sorted([*words.values(), len(texts)])
 
 
+def test_words_merge_as_the_library_does():
+    import tiktoken
+
+    path = attention_lm.default_tokenizer()
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encode, _ = attention_lm.subwords(path)
+    run = tiktoken.Encoding("own", pat_str=".+", mergeable_ranks=ranks, special_tokens={})  # the whole word is one piece
+    rng = random.Random(6)
+    for _ in range(400):
+        w = "".join(rng.choice(["the", "a", "ing", "x", "'", "é", "漢", "12", ".", "Q"]) for _ in range(rng.randint(1, 12)))
+        ids = np.frombuffer(encode(w.encode()), np.uint16).tolist()
+        assert ids == attention_lm.merged(ranks, b" " + w.encode()) == run.encode_ordinary(" " + w)
+
+
 def test_packed_numbers():
     for n in ([], [0], [1, 70_000, 1 << 27], list(range(3000))):
         assert attention_lm.unpacked(attention_lm.packed(np.array(n, np.uint32))).tolist() == n
