@@ -18,7 +18,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, text_or_empty, written
+from .common import fresh, table, written
 
 #: Largest set of literal strings that the analysis of an expression carries.
 MAX_STRINGS = 64
