@@ -736,6 +736,31 @@ def test_search(spark, monkeypatch, dim, k, small, probes):
     assert not bits and sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_search_broadcasts_what_it_counted(spark, monkeypatch):
+    """Listed probes are many more than Spark takes them for: where neither side is small, the index comes in pieces."""
+    plans, keep = [], hamming_search.written
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString() if name == "search-best" else "")
+        return keep(df, name)
+
+    monkeypatch.setattr(hamming_search, "written", spied)
+    monkeypatch.setattr(hamming_search, "WIDTHS", ((16, 1 << 62),))
+    monkeypatch.setattr(hamming_search, "BROADCAST_ROWS", 25)
+    vectors = np.random.default_rng(11).normal(size=(60, 64))
+    vectors[20:] = vectors[[k % 20 for k in range(40)]] + np.random.default_rng(12).normal(size=(40, 64)) / 9
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = hamming_search.top_k(df, df.where("vec_id % 6 = 0"), 2).collect()
+    codes = vectors > 0
+    want = []
+    for q in range(0, 60, 6):
+        near = sorted((int((codes[q] != codes[k]).sum()), k) for k in range(60) if k != q)[:2]
+        want += [(q, r + 1, k, d) for r, (d, k) in enumerate(near)]
+    joins = [x for p in plans for x in p.splitlines() if "Join" in x]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len(joins) > 2 and all("BroadcastHashJoin" in x and "BuildRight" in x for x in joins)
+
+
 def test_search_empty(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert hamming_search.top_k(none, none).count() == 0

@@ -9,19 +9,23 @@ segment where it is first met, and only if it is not farther than the kth distan
 Segments are as wide as the number of codes makes worth while. Where a radius of wide segments would list too many
 values, the queries that are still open go on with segments of half the width, whose radii are smaller; the narrowest
 ones reach every code. So every pair is met by an equal segment value, never by comparing all with all.
+
+What a join broadcasts is counted first, for Spark takes listed probes for as few as their queries. An index of more than
+BROADCAST_ROWS is met piece by piece: a segment of a part of the codes, whose parts are dealt by their hash.
 """
 
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table, written
 
-#: Index rows (a code's segment) that may be broadcast: 40 bytes each in a hash table, and their id lists.
+#: Rows that may be broadcast at once: ids of an index (in each of a code's segments), about 130 bytes each in a hash
+#: table, or listed probes. 0: none, joins are merged.
 BROADCAST_ROWS = 300_000
 #: Probes of one radius that are listed; where a segment has more, open queries go on with narrower segments.
 MAX_PROBES = 40_000
@@ -78,39 +82,59 @@ def _segments(names: list[str], bits: int) -> list[tuple[int, Column]]:
     return [(w * per_word + j, _segment(F.col(names[w]), bits, j)) for w in range(len(names)) for j in range(per_word)]
 
 
+def _pieces(n: int, m: int, probes: int) -> tuple[str, list[tuple[list[int], int, int]]]:
+    """(the side that is broadcast, or none; (segments, part of the codes, number of parts) of each piece of the index)."""
+    whole = [(list(range(m)), 0, 1)]
+    if n * m <= BROADCAST_ROWS:
+        return "index", whole
+    if probes <= BROADCAST_ROWS:
+        return "probes", whole
+    if not BROADCAST_ROWS:
+        return "", whole
+    parts = -(-n // BROADCAST_ROWS)
+    return "index", [([j], part, parts) for j, part in product(range(m), range(parts))]
+
+
 def _rounds(
     codes: DataFrame, state: DataFrame, best: DataFrame | None, bits: int, words: int, kept: int, n: int
 ) -> tuple[DataFrame, DataFrame | None]:
     """Rounds with segments of so many bits: (queries still open, what was found). What open queries found before is
-    found again, so it is dropped first; their kth distance stays a bound."""
+    found again, so it is dropped first; their kth distance stays a bound. n: ids of all codes."""
     c, q = _names("c", words), _names("q", words)
     m = words * 64 // bits
-    entries = [F.struct(F.lit(j).alias("j"), v.alias("value")) for j, v in _segments(c, bits)]
-    index = codes.select("*", F.explode(F.array(*entries)).alias("e")).select(*c, "ids", "e.*")
-    index = F.broadcast(index) if n * m <= BROADCAST_ROWS else index
+
+    def entries(names: list[str], js: list[int], value: str) -> Column:
+        return F.explode(F.array(*[F.struct(F.lit(j).alias("j"), v.alias(value)) for j, v in _segments(names, bits) if j in js]))
+
     state = written(state, "search-open")
     if best is not None:
         best = written(best.join(state.select(*q), q, "left_anti"), "search-closed")
     spark = codes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     radius = 0
-    while radius <= bits and _count(bits, radius) <= MAX_PROBES and not state.isEmpty():
-        own = F.explode(F.array(*[F.struct(F.lit(j).alias("j"), v.alias("own")) for j, v in _segments(q, bits)]))
-        # Queries are few and their probes many: each query's segments are dealt over all tasks before they are listed.
-        probes = state.select(*q, "kth", own.alias("e")).select(*q, "kth", "e.*").repartition(tasks, *q, "j")
+    while radius <= bits and _count(bits, radius) <= MAX_PROBES and (still := state.count()):
         listed = F.split(F.lit(",".join(map(str, masks(bits, radius)))), ",").cast("array<bigint>")
-        probes = probes.select(*q, "kth", "j", "own", F.explode(listed).alias("flip"))
-        probes = probes.withColumn("value", F.expr("own ^ flip"))
         # Met here first: no segment is nearer than the radius, nor one before this as near.
         first = F.lit(True)
         apart = [(j, F.bit_count(a.bitwiseXOR(b))) for (j, a), (_, b) in zip(_segments(q, bits), _segments(c, bits), strict=True)]
         for j, d in apart:
             first = first & F.when(F.col("l.j") > j, d > radius).otherwise(d >= radius)
-        met = (F.col("l.j") == F.col("r.j")) & (F.col("l.value") == F.col("r.value"))
-        near = probes.alias("l").join(index.alias("r"), met & (_distance(q, c) <= F.col("kth")) & first)
-        found = near.select(*q, _distance(q, c).alias("distance"), F.explode("ids").alias("id"))
-        merged = found if best is None else best.union(found)
-        best = written(_least_ids(merged, q, "distance, id", kept).drop("nth"), "search-best")
+        side, pieces = _pieces(n, m, still * m * _count(bits, radius))
+        for js, part, parts in pieces:
+            # Queries are few and their probes many: each query's segments are dealt over all tasks before they are listed.
+            probes = state.select(*q, "kth", entries(q, js, "own").alias("e")).select(*q, "kth", "e.*").repartition(tasks, *q, "j")
+            probes = probes.select(*q, "kth", "j", "own", F.explode(listed).alias("flip"))
+            probes = probes.withColumn("value", F.expr("own ^ flip"))
+            own = codes if parts == 1 else codes.where(F.expr(f"pmod(xxhash64({', '.join(c)}), {parts}) = {part}"))
+            index = own.select("*", entries(c, js, "value").alias("e")).select(*c, "ids", "e.*")
+            probes = probes.hint("broadcast") if side == "probes" else probes
+            index = index.hint("broadcast" if side == "index" else "merge") if side != "probes" else index
+            met = F.col("l.value") == F.col("r.value")
+            met = met if len(js) == 1 else met & (F.col("l.j") == F.col("r.j"))
+            near = probes.alias("l").join(index.alias("r"), met & (_distance(q, c) <= F.col("kth")) & first)
+            found = near.select(*q, _distance(q, c).alias("distance"), F.explode("ids").alias("id"))
+            merged = found if best is None else best.union(found)
+            best = written(_least_ids(merged, q, "distance, id", kept).drop("nth"), "search-best")
         sure = m * (radius + 1) - 1
         held = best.groupBy(*q).agg(F.count("*").alias("n"), F.max("distance").alias("far"))
         reached = F.least(F.col("kth"), F.when(F.col("n") >= kept, F.col("far")).otherwise(64 * words))
@@ -151,7 +175,7 @@ def top_k(
         "search-codes",
     )
     asked = written(coded(queries, q), "search-queries")
-    n = codes.count()
+    n, n_ids = codes.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
     spare = f"query_id bigint, rank int, {id_col} bigint, distance int"
     if not n or asked.isEmpty():
         return base.sparkSession.createDataFrame([], spare)
@@ -159,7 +183,7 @@ def top_k(
     best = None
     widest_no = next(k for k, (_, most) in enumerate(WIDTHS) if n <= most)
     for bits, _ in reversed(WIDTHS[: widest_no + 1]):
-        state, best = _rounds(codes, state, best, bits, words, kept, n)
+        state, best = _rounds(codes, state, best, bits, words, kept, n_ids)
         if state.isEmpty():
             break
     mine = asked.distinct().withColumnRenamed("id", "query_id").join(best, q)
