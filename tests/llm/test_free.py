@@ -182,6 +182,41 @@ def test_attention_learns():
     assert attention_lm.log_ids(m, ids).sum() > before
 
 
+def test_slopes():
+    """The gradient against differences of the loss, with windows of several batches."""
+    m, ids = _small_model()
+    seen, target, use, _ = attention_lm.windows(ids * 60, len(m.class_of) - 1)
+    x, y = m.input_of[seen], m.class_of[target]
+    assert x.shape[1] > attention_lm.BATCH
+    w, n = m.weights, use.sum()
+    loss = lambda: -(attention_lm.log_class(m, attention_lm.pulls(w), x, y) * use).sum(dtype=np.float64) / n
+    got = attention_lm.slopes(m, x, y, use)
+    for p, g in zip((w.query, w.key, w.offset), got, strict=True):
+        assert p.shape == g.shape
+        way = g / np.sqrt((g**2).sum())  # the steepest way: the loss grows by the gradient's length
+        old = p.copy()
+        p += 0.02 * way
+        up = loss()
+        p[...] = old - 0.02 * way
+        down = loss()
+        p[...] = old
+        assert (up - down) / 0.04 == pytest.approx(np.sqrt((g**2).sum()), rel=0.02)
+
+
+def test_attention_is_fitted_on_all_windows(spark, monkeypatch):
+    texts = [f"text {k} of many has its own words w{k} and v{k * k} " * 60 for k in range(400)]
+    own, blocks = learned(spark, texts)
+    fitted_on, keep = [], attention_lm.summed
+
+    def here(rows, function, kind):  # the fit runs in this process, the counts as ever
+        return dict(function(iter(rows.toArrow().to_batches()))) if kind is np.float64 else keep(rows, function, kind)
+
+    monkeypatch.setattr(attention_lm, "summed", here)
+    monkeypatch.setattr(attention_lm, "descend", lambda m, sums, x, y, use, *more: fitted_on.append(int(use.sum())))
+    attention_lm.train(blocks, attention_lm.default_tokenizer())
+    assert sum(fitted_on) == sum(len(bytes(r.ids)) // 2 for r in own.collect()) > 300_000
+
+
 def learned(spark, texts):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(3)
     attention_lm.ship(spark)

@@ -14,7 +14,7 @@ words, by the weight OF_IDS: attention knows how words are built and what stands
 Texts are encoded once, in blocks of bounded size that number their own words. A block's words meet all others' for the
 counts, and come back as an array by number, so scoring needs no word and no dictionary again. Word counts, id counts,
 what stands around each id (for the clusters) and the value tables are taken over all training documents, as sums of
-arrays. Attention weights are fitted by each task on windows from all places of its texts, one in FIT_EVERY, and averaged
+arrays. Attention weights are fitted by each task on all windows of its texts, and averaged
 over the tasks.
 """
 
@@ -41,14 +41,14 @@ from .lang_id import remainder
 CONTEXT, SCORED, WIDTH = 32, 16, 16
 OWN_CLASSES, CLUSTERS, OWN_INPUTS = 1984, 64, 1024
 CLASSES, INPUTS = OWN_CLASSES + CLUSTERS, OWN_INPUTS + CLUSTERS
-#: Windows that are scored, and that take one step of the descent, at once.
-BATCH, STEP = 512, 64
+#: Windows that are scored, or whose slopes are found, at once.
+BATCH = 512
+#: Windows of a task's first step of the descent, and of its largest; each step has an eighth more than the one before.
+STEP, MOST_STEP = 64, 4096
 #: Documents whose words are looked up at once.
 DOCS = 500
-#: Of the windows one in FIT_EVERY fits the attention weights; of a small input more of them, up to FIT_LEAST.
-FIT_EVERY, FIT_LEAST = 128, 15_000
 #: Windows that a task holds before it descends on them.
-FIT_HELD = 4096
+FIT_HELD = 16_384
 #: Frequent ids whose places around other ids are told apart for the clusters, and places an id needs for a cluster.
 AROUND, LEAST_AROUND = 256, 12
 #: Ids whose pairs are counted at once.
@@ -134,10 +134,6 @@ class Model:
 
 
 _AT = np.arange(CONTEXT + SCORED)
-_BACK = CONTEXT + np.arange(SCORED)[:, None] - _AT[None, :]
-_MASK = np.where((_BACK >= 0) & (_BACK <= CONTEXT), 0, -1e9).astype(np.float32)
-_BACK = np.clip(_BACK, 0, CONTEXT)
-_LAST = (np.arange(SCORED), CONTEXT + np.arange(SCORED))
 
 
 def pulls(w: Weights) -> tuple[np.ndarray, np.ndarray]:
@@ -169,52 +165,63 @@ def log_class(m: Model, pull: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: n
     return np.log(total / weight)
 
 
-def _attention(w: Weights, x: np.ndarray) -> np.ndarray:
-    """(n, SCORED, window + 1) weights that sum to 1; the last is that of the plain frequencies."""
-    q, k = w.query[x[:, CONTEXT:]], w.key[x]
-    a = np.empty((len(x), SCORED, len(_AT) + 1), np.float32)
-    np.matmul(q, k.transpose(0, 2, 1), out=a[:, :, :-1])
-    a[:, :, :-1] += w.offset[_BACK] + _MASK
-    a[:, :, -1] = w.offset[-1]
-    a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
-    return a
+def slopes(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> list[np.ndarray]:
+    """Gradients of the mean loss by query, key and offset, over classes y (SCORED, n) after inputs x (CONTEXT + SCORED, n).
 
-
-def _values(m: Model, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(n, SCORED, window + 1) probability that each place's distribution gives to class y."""
-    v = np.empty((len(x), SCORED, len(_AT) + 1), np.float32)
-    v[:, :, :-1] = m.far.ravel()[(x * m.far.shape[1])[:, None, :] + y[:, :, None]]
-    v[:, _LAST[0], _LAST[1]] = m.near[x[:, CONTEXT:], y]
-    v[:, :, -1] = m.plain[y]
-    return v
-
-
-def descend(m: Model, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, rate: float = 0.1) -> None:
+    By distance, as in `log_class`. A score's slope is added to its pair of inputs; products with all keys and queries
+    are taken once, of the sums.
+    """
+    w, n = m.weights, y.shape[1]
+    by_inputs, by_distance = pulls(w)
+    by_inputs = by_inputs.ravel()
+    near, far, columns = m.near.ravel(), m.far.ravel(), m.far.shape[1]
+    met = np.zeros(INPUTS * INPUTS, np.float32)
+    offset, of_mean = np.zeros(CONTEXT + 2), np.float32(1 / max(1, use.sum()))
+    held = np.empty((2, (CONTEXT + 1) * SCORED * BATCH), np.float32)
+    for at in range(0, n, BATCH):
+        xb, yb, ub = (np.ascontiguousarray(a[:, at : at + BATCH]) for a in (x, y, use))
+        query, value, share = xb[CONTEXT:] * INPUTS, xb * columns, ub * of_mean
+        a, v = (h[: (CONTEXT + 1) * yb.size].reshape(CONTEXT + 1, *yb.shape) for h in held)
+        place, part = np.empty(yb.shape, np.int64), np.empty(yb.shape, np.float32)
+        plain = m.plain[yb]
+        weight, total = np.full(yb.shape, by_distance[-1], np.float32), by_distance[-1] * plain
+        for back in range(CONTEXT + 1):
+            seen = slice(CONTEXT - back, CONTEXT + SCORED - back)
+            np.add(query, xb[seen], out=place)
+            by_inputs.take(place, out=a[back], mode="clip")
+            a[back] *= by_distance[back]
+            weight += a[back]
+            np.add(value[seen], yb, out=place)
+            (far if back else near).take(place, out=v[back], mode="clip")
+            total += np.multiply(a[back], v[back], out=part)
+        weight, total = share / weight, share / total
+        for back in range(CONTEXT + 1):  # the weight that a place has, less the share of the probability that it gives
+            v[back] *= total
+            np.subtract(weight, v[back], out=v[back])
+            v[back] *= a[back]
+            offset[back] += v[back].sum()
+            np.add(query, xb[CONTEXT - back : CONTEXT + SCORED - back], out=place)
+            np.add.at(met, place.ravel(), v[back].ravel())
+        offset[-1] += by_distance[-1] * (weight - plain * total).sum()
+    met = met.reshape(INPUTS, INPUTS)
+    return [met @ w.key, met.T @ w.query, offset.astype(np.float32)]
+
+
+def descend(m: Model, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, step: int = STEP, rate: float = 0.1) -> int:
     """Adagrad on the attention weights, in place, once over the windows x (n, window) in an order fixed by a seed.
 
-    `sums` holds the squared gradients so far, for query, key and offset.
+    `sums` holds the squared gradients so far, for query, key and offset. The next step's windows are returned.
     """
     w = m.weights
-    held = [w.query, w.key, w.offset]
     order = np.random.default_rng(7).permutation(len(x))
-    for at in range(0, len(x), STEP):
-        part = order[at : at + STEP]
-        xb, ub = x[part], use[part]
-        a, v = _attention(w, xb), _values(m, xb, y[part])
-        mixed = (a * v).sum(-1, keepdims=True)
-        ds = a * (1 - v / mixed) * (ub / max(1, ub.sum()))[:, :, None]  # of the mean loss, by score
-        inner = ds[:, :, :-1]
-        g = [np.zeros_like(p) for p in held]
-        q, k = w.query[xb[:, CONTEXT:]], w.key[xb]
-        np.add.at(g[0], xb[:, CONTEXT:].ravel(), np.matmul(inner, k).reshape(-1, q.shape[-1]))
-        np.add.at(g[1], xb.ravel(), np.matmul(inner.transpose(0, 2, 1), q).reshape(-1, q.shape[-1]))
-        g[2][:-1] = np.bincount(_BACK.ravel(), inner.sum(0).ravel(), len(w.offset) - 1)
-        g[2][-1] = ds[:, :, -1].sum()
-        for p, gp, s in zip(held, g, sums, strict=True):
+    at = 0
+    while at < len(x):
+        part = order[at : at + step]
+        at, step = at + step, min(step + step // 8, MOST_STEP)
+        for p, gp, s in zip((w.query, w.key, w.offset), slopes(m, x[part].T, y[part].T, use[part].T), sums, strict=True):
             s += gp * gp
             p -= rate * gp / np.sqrt(s)
+    return step
 
 
 def no_sums(w: Weights) -> list[np.ndarray]:
@@ -543,41 +550,28 @@ def _pair_tables(learned: DataFrame, input_of: np.ndarray, class_of: np.ndarray)
     return [out[:INPUTS], out[INPUTS:]]
 
 
-def chosen_windows(ids: list[np.ndarray], end: int, share: float) -> tuple[np.ndarray, ...]:
-    """(ids (n, window), target ids, in use) of about that share of the texts' windows, by a hash of what they hold."""
-    seen, target, use, _ = windows(ids, end)
-    u = np.zeros(seen.shape[1], np.uint64)
-    for row in (*seen[CONTEXT - 4 :], *target[-4:]):
-        u = (u ^ row.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
-        u ^= u >> np.uint64(29)
-    take = (u >> np.uint64(11)).astype(np.float64) * 2.0**-53 < share
-    return seen[:, take].T, target[:, take].T, use[:, take].T
-
-
-def fitted(m: Model, learned: DataFrame, n_ids: float) -> Weights:
-    """Weights that each task descends to from m's, averaged by the windows that it had."""
-    share = min(1.0, max(1 / FIT_EVERY, FIT_LEAST * SCORED / max(1.0, n_ids)))
+def fitted(m: Model, learned: DataFrame) -> Weights:
+    """Weights that each task descends to from m's over all its windows, averaged by how many those were."""
     shared = learned.sparkSession.sparkContext.broadcast(m)
     end, n_offsets = len(m.class_of) - 1, len(m.weights.offset)
 
     def run(batches):
         m = shared.value
         m = Model(Weights(*(p.copy() for p in (m.weights.query, m.weights.key, m.weights.offset))), *list(m.__dict__.values())[1:])
-        sums, held, size, seen = no_sums(m.weights), [], 0, 0
+        sums, held, size, seen, step = no_sums(m.weights), [], 0, 0, STEP
 
-        def step():
-            x, y, use = (np.concatenate(c) for c in zip(*held, strict=True))
-            descend(m, sums, m.input_of[x], m.class_of[y], use)
-            return len(x)
+        def down():
+            x, y, use = (np.concatenate(c, axis=1).T for c in zip(*held, strict=True))
+            return descend(m, sums, m.input_of[x], m.class_of[y], use, step)
 
         for ids in _by_docs(batches):
-            held.append(chosen_windows(ids, end, share))
-            size += len(held[-1][0])
+            held.append(windows(ids, end)[:3])
+            size += held[-1][0].shape[1]
             if size >= FIT_HELD:
-                seen += step()
+                step, seen = down(), seen + size
                 held, size = [], 0
         if size:
-            seen += step()
+            step, seen = down(), seen + size
         if seen:
             w = m.weights
             for k in range(INPUTS):
@@ -599,7 +593,7 @@ def train(blocks: DataFrame, path: str) -> Model:
     counts = id_counts(learned, subwords(path)[1])
     input_of, class_of = grouped(counts, _around(learned, counts))
     m = build(counts, input_of, class_of, *_pair_tables(learned, input_of, class_of))
-    m.weights = fitted(m, learned, float(counts.sum()))
+    m.weights = fitted(m, learned)
     return m
 
 
