@@ -744,6 +744,19 @@ def test_sentencepiece_column(spark, odd, clashing, empty):
     assert {r.doc_id: r.decoded is None for r in sentencepiece_codec.decode(nulls).collect()} == {1: True, 2: False}
 
 
+def test_similarity_runs_once(spark, monkeypatch):
+    """One Python process a task: the filter on a pair's similarity takes the value that the row has."""
+    plans = []
+    monkeypatch.setattr(near_dedup, "written", lambda df, name: plans.append(df) or df)
+    monkeypatch.setattr(near_dedup, "multisets_of", lambda *_: spark.createDataFrame([], "id long, blob binary"))
+    signed = spark.createDataFrame([], "key binary, sig binary, bands array<long>, id long")
+    pairs = near_dedup.candidate_pairs(signed)
+    few = spark.createDataFrame([], "x long, y long")
+    near_dedup.verified(few, None, None, 0.8, "dedup-first")
+    assert pairs._jdf.queryExecution().optimizedPlan().toString().count("agreement(") == 1
+    assert plans[0]._jdf.queryExecution().optimizedPlan().toString().count("overlap(") == 1
+
+
 # --- search --------------------------------------------------------------------------------------------------------
 
 

@@ -20,7 +20,7 @@ Components are found by star contraction over written edge tables.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -230,7 +230,12 @@ def _multiset_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"id": part["id"].to_numpy(), "blob": blobs})
 
 
-@F.pandas_udf(DoubleType())
+def _once(function: Callable) -> Callable:
+    """A column function that a filter on its result does not run again: a second Python process for each task otherwise."""
+    return F.pandas_udf(function, DoubleType()).asNondeterministic()
+
+
+@_once
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """Share of equal registers; each is one byte, so chance agreement of 1/256 is taken off."""
     x = np.frombuffer(b"".join(a), np.uint8).reshape(len(a), -1)
@@ -238,7 +243,7 @@ def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series(((x == y).mean(1) - 1 / 256) / (1 - 1 / 256))
 
 
-@F.pandas_udf(DoubleType())
+@_once
 def overlap(a: pd.Series, b: pd.Series) -> pd.Series:
     """Exact weighted Jaccard similarity of two multisets, each given as sorted hashes of (shingle, nth copy)."""
     out = np.zeros(len(a))
