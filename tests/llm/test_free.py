@@ -203,6 +203,25 @@ def test_slopes():
         assert (up - down) / 0.04 == pytest.approx(np.sqrt((g**2).sum()), rel=0.02)
 
 
+def test_met_by_targets():
+    """All that a target sees is a row of its own, whatever batch it falls in: what it weighs and the values it has."""
+    m, ids = _small_model()
+    seen, target, _, _ = attention_lm.windows(ids * 60, len(m.class_of) - 1)
+    x, y = m.input_of[seen], m.class_of[target]
+    by_inputs, _ = attention_lm.pulls(m.weights)
+    c, sizes = attention_lm.CONTEXT, []
+    for part, places, pull, value in attention_lm.met(m, by_inputs, x, y):
+        before = np.stack([x[k : k + c + 1, part] for k in range(attention_lm.SCORED)])  # (target, what it sees, window)
+        own, of = before[:, -1:], y[:, None, part]
+        by_target = lambda a: a.transpose(2, 0, 1).reshape(-1, c + 1)
+        assert (places == by_target(own * attention_lm.INPUTS + before)).all()
+        assert (pull == by_target(by_inputs[own, before])).all()
+        assert (value[:, :-1] == by_target(m.far[before, of])[:, :-1]).all()
+        assert (value[:, -1] == by_target(m.near[before, of])[:, -1]).all()
+        sizes.append(len(places) // attention_lm.SCORED)
+    assert sum(sizes) == x.shape[1] and len(sizes) == 2
+
+
 def test_attention_is_fitted_on_all_windows(spark, monkeypatch):
     texts = [f"text {k} of many has its own words w{k} and v{k * k} " * 60 for k in range(400)]
     own, blocks = learned(spark, texts)
@@ -254,6 +273,24 @@ def test_words_merge_as_the_library_does():
         assert ids == attention_lm.merged(ranks, b" " + w.encode()) == run.encode_ordinary(" " + w)
 
 
+def test_words_are_encoded_together():
+    """A batch's new words take one call, and have the ids that each has alone."""
+    path = attention_lm.default_tokenizer()
+    one, size = attention_lm.subwords(path)
+    rng = random.Random(8)
+    parts = ["the", "ing", "x", "'", "é", "漢", "12", "\u3000", "\x1c", "\x85", "\0", "<|endoftext|>", "a" * 3000]
+    texts = [attention_lm.words_of(" ".join("".join(rng.choices(parts, k=rng.randint(1, 6))) for _ in range(80))) for _ in range(3)]
+    for more in ([], [attention_lm.words_of("a \ud800 b")]):  # a lone surrogate is no text for the library
+        calls, many = [], attention_lm.many_subwords(path)
+        known = attention_lm._Words(lambda words: calls.append(words) or many(words), size - 1)
+        for _ in range(2):
+            nos, ids = known.look_up(texts + more, np.ones(3 + len(more), bool))
+        assert len(calls) == 1 and sorted(calls[0]) == sorted({w for t in texts + more for w in t})
+        for t, n, i in zip(texts + more, nos, ids, strict=True):
+            assert n.tolist() == [known[w] for w in t] + [0]
+            assert i.tobytes() == b"".join(map(one, t)) + np.uint16(size - 1).tobytes()
+
+
 def test_packed_numbers():
     for n in ([], [0], [1, 70_000, 1 << 27], list(range(3000))):
         assert attention_lm.unpacked(attention_lm.packed(np.array(n, np.uint32))).tolist() == n

@@ -23,14 +23,16 @@ from __future__ import annotations
 import base64
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
-from functools import lru_cache
-from itertools import chain, pairwise
+from dataclasses import dataclass, replace
+from functools import cached_property, lru_cache
+from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -83,15 +85,21 @@ def merged(ranks: dict[bytes, int], piece: bytes) -> list[int]:
     return [ranks[p] for p in parts]
 
 
+def _library(path: str, pattern: str):
+    """(the tokenizer library's encoding by the ranks of a file, its pieces cut by pattern; the ranks)."""
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks
+
+
 @lru_cache(maxsize=2)
 def subwords(path: str):
     """(word -> its ids as uint16 bytes, number of ids; the last one is the end)."""
     import public_tokenizers
-    import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    run = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    run, ranks = _library(path, public_tokenizers.PATTERN)
     size = max(ranks.values()) + 2
     assert size <= 1 << 16
     # A word is one piece: no pattern is run over it. The library has a name for that only inside; else it is done here.
@@ -99,6 +107,29 @@ def subwords(path: str):
     return lambda w: array("H", piece(b" " + w) if piece else merged(ranks, b" " + w)).tobytes(), size
 
 
+@lru_cache(maxsize=2)
+def many_subwords(path: str):
+    """words -> (their ids, laid end to end; the number of ids of each), as `subwords` has them, in one call.
+
+    Words have no space inside, so a piece is a space and what follows up to the next, and an id that begins with a space
+    begins a word.
+    """
+    run, ranks = _library(path, " [^ ]+")
+    begins = np.zeros(max(ranks.values()) + 1, bool)
+    begins[[n for piece, n in ranks.items() if piece.startswith(b" ")]] = True
+
+    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            text = b" ".join([b"", *words]).decode()
+        except UnicodeDecodeError:  # a lone surrogate: the library takes such words as bytes only
+            each = list(map(subwords(path)[0], words))
+            return np.frombuffer(b"".join(each), np.uint16), np.array(list(map(len, each))) // 2
+        ids = run.encode_to_numpy(text, disallowed_special=())
+        return ids.astype(np.uint16), np.diff(np.flatnonzero(begins[ids]), append=len(ids))
+
+    return encode
+
+
 def words_of(text: str | None) -> list[bytes]:
     """bytes.lower changes A-Z alone, and bytes.split cuts at the six ASCII white space characters alone."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
@@ -132,79 +163,81 @@ class Model:
     far: np.ndarray
     plain: np.ndarray  # (classes,)
 
-
-_AT = np.arange(CONTEXT + SCORED)
+    @cached_property
+    def far_by_class(self) -> np.ndarray:  # (classes, inputs): `far`, a class's values side by side
+        return np.ascontiguousarray(self.far.T)
 
 
 def pulls(w: Weights) -> tuple[np.ndarray, np.ndarray]:
     """(exp of query times key by the two inputs, exp of the offsets): attention weights before they are divided by their sum."""
-    return np.exp(np.clip(w.query @ w.key.T, -30, 30)), np.exp(np.clip(w.offset, -30, 30))
+    by_inputs = w.query @ w.key.T
+    np.clip(by_inputs, -30, 30, out=by_inputs)
+    return np.exp(by_inputs, out=by_inputs), np.exp(np.clip(w.offset, -30, 30))
 
 
-def log_class(m: Model, pull: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """(SCORED, n) natural log probabilities of classes y after inputs x (CONTEXT + SCORED, n): attention, by distance.
+def met(m: Model, by_inputs: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
+    """BATCH by BATCH of windows: (which; places in `by_inputs`, what it has there, values), for inputs x (CONTEXT + SCORED, n)
+    and classes y (SCORED, n). A row is a target, its columns are what it sees, the nearest id last.
 
-    Distances run over what a target sees, so what the mask hides costs nothing.
+    What the mask hides costs nothing. A target looks up one row of each table, which stays in the cache meanwhile. The
+    next batch uses the same arrays.
     """
-    by_inputs, by_distance = pull[0].ravel(), pull[1]
-    near, far, columns = m.near.ravel(), m.far.ravel(), m.far.shape[1]
-    query, value = x[CONTEXT:] * INPUTS, x * columns
-    weight = np.full(y.shape, by_distance[-1], np.float32)
-    total = by_distance[-1] * m.plain[y]
-    a, v, at = np.empty(y.shape, np.float32), np.empty(y.shape, np.float32), np.empty(y.shape, np.int64)
-    for back in range(CONTEXT + 1):  # into the same few arrays, which stay in the cache; all places are inside
-        seen = slice(CONTEXT - back, CONTEXT + SCORED - back)
-        np.add(query, x[seen], out=at)
-        by_inputs.take(at, out=a, mode="clip")
-        a *= by_distance[back]
-        weight += a
-        np.add(value[seen], y, out=at)
-        (far if back else near).take(at, out=v, mode="clip")
-        a *= v
-        total += a
-    return np.log(total / weight)
+    x, y, columns = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), CONTEXT + 1
+    seen = sliding_window_view(x, columns, axis=1)
+    own = x[:, CONTEXT:]
+    nearest = m.near.ravel().take(own * CLASSES + y)
+    of_class, of_input = ((a * INPUTS)[:, :, None] for a in (y, own))
+    by_inputs, by_class = by_inputs.ravel(), m.far_by_class.ravel()
+    size = min(BATCH, len(y)) * SCORED * columns
+    places, pull, value = np.empty(size, np.int64), np.empty(size, np.float32), np.empty(size, np.float32)
+    for at in range(0, len(y), BATCH):
+        part = slice(at, at + BATCH)
+        shape = seen[part].shape
+        p, a, v = (held[: seen[part].size].reshape(shape) for held in (places, pull, value))
+        np.add(of_class[part], seen[part], out=p)
+        by_class.take(p, out=v, mode="clip")  # all places are inside
+        v[:, :, -1] = nearest[part]
+        np.add(of_input[part], seen[part], out=p)
+        by_inputs.take(p, out=a, mode="clip")
+        yield part, p.reshape(-1, columns), a.reshape(-1, columns), v.reshape(-1, columns)
+
+
+def log_class(m: Model, pull: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(SCORED, n) natural log probabilities of classes y after inputs x (CONTEXT + SCORED, n)."""
+    by_inputs, by_distance = pull
+    distance, plain = np.ascontiguousarray(by_distance[CONTEXT::-1]), by_distance[-1]
+    out = np.empty(y.T.shape, np.float32)
+    for part, _, a, v in met(m, by_inputs, x, y):
+        v *= a
+        total = v @ distance + plain * m.plain[y.T[part]].ravel()
+        out[part] = np.log(total / (a @ distance + plain)).reshape(-1, SCORED)
+    return out.T
 
 
 def slopes(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean loss by query, key and offset, over classes y (SCORED, n) after inputs x (CONTEXT + SCORED, n).
 
-    By distance, as in `log_class`. A score's slope is added to its pair of inputs; products with all keys and queries
-    are taken once, of the sums.
+    A score's slope is added to its pair of inputs; products with all keys and queries are taken once, of the sums.
     """
-    w, n = m.weights, y.shape[1]
+    w = m.weights
     by_inputs, by_distance = pulls(w)
-    by_inputs = by_inputs.ravel()
-    near, far, columns = m.near.ravel(), m.far.ravel(), m.far.shape[1]
-    met = np.zeros(INPUTS * INPUTS, np.float32)
+    distance, plain = np.ascontiguousarray(by_distance[CONTEXT::-1]), by_distance[-1]
+    pairs = np.zeros(INPUTS * INPUTS, np.float32)
     offset, of_mean = np.zeros(CONTEXT + 2), np.float32(1 / max(1, use.sum()))
-    held = np.empty((2, (CONTEXT + 1) * SCORED * BATCH), np.float32)
-    for at in range(0, n, BATCH):
-        xb, yb, ub = (np.ascontiguousarray(a[:, at : at + BATCH]) for a in (x, y, use))
-        query, value, share = xb[CONTEXT:] * INPUTS, xb * columns, ub * of_mean
-        a, v = (h[: (CONTEXT + 1) * yb.size].reshape(CONTEXT + 1, *yb.shape) for h in held)
-        place, part = np.empty(yb.shape, np.int64), np.empty(yb.shape, np.float32)
-        plain = m.plain[yb]
-        weight, total = np.full(yb.shape, by_distance[-1], np.float32), by_distance[-1] * plain
-        for back in range(CONTEXT + 1):
-            seen = slice(CONTEXT - back, CONTEXT + SCORED - back)
-            np.add(query, xb[seen], out=place)
-            by_inputs.take(place, out=a[back], mode="clip")
-            a[back] *= by_distance[back]
-            weight += a[back]
-            np.add(value[seen], yb, out=place)
-            (far if back else near).take(place, out=v[back], mode="clip")
-            total += np.multiply(a[back], v[back], out=part)
-        weight, total = share / weight, share / total
-        for back in range(CONTEXT + 1):  # the weight that a place has, less the share of the probability that it gives
-            v[back] *= total
-            np.subtract(weight, v[back], out=v[back])
-            v[back] *= a[back]
-            offset[back] += v[back].sum()
-            np.add(query, xb[CONTEXT - back : CONTEXT + SCORED - back], out=place)
-            np.add.at(met, place.ravel(), v[back].ravel())
-        offset[-1] += by_distance[-1] * (weight - plain * total).sum()
-    met = met.reshape(INPUTS, INPUTS)
-    return [met @ w.key, met.T @ w.query, offset.astype(np.float32)]
+    all_seen = np.ones(CONTEXT + 1, np.float32)
+    for part, p, a, v in met(m, by_inputs, x, y):
+        share, of_plain = (use.T[part] * of_mean).ravel(), plain * m.plain[y.T[part]].ravel()
+        a *= distance
+        v *= a
+        weight, total = share / (a @ all_seen + plain), share / (v @ all_seen + of_plain)
+        a *= weight[:, None]  # the weight that a place has, less the share of the probability that it gives
+        v *= total[:, None]
+        a -= v
+        offset[CONTEXT::-1] += np.ones(len(a), np.float32) @ a
+        offset[-1] += (plain * weight - of_plain * total).sum()
+        np.add.at(pairs, p.ravel(), a.ravel())
+    pairs = pairs.reshape(INPUTS, INPUTS)
+    return [pairs @ w.key, pairs.T @ w.query, offset.astype(np.float32)]
 
 
 def descend(m: Model, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, step: int = STEP, rate: float = 0.1) -> int:
@@ -240,8 +273,9 @@ def windows(ids: list[np.ndarray], end: int) -> tuple[np.ndarray, ...]:
         target[a + CONTEXT : a + CONTEXT + len(i)] = i
         use[a + CONTEXT : a + CONTEXT + len(i)] = True
     first = np.repeat(at, many) + SCORED * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
-    places = first + _AT[:, None]
-    return flat[places], target[places[CONTEXT:]], use[places[CONTEXT:]], many
+    seen = sliding_window_view(flat, CONTEXT + SCORED)[first]  # whole rows at once
+    target, use = (sliding_window_view(a, SCORED)[first + CONTEXT] for a in (target, use))
+    return seen.T, target.T, use.T, many
 
 
 def around_counts(ids: list[np.ndarray], number: np.ndarray, needed: np.ndarray, around: np.ndarray) -> None:
@@ -320,11 +354,7 @@ def log_ids(m: Model, ids: list[np.ndarray], pull: tuple[np.ndarray, np.ndarray]
     """Natural log probabilities of all ids of all texts, laid end to end; texts come with their end."""
     pull = pull or pulls(m.weights)
     seen, target, use, _ = windows(ids, len(m.class_of) - 1)
-    x, y = m.input_of[seen], m.class_of[target]
-    out = np.empty(y.shape, np.float32)
-    for at in range(0, x.shape[1], BATCH):
-        part = slice(at, at + BATCH)
-        out[:, part] = log_class(m, pull, np.ascontiguousarray(x[:, part]), np.ascontiguousarray(y[:, part]))
+    out = log_class(m, pull, m.input_of[seen], m.class_of[target])
     out += m.log_share[target]
     return out.T[use.T].astype(np.float64)
 
@@ -346,28 +376,26 @@ def places(start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.repeat(start - (at - size), size) + np.arange(int(size.sum()))
 
 
-class _Words(dict):
+class _Words(defaultdict):
     """word -> number, from 0 for the end; of each number the ids, laid end to end, and how often training texts have it."""
 
     def __init__(self, encode, end: int):
-        super().__init__()
+        super().__init__(count().__next__)
         self.encode = encode
         self.flat, self.sizes = bytearray(np.uint16(end).tobytes()), array("i", [1])
         self.counts = np.zeros(1, np.int64)
-        self[END_WORD] = 0
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.sizes)
-        ids = self.encode(word)
-        self.flat += ids
-        self.sizes.append(len(ids) // 2)
-        return n
+        self[END_WORD]  # takes number 0
 
     def look_up(self, texts: list[list[bytes]], learn: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(numbers of each text's words and end, ids of each text and its end); counts words of texts to learn from."""
         lengths = np.array([len(t) + 1 for t in texts])
         every = chain.from_iterable(chain(t, (END_WORD,)) for t in texts)
+        known = len(self)
         nos = np.fromiter(map(self.__getitem__, every), np.int64, lengths.sum())
+        if len(self) > known:
+            ids, sizes = self.encode([*islice(reversed(self), len(self) - known)][::-1])
+            self.flat += ids.tobytes()
+            self.sizes.frombytes(sizes.astype(np.int32).tobytes())
         size = np.frombuffer(self.sizes, np.int32).astype(np.int64)
         start = np.cumsum(size) - size
         at = np.cumsum(size[nos])
@@ -404,7 +432,7 @@ def encoded(docs: DataFrame, learn: Column, path: str) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, size = subwords(path)
+        encode, size = many_subwords(path), subwords(path)[1]
         block, known, held = TaskContext.get().partitionId() << GENERATION_BITS, _Words(encode, size - 1), 0
         kinds = {"block": pa.int64(), "doc_id": None, "ids": pa.binary(), "nos": pa.binary(), "sizes": pa.binary()}
         kinds |= {"key": pa.int64(), "word": pa.binary(), "c": pa.int64()}
@@ -557,7 +585,7 @@ def fitted(m: Model, learned: DataFrame) -> Weights:
 
     def run(batches):
         m = shared.value
-        m = Model(Weights(*(p.copy() for p in (m.weights.query, m.weights.key, m.weights.offset))), *list(m.__dict__.values())[1:])
+        m = replace(m, weights=Weights(*(p.copy() for p in (m.weights.query, m.weights.key, m.weights.offset))))
         sums, held, size, seen, step = no_sums(m.weights), [], 0, 0, STEP
 
         def down():
