@@ -31,6 +31,7 @@ from itertools import chain, count, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
@@ -175,30 +176,36 @@ def pulls(w: Weights) -> tuple[np.ndarray, np.ndarray]:
     return np.exp(by_inputs, out=by_inputs), np.exp(np.clip(w.offset, -30, 30))
 
 
+def _at(table_: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """What a float32 table holds at int32 places of its flat form, all of them inside: numpy would widen the places."""
+    held = pa.Array.from_buffers(pa.float32(), table_.size, [None, pa.py_buffer(table_)])
+    at = pa.Array.from_buffers(pa.int32(), places.size, [None, pa.py_buffer(places)])
+    return pc.take(held, at, boundscheck=False).to_numpy().reshape(places.shape)
+
+
 def met(m: Model, by_inputs: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterator[tuple]:
     """BATCH by BATCH of windows: (which; places in `by_inputs`, what it has there, values), for inputs x (CONTEXT + SCORED, n)
     and classes y (SCORED, n). A row is a target, its columns are what it sees, the nearest id last.
 
     What the mask hides costs nothing. A target looks up one row of each table, which stays in the cache meanwhile. The
-    next batch uses the same arrays.
+    next batch uses the same arrays, of small numbers, since all tasks of a machine share its cache.
     """
-    x, y, columns = np.ascontiguousarray(x.T), np.ascontiguousarray(y.T), CONTEXT + 1
+    x, y, columns = np.ascontiguousarray(x.T, np.int32), np.ascontiguousarray(y.T, np.int32), CONTEXT + 1
     seen = sliding_window_view(x, columns, axis=1)
     own = x[:, CONTEXT:]
     nearest = m.near.ravel().take(own * CLASSES + y)
     of_class, of_input = ((a * INPUTS)[:, :, None] for a in (y, own))
-    by_inputs, by_class = by_inputs.ravel(), m.far_by_class.ravel()
     size = min(BATCH, len(y)) * SCORED * columns
-    places, pull, value = np.empty(size, np.int64), np.empty(size, np.float32), np.empty(size, np.float32)
+    places, pull, value = np.empty(size, np.int32), np.empty(size, np.float32), np.empty(size, np.float32)
     for at in range(0, len(y), BATCH):
         part = slice(at, at + BATCH)
         shape = seen[part].shape
         p, a, v = (held[: seen[part].size].reshape(shape) for held in (places, pull, value))
         np.add(of_class[part], seen[part], out=p)
-        by_class.take(p, out=v, mode="clip")  # all places are inside
+        v[...] = _at(m.far_by_class, p)
         v[:, :, -1] = nearest[part]
         np.add(of_input[part], seen[part], out=p)
-        by_inputs.take(p, out=a, mode="clip")
+        a[...] = _at(by_inputs, p)
         yield part, p.reshape(-1, columns), a.reshape(-1, columns), v.reshape(-1, columns)
 
 
@@ -335,9 +342,10 @@ def pair_counts(ids: list[np.ndarray], input_of: np.ndarray, class_of: np.ndarra
     x, y = input_of[flat] * CLASSES, class_of[flat]
     real = np.concatenate([p for i in ids for p in (np.zeros(len(gap), bool), np.ones(len(i), bool))])
     at = np.flatnonzero(real)
-    x_at, y = [x[at - d] for d in (1, *FAR)], y[at]
-    near += np.bincount(x_at[0] + y, minlength=len(near))
-    far += np.bincount(np.concatenate([p + y for p in x_at[1:]]), minlength=len(far))
+    y = y[at]
+    np.add.at(near, x[at - 1] + y, 1)
+    for d in FAR:
+        np.add.at(far, x[at - d] + y, 1)
 
 
 def build(counts: np.ndarray, input_of: np.ndarray, class_of: np.ndarray, near: np.ndarray, far: np.ndarray) -> Model:
