@@ -781,6 +781,35 @@ def test_sentencepiece_column(spark, odd, clashing, empty):
     assert {r.doc_id: r.decoded is None for r in sentencepiece_codec.decode(nulls).collect()} == {1: True, 2: False}
 
 
+def test_op9_holds_one_python_process_a_task(spark, odd):
+    """Ids and the text of the ids are made in one pass, and are those of encode and decode in a row."""
+    plan = sentencepiece_codec.op9_sentencepiece(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    key = ["doc_id", "text", "ids", "decoded"]
+    once = sentencepiece_codec.encode(odd.withColumn("decoded", F.lit(1)), back="decoded").select(key)
+    twice = sentencepiece_codec.decode(sentencepiece_codec.encode(odd)).select(key)
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    empty = odd.where("doc_id > 99")
+    assert sentencepiece_codec.encode(empty, back="decoded").count() == 0
+
+
+def test_sentencepiece_remembers_a_bounded_number(monkeypatch):
+    """Words, units and pairs of pieces that were met long ago are forgotten, and the ids stay the library's."""
+    monkeypatch.setattr(sentencepiece_codec, "CACHED", 50)
+    monkeypatch.setattr(sentencepiece_codec, "DECODED", 7, raising=False)
+    sp = pytest.importorskip("sentencepiece").SentencePieceProcessor(model_file=sentencepiece_codec.default_model())
+    c = sentencepiece_codec.Codec(sentencepiece_codec.default_model())
+    rng, texts = random.Random(12), []
+    for _ in range(200):
+        words = ["".join(rng.choice(["the", "in", "a", "st", "é", "中", "q", "1", ","]) for _ in range(rng.randint(1, 9))) for _ in range(20)]
+        texts.append("  ".join(words) + " " + " ".join(words))
+        ids = c.encode(texts[-1]).tolist()
+        assert ids == sp.encode(texts[-1]) and c.decode(ids) == texts[-1]
+        assert max(map(len, (c.stream.words, c.stream.units, c.m.apart))) <= 100
+    ids = [c.encode(t) for t in texts]
+    assert c.decode_flat(np.concatenate(ids), np.cumsum([len(i) for i in ids])) == texts
+
+
 def test_similarity_runs_once(spark, monkeypatch):
     """One Python process a task: the filter on a pair's similarity takes the value that the row has."""
     plans = []

@@ -1,8 +1,9 @@
 """SentencePiece encoding and decoding (operator 9) by streaming Viterbi.
 
-The lattice has a state for each character boundary and an arc for each piece that ends there. Only the states within
-the longest piece of the last boundary can begin a further arc, so that is the window kept; whenever the backpointer
-paths of all of these meet in one boundary, the ids up to it are committed and their states dropped.
+The lattice has a state for each character boundary and an arc for each piece that ends there; an automaton over the
+pieces finds these as the characters come. Only the states within the longest piece of the last boundary can begin a
+further arc, so that is the window kept; whenever the backpointer paths of all of these meet in one boundary, the ids up
+to it are committed and their states dropped.
 
 Where no piece of the model goes over a word's end (or from letters to other characters), all paths meet there whatever
 comes before: such a boundary is committed at once, and what a word between two of them gives is remembered, so that the
@@ -31,8 +32,10 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import fresh, ship, small_batches, table
 
 SPACE = "▁"
-#: Words, and the units that they consist of, whose ids a worker remembers; then it begins anew.
-CACHED = 500_000
+#: Words, units that they consist of, and pairs of pieces that a worker remembers: the last so many, and at most twice.
+CACHED = 250_000
+#: Ids that are turned into bytes at once.
+DECODED = 1 << 16
 #: Characters that a stream is given at once, and windows of a word whose end is waited for.
 PORTION, WAITED = 1 << 16, 8
 UNIGRAM, BPE = 1, 2
@@ -73,6 +76,28 @@ def _fields(b: bytes) -> Iterator[tuple[int, bytes | int]]:
         yield key >> 3, value
 
 
+class Recent:
+    """What was put in or asked for last: at least `most` keys, at most twice as many."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def __len__(self) -> int:
+        return len(self.new) + len(self.old)
+
+    def put(self, key, value) -> None:
+        if len(self.new) >= self.most:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+    def older(self, key):
+        """The value of a key that `new` has not (None: forgotten), which counts as the latest again."""
+        found = self.old.pop(key, None)
+        if found is not None:
+            self.put(key, found)
+        return found
+
+
 class Model:
     """A model file: pieces, scores, kinds, and what its normaliser does. One with a character map is refused."""
 
@@ -100,21 +125,15 @@ class Model:
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if self.kinds[i] == BYTE}
         self.unknown = next((i for i, k in enumerate(self.kinds) if k == UNKNOWN), 0)
         self.longest = max(map(len, self.ids))
-        #: The pieces read backwards: a node is {character: [id of the piece that begins here (-1: none), next node]}.
-        self.endings: dict[str, list] = {}
-        for p, i in self.ids.items():
-            node, at = self.endings, [-1, None]
-            for c in reversed(p):
-                at = node.setdefault(c, [-1, {}])
-                node = at[1]
-            at[0] = i
+        self.size = [len(p) for p in self.pieces]
+        self._lay_out()
         # Where no piece lies across two kinds of neighbours, a text falls into units that are encoded by themselves.
         self.by_words = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids)
         mixed = re.compile(f"[{LATIN}][^{LATIN}]|[^{LATIN}{SPACE}][{LATIN}]")
         by_kind = f"{SPACE}*[{LATIN}]+|{SPACE}*[^{LATIN}{SPACE}]+|{SPACE}+"
         by_space = f"{SPACE}*[^{SPACE}]+|{SPACE}+"
         self.units = re.compile(by_space if any(map(mixed.search, self.ids)) else by_kind).findall
-        self.apart: dict[int, bool] = {}
+        self.apart = Recent(CACHED)
         self.least = min(self.scores) - _UNK_PENALTY
         self.raw = [
             bytes([int(p[3:5], 16)]) if k == BYTE else b"" if k == CONTROL else " ⁇ ".encode() if k == UNKNOWN
@@ -122,6 +141,43 @@ class Model:
             for p, k in zip(self.pieces, self.kinds, strict=True)
         ]
 
+    def _lay_out(self) -> None:
+        """An automaton: a state for each beginning of a piece, the longest that the text so far ends in.
+
+        `onward` has a state's next ones by character, `shorter` the state of the next shorter beginning, `ending` the
+        ids of all pieces that the text then ends in, the longest first.
+        """
+        self.onward, self.shorter, self.ending = [{}], [0], [()]
+        for p, i in self.ids.items():
+            at = 0
+            for c in p:
+                to = self.onward[at].get(c)
+                if to is None:
+                    to = self.onward[at][c] = len(self.onward)
+                    self.onward.append({})
+                    self.shorter.append(0)
+                    self.ending.append(())
+                at = to
+            self.ending[at] = (i,)
+        level = [0]
+        while level:  # by length, so that shorter beginnings are done
+            for at in level:
+                for c, to in self.onward[at].items():
+                    if at:
+                        self.shorter[to] = self.after(self.shorter[at], c)
+                    self.ending[to] += self.ending[self.shorter[to]]
+            level = [to for at in level for to in self.onward[at].values()]
+        none: dict[str, int] = {}
+        self.onward = [x or none for x in self.onward]
+
+    def after(self, state: int, c: str) -> int:
+        """The state that a character leads to."""
+        while (to := self.onward[state].get(c)) is None:
+            if not state:
+                return 0
+            state = self.shorter[state]
+        return to
+
     def normalise(self, text: str) -> str:
         if self.squeeze:
             text = re.sub(" +", " ", text).strip(" ")
@@ -148,8 +204,12 @@ class Model:
 
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether piece a (-1: none) and piece b after it are what BPE leaves of both."""
-        left, right = ([] if a < 0 else [self.pieces[a]]), self.pieces[b]
-        found = self.apart[a << 32 | b] = self.merge("".join(left) + right) == [*left, right]
+        pair = a << 32 | b
+        found = self.apart.older(pair)
+        if found is None:
+            left, right = ([] if a < 0 else [self.pieces[a]]), self.pieces[b]
+            found = self.merge("".join(left) + right) == [*left, right]
+            self.apart.put(pair, found)
         return found
 
 
@@ -162,8 +222,7 @@ class Stream:
 
     def __init__(self, model: Model):
         self.m, self.code = model, "H" if len(model.pieces) <= 1 << 16 else "I"
-        self.words: dict[str, bytes] = {}
-        self.units: dict[str, bytes] = {}
+        self.words, self.units = Recent(CACHED), Recent(CACHED)
         self.commits, self.held, self.open = 0, "", False
         self._new_window()
 
@@ -171,6 +230,7 @@ class Stream:
         #: For each boundary since the last commit: where its arc begins, its piece (-1: a character that is none, or
         #: the text's start), its score.
         self.text, self.back, self.last, self.score = "", [0], [-1], [0.0]
+        self.state = 0
 
     def feed(self, chars: str) -> list[int]:
         return np.frombuffer(self.push(chars), self.code).tolist()
@@ -209,7 +269,7 @@ class Stream:
     def _whole(self, s: str) -> bytes:
         """Of whole words, each committed."""
         if s[0] == SPACE and SPACE + SPACE not in s:
-            known, parts = self.words.get, s.split(SPACE)[1:]
+            known, parts = self.words.new.get, s.split(SPACE)[1:]
             self.commits += len(parts)
             return b"".join([known(w) or self._word(w) for w in parts])
         parts = self.m.units(s)
@@ -218,21 +278,23 @@ class Stream:
 
     def _word(self, w: str) -> bytes:
         """Of a word without its space."""
-        found = b"".join(map(self._unit, self.m.units(SPACE + w)))
-        if len(w) <= 64:
-            if len(self.words) >= CACHED:
-                self.words.clear()
-            self.words[w] = found
+        found = self.words.older(w)
+        if found is None:
+            first, *rest = self.m.units(SPACE + w)
+            if rest:  # what it begins with may be a word of its own, and is remembered as that
+                found = (self.words.new.get(first[1:]) or self._word(first[1:])) + b"".join(map(self._unit, rest))
+            else:
+                found = self._through(first) + self._rest()
+            if len(w) <= 64:
+                self.words.put(w, found)
         return found
 
     def _unit(self, s: str) -> bytes:
-        found = self.units.get(s)
+        found = self.units.new.get(s) or self.units.older(s)
         if found is None:
             found = self._through(s) + self._rest()
             if len(s) <= 64:
-                if len(self.units) >= CACHED:
-                    self.units.clear()
-                self.units[s] = found
+                self.units.put(s, found)
         return found
 
     def _through(self, chars: str) -> bytes:
@@ -244,7 +306,7 @@ class Stream:
             (self._extend_bpe if self.m.type == BPE else self._extend_unigram)()
             if len(self.text) > step:
                 out += self._commit()
-        return array(self.code, out).tobytes()
+        return array(self.code, out).tobytes() if out else b""
 
     def _rest(self) -> bytes:
         out = array(self.code, self._path(len(self.text))).tobytes()
@@ -253,45 +315,42 @@ class Stream:
         return out
 
     def _extend_bpe(self) -> None:
-        text, back, last, score = self.text, self.back, self.last, self.score
-        m, endings, known = self.m, self.m.endings, self.m.apart.get
+        text, back, last, state = self.text, self.back, self.last, self.state
+        m, known = self.m, self.m.apart.new.get
+        onward, shorter, ending, size = m.onward, m.shorter, m.ending, m.size
         for end in range(len(back), len(text) + 1):
-            node, at, met = endings, end, []
-            while at:
-                at -= 1
-                found = node.get(text[at])
-                if found is None:
-                    break
-                if found[0] >= 0:
-                    met.append((at, found[0]))
-                node = found[1]
-            arc = (end - 1, -1)
-            for begin, i in reversed(met):
+            c = text[end - 1]
+            while (to := onward[state].get(c)) is None and state:
+                state = shorter[state]
+            state = to or 0
+            for i in ending[state]:
+                begin = end - size[i]
+                if begin < 0:  # before the last commit
+                    continue
                 before = last[begin]
                 apart = known(before << 32 | i)
                 if apart is None:
                     apart = m.stay_apart(before, i)
                 if apart:
-                    arc = (begin, i)
+                    back.append(begin)
+                    last.append(i)
                     break
-            back.append(arc[0])
-            last.append(arc[1])
-            score.append(0.0)
+            else:
+                back.append(end - 1)
+                last.append(-1)
+        self.state = state
 
     def _extend_unigram(self) -> None:
-        text, back, last, score = self.text, self.back, self.last, self.score
+        m, text, back, last, score = self.m, self.text, self.back, self.last, self.score
         for end in range(len(back), len(text) + 1):
-            node, at = self.m.endings, end
-            best, arc = score[end - 1] + self.m.least, (end - 1, -1)
-            while at:
-                at -= 1
-                found = node.get(text[at])
-                if found is None:
+            self.state = m.after(self.state, text[end - 1])
+            best, arc = score[end - 1] + m.least, (end - 1, -1)
+            for i in reversed(m.ending[self.state]):
+                at = end - m.size[i]
+                if at < 0:
                     break
-                i = found[0]
-                if i >= 0 and (at == end - 1 and arc[1] < 0 or score[at] + self.m.scores[i] > best):
-                    best, arc = score[at] + self.m.scores[i], (at, i)
-                node = found[1]
+                if at == end - 1 and arc[1] < 0 or score[at] + m.scores[i] > best:
+                    best, arc = score[at] + m.scores[i], (at, i)
             back.append(arc[0])
             last.append(arc[1])
             score.append(best)
@@ -300,7 +359,10 @@ class Stream:
         ids = []
         while high:
             i = self.last[high]
-            ids += reversed(self.m.fallback(self.text[high - 1])) if i < 0 else (i,)
+            if i < 0:
+                ids += reversed(self.m.fallback(self.text[high - 1]))
+            else:
+                ids.append(i)
             high = self.back[high]
         ids.reverse()
         return ids
@@ -348,9 +410,12 @@ class Codec:
             first = first[(size[first] > 0) & (self.raw[np.minimum(start[first], len(self.raw) - 1)] == 32)]
             size[first] -= 1
             start[first] += 1
-        at = np.cumsum(size)
-        where = np.repeat(start - (at - size), size)
-        data = self.raw[where + np.arange(len(where))].tobytes()
+        at, parts = np.cumsum(size), []
+        for k in range(0, len(ids), DECODED):  # eight bytes for each byte of a part, however long a text is
+            n = size[k : k + DECODED]
+            where = np.repeat(start[k : k + DECODED] - (np.cumsum(n) - n), n)
+            parts.append(self.raw[where + np.arange(len(where))].tobytes())
+        data = b"".join(parts)
         cuts = np.append(0, at)[ends].tolist()
         return [data[a:b].decode("utf-8", "replace") for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
@@ -363,18 +428,23 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
-def encode(docs: DataFrame, model: str | None = None, text: str = "text", to: str = "ids") -> DataFrame:
+def encode(
+    docs: DataFrame, model: str | None = None, text: str = "text", to: str = "ids", back: str | None = None
+) -> DataFrame:
     """docs with the ids array<int> of each whole text. A null or empty text has none. A column named `to` is replaced.
 
+    With `back`, a column of that name has the text that decoding the ids gives, as `decode` does (a null text's is
+    empty); both are made by one Python process a task, where encode and decode in a row hold two.
     A model file with a character map for normalising is refused with a ValueError; so is one that keeps white space
     unescaped. An empty table gives an empty result.
     """
     path = model or default_model()
     ship(docs.sparkSession)
     small_batches(docs.sparkSession, 500)
-    docs = docs.drop(to)
+    docs = docs.drop(to, back) if back else docs.drop(to)
     made = fresh(docs, "encoded_text")
-    schema = StructType([*docs.schema.fields, StructField(to, ArrayType(IntegerType()))])
+    added = [StructField(to, ArrayType(IntegerType())), *([StructField(back, StringType())] if back else [])]
+    schema = StructType([*docs.schema.fields, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
@@ -382,9 +452,10 @@ def encode(docs: DataFrame, model: str | None = None, text: str = "text", to: st
             ids = [c.encode(t or "") for t in b.column(b.schema.get_field_index(made)).to_pylist()]
             ends = np.cumsum([0, *map(len, ids)])
             flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-            rest = [b.column(k) for k in range(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*rest, column], [*b.schema.names[:-1], to])
+            columns = [*b.columns[:-1], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))]
+            if back:
+                columns.append(pa.array(c.decode_flat(flat, ends[1:]) if ids else [], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.select("*", F.col(text).alias(made)).mapInArrow(run, schema)
 
@@ -414,6 +485,6 @@ def decode(coded: DataFrame, model: str | None = None, ids: str = "ids", to: str
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and whether decoding them gives the text again (a text's own U+2581 comes back as a space)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    back = decode(encode(docs))
+    back = encode(docs, back="decoded")
     same = F.translate(F.coalesce("text", F.lit("")), SPACE, " ") == F.col("decoded")
     return back.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
