@@ -11,6 +11,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest_llm import table_dir
 from pyspark.sql import functions as F
@@ -291,6 +292,72 @@ def test_words_are_encoded_together():
             assert i.tobytes() == b"".join(map(one, t)) + np.uint16(size - 1).tobytes()
 
 
+def test_pairs_are_counted_in_several_tables(spark, monkeypatch):
+    """A task that has more ids than a table may count hands on its counts and goes on."""
+    texts = [f"text {k} of many has its own words w{k} " * 20 for k in range(40)]
+    own, _ = learned(spark, texts)
+    counts = attention_lm.id_counts(own, attention_lm.subwords(attention_lm.default_tokenizer())[1])
+    input_of, class_of = attention_lm.grouped(counts, attention_lm._around(own, counts))
+    whole, given, keep = attention_lm._pair_tables(own, input_of, class_of), [], attention_lm.summed
+
+    def here(rows, function, kind):  # the counts of documents one by one, in this process
+        found = {}
+        for k, a in function(iter(rows.toArrow().to_batches(max_chunksize=1))):
+            given.append(k)
+            found[k] = found.get(k, 0) + a.astype(float)
+        return found
+
+    monkeypatch.setattr(attention_lm, "summed", here)
+    monkeypatch.setattr(attention_lm, "COUNTED", 300)
+    monkeypatch.setattr(attention_lm, "MOST_COUNTED", 2000)
+    parts = attention_lm._pair_tables(own, input_of, class_of)
+    assert len(given) > len(set(given)) and all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def test_words_are_found_by_columns():
+    """Texts of a batch are cut without a Python text each, to the same words; a batch asks for each different word once."""
+    texts = [None, "", " \t\n", "  The cat\x0b the\x0cCAT\r", "É\u00a0É İ \x1c a\u3000B", "\x85\0 x", "the " * 40]
+    for own in (texts, texts[:3], texts[3:4]):
+        words, lengths = attention_lm.words_in(pa.array([*texts[:2], *own], pa.string())[2:])
+        assert lengths.tolist() == [len(attention_lm.words_of(t)) for t in own]
+        assert words.cast(pa.binary()).to_pylist() == [w for t in own for w in attention_lm.words_of(t)]
+
+    many = attention_lm.many_subwords(attention_lm.default_tokenizer())
+    asked = []
+
+    class Asked(attention_lm._Words):
+        def __getitem__(self, word):
+            asked.append(word)
+            return super().__getitem__(word)
+
+    known = Asked(many, attention_lm.subwords(attention_lm.default_tokenizer())[1] - 1)
+    asked.clear()
+    words, lengths = attention_lm.words_in(pa.array(texts, pa.string()))
+    nos, _ = known.look_up_all(words, lengths, np.array([True] * 6 + [False]))
+    assert len(asked) == len(set(asked)) < len(words)
+    assert [n.tolist() for n in nos] == [[*(known[w] for w in attention_lm.words_of(t)), 0] for t in texts]
+    assert known.counts[known[b"the"]] == 2 and known.counts[0] == 6
+
+
+def test_slopes_of_a_small_step():
+    """A step makes the rows of inputs that ask in it, and no others; what earlier steps left in the kept tables is not met."""
+    m, ids = _small_model()
+    seen, target, use, _ = attention_lm.windows(ids * 60, len(m.class_of) - 1)
+    x, y = m.input_of[seen], m.class_of[target]
+    n, made, keep = 3, [], attention_lm._by_inputs
+    small = x[:, :n], y[:, :n], use[:, :n]
+    first = attention_lm.slopes(m, *small)
+    attention_lm.slopes(m, x, y, use)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(attention_lm, "_by_inputs", lambda q, k: made.append(len(q)) or keep(q, k))
+        again = attention_lm.slopes(m, *small)
+    assert made == [len(np.unique(x[attention_lm.CONTEXT :, :n]))] and made[0] < attention_lm.INPUTS
+    for a, b in zip(first, again, strict=True):
+        assert (a == b).all() and a.any()
+    others = np.setdiff1d(np.arange(attention_lm.INPUTS), x[attention_lm.CONTEXT :, :n])
+    assert not again[0][others].any()
+
+
 def test_packed_numbers():
     for n in ([], [0], [1, 70_000, 1 << 27], list(range(3000))):
         assert attention_lm.unpacked(attention_lm.packed(np.array(n, np.uint32))).tolist() == n

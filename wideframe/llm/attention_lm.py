@@ -54,8 +54,8 @@ DOCS = 500
 FIT_HELD = 16_384
 #: Frequent ids whose places around other ids are told apart for the clusters, and places an id needs for a cluster.
 AROUND, LEAST_AROUND = 256, 12
-#: Ids whose pairs are counted at once.
-COUNTED = 1_000_000
+#: Ids whose pairs are counted at once, and in one table of 32-bit counts.
+COUNTED, MOST_COUNTED = 1_000_000, 1 << 28
 #: Distances at which pairs are counted for the table of ids further back.
 FAR = (2, 3, 6, 12)
 #: Where a block of texts ends: at so many different words, or bytes of text.
@@ -115,7 +115,7 @@ def many_subwords(path: str):
     Words have no space inside, so a piece is a space and what follows up to the next, and an id that begins with a space
     begins a word.
     """
-    run, ranks = _library(path, " [^ ]+")
+    run, ranks = _library(path, " [^ ]++")  # takes nothing back, so the same pieces as " [^ ]+", found sooner
     begins = np.zeros(max(ranks.values()) + 1, bool)
     begins[[n for piece, n in ranks.items() if piece.startswith(b" ")]] = True
 
@@ -136,6 +136,16 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """(words of all texts, as `words_of` has them, laid end to end; the number of words of each text)."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    ends = np.cumsum(pc.list_value_length(parts).fill_null(0).to_numpy())
+    flat = parts.flatten()
+    full = pc.greater(pc.binary_length(flat), 0)  # white space at a text's start or end leaves an empty part there
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    return flat.filter(full), np.diff(before[ends], prepend=0)
+
+
 # --- the model -----------------------------------------------------------------------------------------------------
 
 
@@ -171,9 +181,19 @@ class Model:
 
 def pulls(w: Weights) -> tuple[np.ndarray, np.ndarray]:
     """(exp of query times key by the two inputs, exp of the offsets): attention weights before they are divided by their sum."""
-    by_inputs = w.query @ w.key.T
-    np.clip(by_inputs, -30, 30, out=by_inputs)
-    return np.exp(by_inputs, out=by_inputs), np.exp(np.clip(w.offset, -30, 30))
+    return _by_inputs(w.query, w.key), np.exp(np.clip(w.offset, -30, 30))
+
+
+def _by_inputs(query: np.ndarray, key: np.ndarray) -> np.ndarray:
+    out = query @ key.T
+    np.clip(out, -30, 30, out=out)
+    return np.exp(out, out=out)
+
+
+@lru_cache(maxsize=16)
+def _room(use: str, size: int, kind: type) -> np.ndarray:
+    """An array that a process keeps for one use: the pages of a fresh one cost more than what is done with them."""
+    return np.zeros(size, kind)
 
 
 def _at(table_: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -188,25 +208,25 @@ def met(m: Model, by_inputs: np.ndarray, x: np.ndarray, y: np.ndarray) -> Iterat
     and classes y (SCORED, n). A row is a target, its columns are what it sees, the nearest id last.
 
     What the mask hides costs nothing. A target looks up one row of each table, which stays in the cache meanwhile. The
-    next batch uses the same arrays, of small numbers, since all tasks of a machine share its cache.
+    next batch uses the same arrays, of small numbers, since all tasks of a machine share its cache. Values may be
+    written to, what `by_inputs` has may not.
     """
     x, y, columns = np.ascontiguousarray(x.T, np.int32), np.ascontiguousarray(y.T, np.int32), CONTEXT + 1
     seen = sliding_window_view(x, columns, axis=1)
     own = x[:, CONTEXT:]
     nearest = m.near.ravel().take(own * CLASSES + y)
     of_class, of_input = ((a * INPUTS)[:, :, None] for a in (y, own))
-    size = min(BATCH, len(y)) * SCORED * columns
-    places, pull, value = np.empty(size, np.int32), np.empty(size, np.float32), np.empty(size, np.float32)
+    size = BATCH * SCORED * columns
+    places, value = _room("places", size, np.int32), _room("value", size, np.float32)
     for at in range(0, len(y), BATCH):
         part = slice(at, at + BATCH)
         shape = seen[part].shape
-        p, a, v = (held[: seen[part].size].reshape(shape) for held in (places, pull, value))
+        p, v = (held[: seen[part].size].reshape(shape) for held in (places, value))
         np.add(of_class[part], seen[part], out=p)
         v[...] = _at(m.far_by_class, p)
         v[:, :, -1] = nearest[part]
         np.add(of_input[part], seen[part], out=p)
-        a[...] = _at(by_inputs, p)
-        yield part, p.reshape(-1, columns), a.reshape(-1, columns), v.reshape(-1, columns)
+        yield part, p.reshape(-1, columns), _at(by_inputs, p).reshape(-1, columns), v.reshape(-1, columns)
 
 
 def log_class(m: Model, pull: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -224,17 +244,22 @@ def log_class(m: Model, pull: tuple[np.ndarray, np.ndarray], x: np.ndarray, y: n
 def slopes(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> list[np.ndarray]:
     """Gradients of the mean loss by query, key and offset, over classes y (SCORED, n) after inputs x (CONTEXT + SCORED, n).
 
-    A score's slope is added to its pair of inputs; products with all keys and queries are taken once, of the sums.
+    A score's slope is added to its pair of inputs; products with all keys and queries are taken once, of the sums. Both
+    tables of pairs are kept from step to step, and only rows of inputs that ask here are made anew: others aren't met.
     """
     w = m.weights
-    by_inputs, by_distance = pulls(w)
+    asks = np.flatnonzero(np.bincount(x[CONTEXT:].ravel(), minlength=INPUTS))
+    query, by_distance = w.query[asks], np.exp(np.clip(w.offset, -30, 30))
+    by_inputs, pairs = (_room(use_, INPUTS * INPUTS, np.float32) for use_ in ("by inputs", "pairs"))
+    by_inputs.reshape(INPUTS, INPUTS)[asks] = _by_inputs(query, w.key)
+    pairs.reshape(INPUTS, INPUTS)[asks] = 0
+    pull = _room("pull", BATCH * SCORED * (CONTEXT + 1), np.float32)
     distance, plain = np.ascontiguousarray(by_distance[CONTEXT::-1]), by_distance[-1]
-    pairs = np.zeros(INPUTS * INPUTS, np.float32)
     offset, of_mean = np.zeros(CONTEXT + 2), np.float32(1 / max(1, use.sum()))
     all_seen = np.ones(CONTEXT + 1, np.float32)
     for part, p, a, v in met(m, by_inputs, x, y):
         share, of_plain = (use.T[part] * of_mean).ravel(), plain * m.plain[y.T[part]].ravel()
-        a *= distance
+        a = np.multiply(a, distance, out=pull[: a.size].reshape(a.shape))
         v *= a
         weight, total = share / (a @ all_seen + plain), share / (v @ all_seen + of_plain)
         a *= weight[:, None]  # the weight that a place has, less the share of the probability that it gives
@@ -243,8 +268,9 @@ def slopes(m: Model, x: np.ndarray, y: np.ndarray, use: np.ndarray) -> list[np.n
         offset[CONTEXT::-1] += np.ones(len(a), np.float32) @ a
         offset[-1] += (plain * weight - of_plain * total).sum()
         np.add.at(pairs, p.ravel(), a.ravel())
-    pairs = pairs.reshape(INPUTS, INPUTS)
-    return [pairs @ w.key, pairs.T @ w.query, offset.astype(np.float32)]
+    pairs, of_query = pairs.reshape(INPUTS, INPUTS)[asks], np.zeros_like(w.query)
+    of_query[asks] = pairs @ w.key
+    return [of_query, pairs.T @ query, offset.astype(np.float32)]
 
 
 def descend(m: Model, sums: list[np.ndarray], x: np.ndarray, y: np.ndarray, use: np.ndarray, step: int = STEP, rate: float = 0.1) -> int:
@@ -340,12 +366,12 @@ def pair_counts(ids: list[np.ndarray], input_of: np.ndarray, class_of: np.ndarra
     gap = np.full(max(FAR), end, np.uint16)
     flat = np.concatenate([p for i in ids for p in (gap, i)])
     x, y = input_of[flat] * CLASSES, class_of[flat]
-    real = np.concatenate([p for i in ids for p in (np.zeros(len(gap), bool), np.ones(len(i), bool))])
-    at = np.flatnonzero(real)
-    y = y[at]
-    np.add.at(near, x[at - 1] + y, 1)
+    sizes = np.array(list(map(len, ids)))
+    at = places(np.cumsum(sizes + len(gap)) - sizes, sizes)
+    y, ones = y[at], np.ones(len(at), near.dtype)  # numpy adds an array in place sooner than a number
+    np.add.at(near, x[at - 1] + y, ones)
     for d in FAR:
-        np.add.at(far, x[at - d] + y, 1)
+        np.add.at(far, x[at - d] + y, ones)
 
 
 def build(counts: np.ndarray, input_of: np.ndarray, class_of: np.ndarray, near: np.ndarray, far: np.ndarray) -> Model:
@@ -371,7 +397,8 @@ def score_texts(m: Model, ids: list[np.ndarray], words: list[np.ndarray], sizes:
     """Natural log probability of each text: its words (numbers, with the end's), of `sizes` ids and log `share` by number."""
     flat = np.concatenate(words)
     own = np.add.reduceat(log_ids(m, ids, pull), np.cumsum(sizes[flat]) - sizes[flat])
-    mixed = np.logaddexp(np.log(OF_IDS) + own, np.log(1 - OF_IDS) + share[flat])
+    share = share[flat]
+    mixed = np.log(OF_IDS * np.exp(own - share) + (1 - OF_IDS)) + share  # a share is no less than one word's of all
     return np.add.reduceat(mixed, np.cumsum([0, *map(len, words[:-1])]))
 
 
@@ -396,10 +423,17 @@ class _Words(defaultdict):
 
     def look_up(self, texts: list[list[bytes]], learn: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """(numbers of each text's words and end, ids of each text and its end); counts words of texts to learn from."""
-        lengths = np.array([len(t) + 1 for t in texts])
-        every = chain.from_iterable(chain(t, (END_WORD,)) for t in texts)
-        known = len(self)
-        nos = np.fromiter(map(self.__getitem__, every), np.int64, lengths.sum())
+        flat = pa.array(list(chain.from_iterable(texts)), pa.binary())
+        return self.look_up_all(flat, np.array(list(map(len, texts))), learn)
+
+    def look_up_all(self, words: pa.Array, lengths: np.ndarray, learn: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """As `look_up`, of the words of all texts, laid end to end, and how many each text has: each different one is asked for once."""
+        words, lengths = words.dictionary_encode(), lengths + 1
+        each, known = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), len(self)
+        numbers = np.fromiter(map(self.__getitem__, each), np.int64, len(each))
+        nos, inside = np.zeros(lengths.sum(), np.int64), np.ones(lengths.sum(), bool)
+        inside[np.cumsum(lengths) - 1] = False  # the end has number 0
+        nos[inside] = numbers[words.indices.to_numpy()]
         if len(self) > known:
             ids, sizes = self.encode([*islice(reversed(self), len(self) - known)][::-1])
             self.flat += ids.tobytes()
@@ -462,12 +496,11 @@ def encoded(docs: DataFrame, learn: Column, path: str) -> DataFrame:
             kinds["doc_id"] = b.schema.field(0).type
             for at in range(0, b.num_rows, DOCS):
                 part = b.slice(at, DOCS)
-                texts = [words_of(t) for t in part.column(2).to_pylist()]
                 teaches = np.array(part.column(1).to_pylist(), bool)
-                nos, ids = known.look_up(texts, teaches)
+                nos, ids = known.look_up_all(*words_in(part.column(2)), teaches)
                 yield rows(
-                    len(texts),
-                    block=pa.array(np.full(len(texts), block)),
+                    len(nos),
+                    block=pa.array(np.full(len(nos), block)),
                     doc_id=part.column(0),
                     ids=pa.array([i.tobytes() if t else None for i, t in zip(ids, teaches, strict=True)], pa.binary()),
                     nos=pa.array(list(map(packed, nos)), pa.binary()),
@@ -566,22 +599,30 @@ def _pair_tables(learned: DataFrame, input_of: np.ndarray, class_of: np.ndarray)
     """The two tables of counts over all documents."""
 
     def run(batches):
-        near, far = np.zeros(INPUTS * CLASSES, np.int64), np.zeros(INPUTS * CLASSES, np.int64)
+        tables = np.zeros((2, INPUTS * CLASSES), np.int32)  # half as wide as sums, so more of them stays in the cache
         held: list[np.ndarray] = []
+        size = counted_ids = 0
+
+        def rows():
+            by_row = tables.reshape(2 * INPUTS, CLASSES)
+            for k in np.flatnonzero(by_row.any(1)).tolist():
+                yield k, by_row[k]
+
         for ids in _by_docs(batches):
             held += ids
-            if sum(map(len, held)) > COUNTED:
-                pair_counts(held, input_of, class_of, near, far)
-                held = []
+            size += sum(map(len, ids))
+            if size > COUNTED:
+                if counted_ids + size > MOST_COUNTED:
+                    yield from rows()
+                    tables[:], counted_ids = 0, 0
+                pair_counts(held, input_of, class_of, *tables)
+                held, size, counted_ids = [], 0, counted_ids + size
         if held:
-            pair_counts(held, input_of, class_of, near, far)
-        for no, n in enumerate((near, far)):
-            rows = n.reshape(INPUTS, CLASSES)
-            for k in np.flatnonzero(rows.any(1)).tolist():
-                yield no * INPUTS + k, rows[k]
+            pair_counts(held, input_of, class_of, *tables)
+        yield from rows()
 
     out = np.zeros((2 * INPUTS, CLASSES))
-    for k, row in summed(learned, run, np.int64).items():
+    for k, row in summed(learned, run, np.int32).items():
         out[k] = row
     return [out[:INPUTS], out[INPUTS:]]
 
@@ -665,17 +706,18 @@ def score_documents(docs: DataFrame, learn: Column | None = None, tokenizer: str
         sizes, flat_ids = np.frombuffer(sizes, np.int32, len(no)).astype(np.int64), np.frombuffer(sizes, np.uint16, offset=4 * len(no))
         start = np.cumsum(sizes) - sizes
         words_ = list(map(unpacked, own_docs["nos"].to_pylist()))
-        ids = [flat_ids[places(start[w], sizes[w])] for w in words_]
-        score, base, known = (np.empty(len(ids)) for _ in range(3))
+        n_ids = [int(sizes[w].sum()) for w in words_]
+        score, base, known = (np.empty(len(words_)) for _ in range(3))
         at = 0
-        while at < len(ids):  # by about 100,000 ids at once
-            upto, held = at + 1, len(ids[at])
-            while upto < len(ids) and held + len(ids[upto]) < 100_000:
-                held += len(ids[upto])
+        while at < len(words_):  # by about 100,000 ids at once
+            upto, held = at + 1, n_ids[at]
+            while upto < len(words_) and held + n_ids[upto] < 100_000:
+                held += n_ids[upto]
                 upto += 1
             part = words_[at:upto]
             flat, starts = np.concatenate(part), np.cumsum([0, *map(len, part[:-1])])
-            score[at:upto] = score_texts(m, ids[at:upto], part, sizes, share, pull) / ten
+            ids = np.split(flat_ids[places(start[flat], sizes[flat])], np.cumsum(n_ids[at : upto - 1]))
+            score[at:upto] = score_texts(m, ids, part, sizes, share, pull) / ten
             base[at:upto] = np.add.reduceat(share[flat], starts) / ten
             known[at:upto] = np.add.reduceat((total[flat] > 0).astype(np.int64), starts)
             at = upto
@@ -683,8 +725,8 @@ def score_documents(docs: DataFrame, learn: Column | None = None, tokenizer: str
             "doc_id": own_docs["doc_id"],
             "n_tokens": pa.array([len(w) for w in words_], pa.int64()),
             "n_known": pa.array(known.astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(ids), n, np.int64)),
-            "base_score": pa.array(base if n else np.zeros(len(ids))),
+            "train_tokens": pa.array(np.full(len(words_), n, np.int64)),
+            "base_score": pa.array(base if n else np.zeros(len(words_))),
             "score": pa.array(score),
         }
         return pa.table(columns)
