@@ -270,11 +270,14 @@ def integer_blocks(
     df: DataFrame, column: str, position: str, row_group: str = ROW_GROUP, block: int = 4096
 ) -> DataFrame:
     """(row_group, block, rows, bytes_each) of a whole-number column: the least of 1, 2, 4, 8 bytes that hold the values
-    of each block of positions (from 0 in their row group); null where a block has nulls only."""
-    if not isinstance(df.schema[column].dataType, INTEGERS):
+    of each block of positions (from 0 in their row group); null where a block has nulls only. Decimals without a scale
+    are whole numbers too; those that 8 bytes do not hold count as 8, the widest there is."""
+    t = df.schema[column].dataType
+    whole = isinstance(t, T.DecimalType) and t.scale == 0
+    if not (whole or isinstance(t, INTEGERS)):
         raise TableError(f"column '{column}' has no whole numbers")
-    c = _name(column)
-    cut = df.select(row_group, floor_div(_name(position).cast("long"), F.lit(block).cast("long")).alias("block"), c.cast("long").alias("v"))
+    v = _name(column) if whole else _name(column).cast("long")
+    cut = df.select(row_group, floor_div(_name(position).cast("long"), F.lit(block).cast("long")).alias("block"), v.alias("v"))
     met = cut.groupBy(row_group, "block").agg(F.count("*").alias("rows"), F.min("v").alias("low"), F.max("v").alias("high"))
     each = F.lit(8)
     for n in (4, 2, 1):

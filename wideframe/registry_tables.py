@@ -306,7 +306,8 @@ def encoded_plain(spark, sf_dir):
     FROM (SELECT 0 AS row_group, event_id AS position, (event_id - 100) * (event_id - 100) * (event_id - 100) AS v FROM events) GROUP BY 1, 2"""
 )
 def integer_block_widths(spark, sf_dir):
-    k = F.col("event_id").cast("long") - 100
+    """Cubes beyond a BIGINT, from event 2,097,252 on, stay exact; the SQL's arithmetic ends there with an error."""
+    k = F.col("event_id").cast("decimal(38,0)") - 100
     rows = _t(spark, sf_dir, "events").select(F.lit(0).alias("row_group"), F.col("event_id").alias("position"), (k * k * k).alias("v"))
     return layout.integer_blocks(rows, "v", "position").withColumnRenamed("rows", "n_rows")
 
