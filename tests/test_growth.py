@@ -10,3 +10,17 @@ def test_cubes_beyond_bigint(spark, tmp_path):
     spark.createDataFrame([(100,), (105,), (106,), (131,)], "event_id long").write.mode("append").parquet(f"{tmp_path}/events.parquet")
     found = registry_tables.integer_block_widths(spark, str(tmp_path)).orderBy("block").collect()
     assert [(r.block, r.n_rows, r.bytes_each) for r in found] == [(0, 4, 2), (511, 4096, 8), (512, 4096, 8)]
+
+
+def test_text_file_is_not_sorted(spark, tmp_path, monkeypatch):
+    """A sort for the sake of the first line holds the whole file in one task."""
+    sorts = []
+    plain = type(spark.range(1)).sortWithinPartitions
+    monkeypatch.setattr(type(spark.range(1)), "sortWithinPartitions", lambda self, *a, **b: sorts.append(a) or plain(self, *a, **b))
+    made = {"many": spark.range(0, 5000, 1, 7).select(F.col("id").cast("string").alias("line")), "none": spark.createDataFrame([], "line string")}
+    for name, lines in made.items():
+        path = registry_tables._text_file(spark, str(tmp_path), name, lines, "a\nb")
+        found = open(path.removeprefix("file:")).read().split("\n")
+        assert found[:2] == ["a", "b"] and found[-1] == ""
+        assert sorted(found[2:-1]) == sorted(r.line for r in lines.collect())
+    assert not sorts
