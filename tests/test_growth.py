@@ -61,3 +61,22 @@ def test_time_of_mixed_row_groups():
     assert time.process_time() - began < 2
     assert len(counts) == 3000 and set(counts["rows"].to_pylist()) == {100} and set(counts["plain_bytes"].to_pylist()) == {800}
     assert len(entries) == 15_000 and not any(counts["many"].to_pylist())
+
+
+def test_dictionary_of_ranges(spark, tmp_path, monkeypatch):
+    """A table in many files has one dictionary, in order of the key; no task sorts all of it."""
+    one = []
+    plain = type(spark.range(1)).coalesce
+    monkeypatch.setattr(type(spark.range(1)), "coalesce", lambda self, n: one.append(self.columns) or plain(self, n))
+    key = F.col("o_orderkey")
+    late = F.when(key >= 9_000, F.concat(F.lit("late"), (key % 3).cast("string"))).otherwise(F.concat(F.lit("p"), (key % 7 * 3 % 5).cast("string")))
+    spark.range(11_999, -1, -1, 5).withColumnRenamed("id", "o_orderkey").withColumn("o_orderpriority", late).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = registry_tables.table_dictionary(spark, str(tmp_path)).orderBy("nth").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [tuple(r) for r in found] == list(enumerate(["p0", "p3", "p1", "p4", "p2", "late0", "late1", "late2"]))
+    assert not any("o_orderkey" in columns for columns in one)
+    (path,) = [p for k, p in registry_tables._MADE.items() if k[1:] == (str(tmp_path), "priorities")]
+    assert spark.read.parquet(f"{path}/data").select("_metadata.file_name").distinct().count() > 1

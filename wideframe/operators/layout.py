@@ -225,9 +225,12 @@ def even_share(total: Column, n: Column, nth: Column) -> Column:
 
 
 def dictionary(
-    df: DataFrame, column: str, position: str, options: Options = Options(), row_group: str = ROW_GROUP
+    df: DataFrame, column: str, position: str, options: Options = Options(), row_group: str = ROW_GROUP, whole: bool = False
 ) -> DataFrame:
-    """(row_group, nth, value) of the row groups where the column is DICT: its values as text, by first appearance."""
+    """(row_group, nth, value) of the row groups where the column is DICT: its values as text, by first appearance.
+
+    whole: of the table as if it were one row group, 0, which has the rows of the others in their order.
+    """
     if column not in df.columns:
         raise TableError(f"unknown column '{column}'")
     if is_nested(df.schema[column].dataType):
@@ -239,6 +242,9 @@ def dictionary(
         .groupBy(row_group, "value")
         .agg(F.min("at").alias("at"), F.count("*").alias("n"), F.first("size").alias("size"))
     )
+    if whole:
+        first = F.min(F.struct(F.col(row_group).alias("group"), "at")).alias("at")
+        values = values.groupBy("value").agg(first, F.sum("n").alias("n"), F.first("size").alias("size")).withColumn(row_group, F.lit(0))
     # Of each row group: whether its values make a dictionary. The values' exchange is the same for both uses.
     facts = values.groupBy(row_group).agg(
         F.count("*").alias("distinct"), F.sum("n").alias("non_null"), F.sum("size").alias("entry_bytes"), F.sum(F.col("n") * F.col("size")).alias("plain_bytes")

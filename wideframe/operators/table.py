@@ -140,13 +140,14 @@ class WideTable:
     def column_sizes(self, columns: list[str] | None = None) -> DataFrame:
         return layout.column_sizes(self._grouped(), self.options, columns=self._flat(columns))
 
-    def dictionary(self, column: str) -> DataFrame:
+    def dictionary(self, column: str, whole: bool = False) -> DataFrame:
+        """Of each row group, or of the whole table as if it were one: its files in order of their names, 0 for row_group."""
         self.check([column])
         rows = self._grouped([column])
         place = "position"
         while place in rows.columns:
             place += "_"
-        return layout.dictionary(rows.withColumn(place, F.col("_metadata.row_index")), column, place, self.options)
+        return layout.dictionary(rows.withColumn(place, F.col("_metadata.row_index")), column, place, self.options, whole=whole)
 
     def footer(self) -> DataFrame:
         return layout.footer(self.spark, self.n_buckets, self.row_groups().count(), self.options)
